@@ -4,19 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, mixing, packing, warc
 from .common import table
 
+#: The tokenizer file that queries use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
+QUERIES = {"op5_mixing": op5_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
+    "op8_warc": """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (
+  SELECT hex, min(page_id) AS of_page FROM hashed GROUP BY hex),
+coded AS (
+  SELECT page_id, payload, hex, list_transform(range(8), lambda k: ('0x' || substr(hex, k * 5 + 1, 5))::BIGINT) AS parts FROM hashed)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = of_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = of_page THEN NULL ELSE of_page END AS refers_to
+FROM coded JOIN firsts USING (hex)
+""",
     "op9_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
