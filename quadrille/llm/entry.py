@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, warc
+from . import line_dedup, mixing, packing, quality, toxicity, warc
 from .common import table
 
 #: The tokenizer file that queries use.
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
@@ -33,7 +38,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op10_quality": op10_quality, "op5_mixing": op5_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 

@@ -6,8 +6,8 @@ moves the vector of inclusion probabilities through the null space of the constr
 "number of tokens", which keeps both totals, until all but two documents of a block are decided.
 
 Blocks of BLOCK documents or fewer, chosen by hash within a source, fly independently; what they leave
-undecided forms the blocks of the next level, until a source has one block.  Its two or fewer last documents are
-landed: the document count is released first, then the token total is met as nearly as it can be.
+undecided forms the blocks of the next level, until a source has one block.  Its last few
+documents are landed together: of all choices, the one that comes nearest to the expected totals.
 
 Defined results: a null text has size 0; a null source comes last in order; documents with size 0 are never taken (their
 words are none); repeated rows are rows of their own; an empty table gives no rows.  All randomness
@@ -27,6 +27,8 @@ from .common import save
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK = 1024
+#: So many of a source's documents, whatever their size, are left to the landing, which tries all choices.
+RESERVE = 10
 TOKEN = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 
@@ -49,11 +51,13 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
-    """The cube's fast flight phase: p moves with sum(p) and sum(p * x) fixed until two entries or fewer are inside (0, 1)."""
+def flight(p: np.ndarray, x: np.ndarray, seed: int, reserve: int = 0) -> np.ndarray:
+    """The cube's fast flight phase: p moves with sum(p) and sum(p * x) fixed until two entries or fewer are inside (0, 1),
+    besides the last ``reserve`` entries, which stay for the landing."""
     p = p.astype(float).copy()
     draw = np.random.default_rng(seed).random(len(p) + 8)
-    waiting = iter(np.flatnonzero((p > EPS) & (p < 1 - EPS)).tolist())
+    inside = np.flatnonzero((p > EPS) & (p < 1 - EPS)).tolist()
+    waiting = iter(inside[: max(0, len(inside) - reserve)])
     held: list[int] = []
     step = 0
     while True:
@@ -96,23 +100,21 @@ def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Decide the last two or fewer entries: of the choices, that whose tokens are nearest to their expected total."""
+    """Decide the last few entries together: of all choices, that whose tokens, and then documents, are nearest to what is expected."""
     p = p.copy()
     last = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    want = float((p[last] * x[last]).sum())
-    best = min(range(1 << len(last)), key=lambda c: (abs(sum(x[n] for b, n in enumerate(last) if c >> b & 1) - want), c))
-    for b, n in enumerate(last):
-        p[n] = float(best >> b & 1)
+    choices = (np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1).astype(float)
+    off = np.abs(choices @ x[last] - p[last] @ x[last]) + 0.5 * np.abs(choices.sum(1) - p[last].sum())
+    p[last] = choices[int(off.argmin())]
     return p
 
 
 def _fly(table: pa.Table, last: bool) -> pa.Table:
-    # the largest fly first, so that what is left to be landed are the smallest
-    order = np.lexsort((table["tie"].to_numpy(), -table["size"].to_numpy()))
+    order = np.lexsort((table["size"].to_numpy(), table["tie"].to_numpy()))
     table = table.take(pa.array(order))
     x, p = table["size"].to_numpy().astype(float), table["p"].to_numpy()
     seed = zlib.crc32(f"{table['source'][0].as_py()}/{table['block'][0].as_py()}".encode())
-    p = flight(p, x, seed)
+    p = flight(p, x, seed, RESERVE if last else 0)
     if last:
         p = landing(p, x)
     return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
