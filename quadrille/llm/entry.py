@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, mixing, packing, quality, topk, toxicity, warc
+from . import embedding_dedup, langid, line_dedup, mixing, packing, quality, topk, toxicity, warc
 from .common import table
 
 #: The tokenizer file that queries use.
@@ -35,6 +35,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_toxicity": op3_toxicity, "op10_quality": op10_quality, "op5_mixing": op5_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_toxicity": op3_toxicity, "op10_quality": op10_quality, "op5_mixing": op5_mixing, "op6_embedding_dedup": op6_embedding_dedup, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -67,6 +71,24 @@ scored AS (
   FROM rows_ q JOIN rows_ c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
+""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS r FROM valid),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM normed a JOIN normed b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.r * b.r) >= 0.9),
+reach(id, to_id) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.id, links.b FROM reach JOIN links ON reach.to_id = links.a),
+least AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON vec_id = id LEFT JOIN counted ON a = vec_id
 """,
     "op8_warc": """
 WITH hashed AS (
