@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, line_dedup, mixing, packing, quality, topk, toxicity, warc
+from . import embedding_dedup, langid, line_dedup, mixing, order_minhash, packing, quality, topk, toxicity, warc
 from .common import table
 
 #: The tokenizer file that queries use.
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_toxicity": op3_toxicity, "op10_quality": op10_quality, "op5_mixing": op5_mixing, "op6_embedding_dedup": op6_embedding_dedup, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_toxicity": op3_toxicity, "op10_quality": op10_quality, "op4_order_minhash": op4_order_minhash, "op5_mixing": op5_mixing, "op6_embedding_dedup": op6_embedding_dedup, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
