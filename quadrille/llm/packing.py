@@ -15,6 +15,9 @@ rows of their own; an empty table gives no rows.  Columns other than doc_id and
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,29 +38,56 @@ CACHE_WORDS = 150_000
 PATTERNS = 6000
 
 
+#: Pieces of texts, and the same for texts in which Python's own classes of characters agree with Unicode's categories.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+NOT_PLAIN = re.compile("[^\0-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+
+
+class Pieces(dict):
+    """Ids of pieces as bytes, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizer file gives them.
 
-    A byte-level BPE never merges across the pieces of its pre-tokenizer, so ids are kept by piece.
-    Texts that hold the string of a special token go to the tokenizer whole.
+    A byte-level BPE never merges across the pieces of its pre-tokenizer, so ids are kept by piece.  New pieces are
+    encoded by rank, which is the same where ids follow the order of merges.  Files of
+    other kinds, and texts that hold the string of a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import json
-        import os
-
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("post_processor")
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        vocab = model.get("vocab") or {}
+        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges") or []]
+        self.by_piece = (
+            pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+            and all(x < y for x, y in zip(merged, merged[1:], strict=False)) and bool(merged) and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges"))
+        )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.kept: dict[str, bytes] = {}
+        self.split = regex.compile(SPLIT).findall
+        if self.by_piece:
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+            ranks = {bytes(letter[c] for c in token): n for token, n in vocab.items() if token not in self.special}
+            self.ranked = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.kept = Pieces(self.ranked)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,18 +95,10 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(t in text for t in self.special):
             return self._encode(text)
-        words, kept = self.split(text), self.kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in kept}
-            if len(kept) + len(new) > CACHE_WORDS:
-                kept.clear()
-                new = set(words)
-            ordered = [*new]
-            for w, got in zip(ordered, self.whole.encode_batch_fast(ordered, add_special_tokens=False), strict=True):
-                kept[w] = np.array(got.ids, "<u4").tobytes()
-            return b"".join([kept[w] for w in words])
+        words = self.split(text) if NOT_PLAIN(text) else PLAIN_SPLIT(text)
+        if len(self.kept) > CACHE_WORDS:
+            self.kept.clear()
+        return b"".join(map(self.kept.__getitem__, words))
 
 
 def cut(n: int, most: int = MOST) -> list[tuple[int, int]]:

@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, f
     within = F.lit(False)
     for y, limit in limits.items():
         within = within | ((F.col("_y") == y) & (hash_bucket(F.col("_id")) < limit))
-    chosen = docs.select("doc_id", "text").filter(F.length("text").between(1, FIT_CHARS)).join(known.filter(within), F.col("doc_id") == F.col("_id"))
+    widest = max(limits.values(), default=0)  # before the join, so that few texts are shuffled
+    chosen = docs.select("doc_id", "text").filter((hash_bucket(F.col("doc_id")) < widest) & F.length("text").between(1, FIT_CHARS)).join(known.filter(within), F.col("doc_id") == F.col("_id"))
     rows = sorted(((r.doc_id, r["_y"], r.text) for r in chosen.select("doc_id", "_y", "text").limit(4 * fit_rows).collect()))
     return fit([r[2] for r in rows], [r[1] for r in rows], prior)
 

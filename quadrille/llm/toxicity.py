@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -
     prior = min(0.9, (shares.get(1, 0) + 1) / (sum(shares.values()) + 2))
     toxic = known.filter("_y = 1")
     limit = sample_threshold(toxic, F.col("_id"), F.lit(0), FIT_POSITIVE).get(0, 0)
-    positive = own.join(toxic.filter(hash_bucket(F.col("_id")) < limit), F.col("doc_id") == F.col("_id")).select("doc_id", "text").limit(2 * FIT_POSITIVE).collect()
+    positive = own.filter(hash_bucket(F.col("doc_id")) < limit).join(toxic.filter(hash_bucket(F.col("_id")) < limit), F.col("doc_id") == F.col("_id")).select("doc_id", "text").limit(2 * FIT_POSITIVE).collect()
     limit = sample_threshold(own, F.col("doc_id"), F.lit(0), FIT_UNLABELLED).get(0, 0)
     unlabelled = own.filter(hash_bucket(F.col("doc_id")) < limit).limit(2 * FIT_UNLABELLED).collect()
     return fit([words_of(r.text) for r in sorted(positive)], [words_of(r.text) for r in sorted(unlabelled)], prior)
