@@ -27,10 +27,10 @@ BOTH = ["event_type", "user_id"]
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
-def case(name: str, text: str, labels: list[str], sql: str, start: int = START, end: int = END, step: int = STEP) -> None:
+def case(name: str, text: str, labels: list[str], sql: str, start: int = START, end: int = END, step: int = STEP, digits: int = 6) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = promql.query_range(signals.metrics(spark, sf_dir), text, start, end, step, lookback=DAY)
-        return df.select(*[F.col("labels")[k].alias(k) for k in labels], "ts_ms", F.round("value", 6).alias("value"))
+        return df.select(*[F.col("labels")[k].alias(k) for k in labels], "ts_ms", F.round("value", digits).alias("value"))
 
     CASES[f"promql_{name}"] = (run, BASE + sql)
 
@@ -56,7 +56,8 @@ r AS (SELECT event_type, user_id, s, d * ((sampled + gs + g1) / sampled){div} AS
 
 for kind in ("rate", "increase", "delta"):
     metric = "event_value" if kind == "delta" else "event_counter"
-    case(kind, f"{kind}({metric}[5d])", BOTH, extrapolated(kind) + "SELECT event_type, user_id, s AS ts_ms, round(v, 6)::DOUBLE AS value FROM r")
+    digits = 10 if kind == "rate" else 6
+    case(kind, f"{kind}({metric}[5d])", BOTH, extrapolated(kind) + f"SELECT event_type, user_id, s AS ts_ms, round(v, {digits})::DOUBLE AS value FROM r", digits=digits)
 case("sum_by_rate", "sum by (event_type) (rate(event_counter[5d]))", ["event_type"], extrapolated("rate") + "SELECT event_type, s AS ts_ms, round(sum(v), 6)::DOUBLE AS value FROM r GROUP BY ALL")
 windowed("irate", "CASE WHEN arg_max(pv, ts) IS NOT NULL AND count(*) >= 2 THEN (CASE WHEN arg_max(v, ts) < arg_max(pv, ts) THEN arg_max(v, ts) ELSE arg_max(v, ts) - arg_max(pv, ts) END) / ((max(ts) - arg_max(pts, ts)) / 1000.0) END", source="cw")
 windowed("idelta", "CASE WHEN count(*) >= 2 THEN arg_max(v, ts) - arg_max(pv, ts) END")
@@ -134,6 +135,6 @@ def info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CASES["promql_info"] = (info, BASE + f"SELECT event_type, user_id, CASE WHEN user_id::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END AS tier, s AS ts_ms, round(v, 6)::DOUBLE AS value FROM inst WHERE s = {AT}")
 case("sort", "sort_desc(sum by (event_type) (event_value))", ["event_type"], "SELECT event_type, s AS ts_ms, round(sum(v), 6)::DOUBLE AS value FROM inst GROUP BY event_type, s")
-case("holt", "double_exponential_smoothing(event_value[5d], 0.5, 0.5)", BOTH, f""", n AS (SELECT event_type, user_id, s, list(v ORDER BY ts) AS w FROM gw GROUP BY ALL HAVING count(*) >= 2)
+case("holt", "double_exponential_smoothing(event_value[5d], 0.3, 0.6)", BOTH, f""", n AS (SELECT event_type, user_id, s, list(v ORDER BY ts) AS w FROM gw GROUP BY ALL HAVING count(*) >= 2)
 SELECT event_type, user_id, s AS ts_ms, round(list_reduce(list_prepend({{'s1': w[1], 'b': w[2] - w[1]}}, list_transform(w[2:], lambda v: {{'s1': v, 'b': 0.0}})),
-  lambda a, e: {{'s1': 0.5 * e.s1 + 0.5 * (a.s1 + a.b), 'b': 0.5 * (0.5 * e.s1 + 0.5 * (a.s1 + a.b) - a.s1) + 0.5 * a.b}}).s1, 6)::DOUBLE AS value FROM n""")
+  lambda a, e: {{'s1': 0.3 * e.s1 + 0.7 * (a.s1 + a.b), 'b': 0.6 * (0.3 * e.s1 + 0.7 * (a.s1 + a.b) - a.s1) + 0.4 * a.b}}).s1, 6)::DOUBLE AS value FROM n""")

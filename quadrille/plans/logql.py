@@ -317,6 +317,10 @@ def merged(lab: Column, found: Column) -> Column:
     return F.map_concat(lab, F.transform_keys(clean, lambda k, v: F.when(F.map_contains_key(lab, k), F.concat(k, F.lit("_extracted"))).otherwise(k)))
 
 
+def without_keys(m: Column, names: list[str]) -> Column:
+    return F.map_filter(m, lambda k, v: ~k.isin(names))
+
+
 JSON_MAP = "map<string,string>"
 
 
@@ -413,7 +417,8 @@ class LogCompiler(promql.Compiler):
         if s.kind == "label_format":
             for name, _, to, kind in s.args:
                 value = template(to, lab, line) if kind == "string" else lab[to]
-                rest = F.map_filter("lab", lambda k, v, name=name, to=to, kind=kind: (k != name) & ((k != to) if kind != "string" else F.lit(True)))
+                gone = [name] if kind == "string" else [name, to]
+                rest = without_keys(lab, gone)
                 df = df.withColumn("lab", F.when(value.isNull(), lab).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value))))
             return df
         if s.kind in ("drop", "keep"):

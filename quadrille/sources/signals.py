@@ -66,7 +66,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("orders").alias("service"), start.alias("start_ns"), F.floor("o_totalprice").cast("long").alias("duration_ns"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("status"), F.lit(1).alias("kind"),
         F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus")).alias("attrs"), F.create_map(F.lit("total"), F.col("o_totalprice")).alias("nums"),
     )
-    li = li.dropDuplicates(["l_orderkey", "l_linenumber"]).join(o.select(F.col("o_orderkey").alias("l_orderkey"), start.alias("t0")), "l_orderkey")
+    cols = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*cols)).alias("r")).select("l_orderkey", "l_linenumber", "r.*").join(o.select(F.col("o_orderkey").alias("l_orderkey"), start.alias("t0")), "l_orderkey")
     child = li.select(
         F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("long").alias("span_id"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") - 1).otherwise(0).cast("long").alias("parent_span_id"), F.concat(F.lit("line-"), F.col("l_returnflag")).alias("name"),
@@ -83,5 +84,5 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.select(
         millis("o_orderdate").alias("ts_ms"), F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("labels"), F.array("o_orderpriority", "c_mktsegment", "n_name", "r_name").alias("stack"),
-        F.floor("o_totalprice").cast("long").alias("value"), F.col("o_orderkey").alias("span_id"),
+        F.floor("o_totalprice").cast("long").alias("value"), F.col("o_orderkey").alias("span_id"), F.lit("sales:price:units:orders:count").alias("profile_type"),
     )
