@@ -4,8 +4,9 @@ Confirmed toxic examples are the positives; unlabelled text, toxic or not, is th
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` is corrected by the class prior and kept non-negative: where the
 bracket falls below zero, the step goes the other way, against the overfitting it shows.
 
-Features are the presence of words (letters and digits, lower case) that stand out among positives: at least MIN_DF of them
-hold the word, at a rate that is Z standard deviations above the unlabelled.  A text is scored whole, by the words it holds.
+Features are the presence of words (letters and digits, lower case), and of beginnings and ends of words, that stand out among
+positives: at least MIN_DF of them hold it, at a rate that is Z standard deviations above the unlabelled.  Beginnings and ends
+let inflected and compound forms count that no training text holds.  A text is scored whole, by the features it holds.
 
 The classifier is fitted on FIT_POSITIVE and FIT_UNLABELLED rows at most, of FIT_CHARS characters or fewer, chosen by the hash of
 the id outside the held-out fold; the prior is the share of label 1 among that fold's labelled rows.
@@ -28,14 +29,22 @@ from pyspark.sql import functions as F
 from .common import fold, hash_bucket, sample_threshold
 
 FIT_POSITIVE, FIT_UNLABELLED, FIT_CHARS = 1500, 3000, 10_000
-MIN_DF, Z, MOST_WORDS = 3, 4.0, 4096
+MIN_DF, Z, MOST_WORDS = 3, 6.0, 2048
 EPOCHS, RATE, L2, BATCH = 60, 0.5, 1e-3, 256
 THRESHOLD, HELD_OUT = 0.3, 4
+#: Lengths of the beginnings and ends of words.
+AFFIXES = (4, 5, 6)
+CACHE_WORDS, LONG_WORD = 200_000, 64
 WORDS = re.compile(r"[^\W_]+").findall
 
 
+def parts_of(word: str) -> list[str]:
+    """A word, and its beginnings and ends, which a sign that no word holds marks."""
+    return [word, *(x for k in AFFIXES if len(word) > k for x in (word[:k] + "-", "-" + word[-k:]))]
+
+
 def words_of(text: str | None) -> set[str]:
-    return set(WORDS((text or "").lower()))
+    return {x for w in set(WORDS((text or "").lower())) for x in parts_of(w)}
 
 
 def telling_words(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
@@ -77,10 +86,11 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, seed
         for rows in np.array_split(rng.permutation(len(xu)), steps):
             bp = xp[rng.integers(0, len(xp), min(len(xp), BATCH))]
             bu = xu[rows]
-            zp, zu = bp @ w, bu @ w
+            now = w.astype(np.float32)
+            zp, zu = bp @ now, bu @ now
             risk_minus = loss(-zu).mean() - prior * loss(-zp).mean()
             minus = bu.T @ sig(zu) / len(bu) - prior * (bp.T @ sig(zp)) / len(bp)
-            grad = -prior * (bp.T @ sig(-zp)) / len(bp) + minus if risk_minus >= 0 else -minus
+            grad = minus - prior * (bp.T @ sig(-zp)) / len(bp) if risk_minus >= 0 else -minus
             grad[:-1] += L2 * w[:-1]
             speed += grad * grad
             w -= RATE * grad / np.sqrt(speed)
@@ -109,8 +119,25 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], held_out: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
+        kept: dict[str, tuple[str, ...]] = {}  # the telling features of the words seen
+
+        def telling(text: str | None) -> set[str]:
+            found: set[str] = set()
+            words = set(WORDS((text or "").lower()))
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
+            for w in words:
+                hits = kept.get(w)
+                if hits is None:
+                    hits = tuple(x for x in parts_of(w) if x in weights)
+                    if len(w) <= LONG_WORD:
+                        kept[w] = hits
+                if hits:
+                    found.update(hits)
+            return found
+
         for batch in batches:
-            z = np.array([bias + sum(weights[w] for w in sorted(weights.keys() & WORDS((t or "").lower()))) for t in batch.column(2).to_pylist()], float)
+            z = np.array([bias + sum(weights[x] for x in sorted(telling(t))) for t in batch.column(2).to_pylist()], float)
             got = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
