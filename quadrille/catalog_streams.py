@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import catalog_metrics as cm
 from . import catalog_traces as ct
-from .operators import metrics_api, storage
+from .operators import metrics_api, native_histograms, storage
 from .sources import signals
 from .streaming import rules, traces
 
@@ -116,3 +116,29 @@ CASES["metrics_shard"] = (
     lambda spark, sf_dir: events(spark, sf_dir).filter(F.pmod("event_id", F.lit(4)) == 1).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
     "SELECT event_type, count(*) AS n FROM events WHERE event_id % 4 = 1 GROUP BY event_type",
 )
+
+
+# --- native histograms
+def native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powers of two of the events' values, by type and parity of the user."""
+    ev = signals.read(spark, sf_dir, "events").filter("value > 0").select("event_type", F.expr("user_id % 2").alias("odd"), F.ceil(F.log2("value")).cast("int").alias("i"), "value")
+    by = ev.groupBy("event_type", "odd", "i").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("s"))
+    return by.groupBy("event_type", "odd").agg(
+        F.lit(0).alias("schema"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), F.sum("n").alias("count"), F.sum("s").alias("sum"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("pos"),
+        F.create_map().cast("map<int,double>").alias("neg"), F.lit(None).cast("array<double>").alias("custom"),
+    )
+
+
+NH = "WITH b AS (SELECT event_type, ceil(log2(value))::INT AS i, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY i) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM b) "
+CASES["promql_native_histogram_quantile"] = (
+    lambda spark, sf_dir: native_histograms.quantile(native_histograms.merge(native(spark, sf_dir), ["event_type"]), ["event_type"], 0.7).withColumn("v", F.round("v", 6)),
+    NH + "SELECT event_type, round(pow(2, i - 1 + (0.7 * total - upto + n) / n), 6)::DOUBLE AS v FROM c WHERE upto >= 0.7 * total AND upto - n < 0.7 * total",
+)
+CASES["promql_native_histogram_fraction"] = (
+    lambda spark, sf_dir: native_histograms.fraction(native_histograms.merge(native(spark, sf_dir), ["event_type"]), ["event_type"], 0, 48).withColumn("v", F.round("v", 6)),
+    NH + "SELECT event_type, round(sum(CASE WHEN i <= 5 THEN n WHEN i = 6 THEN n * (log2(48) - 5) ELSE 0 END) / max(total), 6)::DOUBLE AS v FROM c GROUP BY event_type",
+)
+CASES["promql_native_histogram_avg"] = (
+    lambda spark, sf_dir: native_histograms.accessor(native_histograms.merge(native(spark, sf_dir), ["event_type"]), ["event_type"], "avg").withColumn("v", F.round("v", 6)),
+    "SELECT event_type, round(avg(value), 6)::DOUBLE AS v FROM events WHERE value > 0 GROUP BY event_type",
+)
