@@ -242,11 +242,9 @@ class Parser:
 
     def field_of(self, kind: str, text: str):
         if kind == "field":
-            parent = text.startswith("parent.") and text.count(".") >= 1
-            rest = text.removeprefix("parent.") if parent else text
-            m = re.match(r"(span|resource|event|link|instrumentation)?\.(.+)$", rest if "." in rest and re.match(r"(span|resource|event|link|instrumentation)?\.", rest) else "." + rest, re.S)
-            key = unquote(m[2]) if m[2][0] == '"' else m[2]
-            return Field(m[1] or "both", key, parent, text)
+            m = re.fullmatch(r"(parent\.)?(?:(span|resource|event|link|instrumentation)\.|\.)?(.+)", text, re.S)
+            key = unquote(m[3]) if m[3][0] == '"' else m[3]
+            return Field(m[2] or "both", key, bool(m[1]), text)
         if kind == "intrinsic" and text in INTRINSICS or kind == "name" and text in INTRINSICS:
             return Field("intrinsic", INTRINSICS[text], False, text)
         if kind == "name" and text in ("true", "false"):
@@ -300,9 +298,7 @@ class Parser:
 
 
 def parse(text: str) -> Query:
-    p = Parser(text)
-    # a filter may also be a stage of its own: "| > 5"
-    return p.parse()
+    return Parser(text).parse()
 
 
 # --- fields as columns
