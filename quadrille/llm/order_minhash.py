@@ -12,8 +12,10 @@ aligned.  Before texts are fetched, candidates whose minima agree too rarely (a
 the threshold) are given up.
 
 Equal word sequences are one class from the start and are sketched once.  In each bucket all documents are
-compared with its smallest; buckets that then still hold several components have all pairs between components
-compared, so that no candidate pair is lost.  No bucket, class or link is gathered in one task or on the driver.
+compared with its smallest.  A bucket that then still holds several components is dealt to blocks of BLOCK documents, or of BLOCK_SHINGLES
+shingles; blocks meet in pairs, first by sizes and minima, which leaves the documents that have a partner at all, then by
+all their shingles.  A pair of blocks returns a forest of its links: no pair of documents becomes a row, and no pair of a bucket
+that could link is lost.  No bucket, class or link is gathered in one task or on the driver.
 
 Defined results: texts that are null or hold no word are classes of their own; texts shorter than K words have one shingle;
 a row without doc_id has no class and is kept; rows that share a doc_id share a class; an empty table gives no
@@ -41,6 +43,8 @@ SKETCHES, SAMPLE = 32, 6
 SHORT, SHORT_SKETCHES = 30, 8
 #: Of SKETCHES minima, 8 bits each, so many must agree.
 AGREE = 15
+#: The bucket blocks: documents of the first comparison, shingles of the second.
+BLOCK, BLOCK_SHINGLES = 512, 200_000
 CACHE_WORDS = 200_000
 WORDS = re.compile(r"\w+").findall
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -189,6 +193,97 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return save(both.mapInArrow(_verify, "a long, b long"))
 
 
+def _blocks(rows: DataFrame, weight, most: int, columns: list[str]) -> DataFrame:
+    """(same, key, block_a, block_b): pairs of blocks of a bucket's rows (key, rep, …), about ``most`` of ``weight`` each."""
+    parts = rows.groupBy("key").agg(F.ceil(F.sum(weight) / most).cast("int").alias("parts"))
+    placed = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blocks = save(placed.groupBy("key", "parts", "part").agg(F.collect_list(F.struct(*columns)).alias("block")))
+    one = blocks.select("key", F.col("part").alias("p"), F.col("block").alias("block_a"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"))
+    two = blocks.select("key", F.col("part").alias("q"), F.col("block").alias("block_b"))
+    return one.join(two, ["key", "q"]).select((F.col("p") == F.col("q")).alias("same"), "key", "block_a", "block_b")
+
+
+def _sides(batch: pa.RecordBatch, row: int) -> tuple:
+    """(same, key, block, block) of a row of block pairs."""
+    return (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].values, batch.column(3)[row].values)
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep) of documents that have a partner of another component whose size and minima allow the threshold."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            _, key, *blocks = _sides(batch, row)
+            (ra, ca, na, sa), (rb, cb, nb, sb) = ((*(x.field(k).to_numpy(zero_copy_only=False) for k in range(3)), np.frombuffer(b"".join(x.field(3).to_pylist()), np.uint8).reshape(len(x), SKETCHES)) for x in blocks)
+            hit_a, hit_b = np.zeros(len(ra), bool), np.zeros(len(rb), bool)
+            for i in range(len(ra)):
+                rows = np.flatnonzero((cb != ca[i]) & (np.minimum(na[i], nb) >= THRESHOLD * np.maximum(na[i], nb) - 1e-9))
+                if len(rows):
+                    good = rows[(sb[rows] == sa[i]).sum(1) >= AGREE]
+                    if len(good):
+                        hit_a[i] = hit_b[good] = True
+            found = np.unique(np.concatenate([ra[hit_a], rb[hit_b]]))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "rep"])
+
+
+def _labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = [shingler.labelled(shingler.words(t)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["rep", "x"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest (a, b) of the links between documents of different components of two blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            same, _, *blocks = _sides(batch, row)
+            (ra, ca, xa), (rb, cb, xb) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), [np.frombuffer(v, np.uint64) for v in x.field(2).to_pylist()]) for x in blocks)
+            sizes = np.array([len(v) for v in xb])
+            known, ids = np.unique(np.concatenate(xb), return_inverse=True)
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            held = np.zeros(len(known) + 1, bool)
+            pairs: list[tuple[int, int]] = []
+            root: dict[int, int] = {}
+
+            def top(k: int, root=root) -> int:
+                while (up := root.get(k, k)) != k:
+                    k = up
+                return k
+
+            for i, x in enumerate(xa):
+                n = len(x)
+                rows = np.flatnonzero((cb != ca[i]) & (np.minimum(n, sizes) >= THRESHOLD * np.maximum(n, sizes) - 1e-9) & ((rb > ra[i]) if same else True))
+                if not len(rows):
+                    continue
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                mine = at[known[at] == x]
+                held[mine] = True
+                common = np.add.reduceat(held[ids].astype(np.int32), starts)[rows]
+                held[mine] = False
+                for j in rows[common >= THRESHOLD * (n + sizes[rows]) / (1 + THRESHOLD) - 1e-9]:
+                    u, v = top(int(ca[i])), top(int(cb[j]))
+                    if u != v and aligned(x, xb[j]):
+                        root[max(u, v)] = min(u, v)
+                        pairs.append((int(ra[i]), int(rb[j])))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], ["a", "b"])
+
+
+def _settled(docs: DataFrame, reps: DataFrame, open_: DataFrame) -> DataFrame:
+    """Links between the components of buckets (key, rep, component) that hold several."""
+    facts = open_.join(reps.select("rep", "n", "sig"), "rep")
+    some = save(_blocks(facts, F.lit(1), BLOCK, ["rep", "component", "n", "sig"]).mapInArrow(_partners, "key long, rep long").distinct())
+    wanted = some.select("rep").distinct().join(reps.select("rep", "text_hash"), "rep")
+    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = found.join(wanted, ["rep", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text")
+    arrays = save(texts.mapInArrow(_labelled_rows, "rep long, x binary"))
+    rows = open_.join(some, ["key", "rep"]).join(arrays, "rep")
+    return save(_blocks(rows, F.octet_length("x") / 8, BLOCK_SHINGLES, ["rep", "component", "x"]).mapInArrow(_block_links, "a long, b long"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, class_id) of each row that holds a word and has an id; equal for near-duplicates: the smallest id of the class.
 
@@ -203,16 +298,13 @@ def classes(docs: DataFrame) -> DataFrame:
     held = save(members.join(buckets, "key").select("key", "rep", "leader", "size"))
     first = _links(docs, reps, held.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     # buckets of two are settled; of larger ones those that hold several components are not
-    label = save(components(first.select("a", "b")))
-    placed = held.filter("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
-    placed = save(placed)
+    label = save(components(first))
+    placed = held.filter("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_ = placed.join(mixed, "key")
-    one, two = (open_.select("key", F.col("rep").alias(c), F.col("component").alias(f"of_{c}"), F.col("leader").alias(f"leader_{c}")) for c in "ab")
-    cross = one.join(two, "key").filter("a < b and of_a <> of_b and a <> leader_a").select("a", "b")
-    second = _links(docs, reps, cross)
-    joined = components(first.unionByName(second).select("a", "b"))
-    final = save(reps.select("c1", "c2", "rep", F.col("text_hash").alias("rep_hash")).join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep")).drop("component"))
+    open_ = save(placed.join(mixed, "key"))
+    if not open_.isEmpty():  # what is known already goes on as a star of each component
+        label = save(components(label.toDF("a", "b").unionByName(_settled(docs, reps, open_))))
+    final = save(reps.select("c1", "c2", "rep", F.col("text_hash").alias("rep_hash")).join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep")).drop("component"))
     return sketched.select("doc_id", "text_hash", "c1", "c2").join(final, ["c1", "c2"]).select(
         "doc_id", "text_hash", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("rep") == F.col("class_id")) & (F.col("text_hash") == F.col("rep_hash"))).alias("first")
     )
