@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, after forests within partitions.
 
 Every step is a minimum by key, which sums before it shuffles, and a join with that written result, whose hot keys
-adaptive execution splits.  Nothing is gathered on the driver but a count and a checksum.
+adaptive execution splits.  Nothing is gathered on the driver but a count and a checksum.  The steps are many and their tables often
+small: each is written by a task for every EDGES edges, LEAST tasks at least, and not by one for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, save
 
+EDGES, LEAST = 200_000, 8
+
 
 def local_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of the pairs (a, b) and the smallest vertex of each one's component."""
@@ -61,19 +64,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): every vertex of the two long columns of ``edges``, and the smallest one it reaches, itself included."""
+    """(id, component): every vertex of the two long columns of ``edges``, a written table, and the smallest one it reaches, itself included."""
     first, second = edges.columns
     own = edges.select(F.col(first).cast("long").alias("u"), F.col(second).cast("long").alias("v")).filter("u <> v")
-    e = save(own.mapInArrow(_forest, "u long, v long").distinct())  # u > v throughout
+    tasks = max(LEAST, edges.count() // EDGES)
+    e = save(own.coalesce(tasks).mapInArrow(_forest, "u long, v long").distinct().coalesce(tasks))  # u > v throughout
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(e)
     while before[0]:
+        tasks = max(LEAST, before[0] // EDGES)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = save(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        parent = save(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks))
+        large = save(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks))
+        parent = save(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
         rest = large.join(parent, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = save(rest.unionByName(parent.select("u", F.col("m").alias("v"))).distinct())
+        small = save(rest.unionByName(parent.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
         discard(e, least, large, parent)
         e, after = small, state(small)
         if after == before:
