@@ -5,10 +5,11 @@ labelled with its occurrence, so that all are different.  A sketch takes the SAM
 one hash function and keeps them in the order of the text; documents that agree on one of the SKETCHES sketches
 are candidates.  Short documents, whose samples would be most of their text, have single minima besides.
 
-Two documents link if an alignment of their labelled shingles, the longest chain of equal ones in the same
+Two documents link if an alignment of their shingles, the longest chain of equal ones in the same
 order, has length A with A / (n + m - A) >= THRESHOLD.  Such an alignment skips at most
 (n + m) * (1 - THRESHOLD) / (1 + THRESHOLD) shingles, so only matches within that band off the diagonal are
-aligned.  Before texts are fetched, candidates whose minima agree too rarely (a chance of 1 in 30,000 at
+aligned.  A chain of labelled shingles that is long enough settles it; if there is none and a text repeats shingles, any two equal ones
+may match: labels behind an inserted or lost occurrence are shifted.  Before texts are fetched, candidates whose minima agree too rarely (a chance of 1 in 30,000 at
 the threshold) are given up.
 
 Equal word sequences are one class from the start and are sketched once.  In each bucket all documents are
@@ -45,6 +46,8 @@ SHORT, SHORT_SKETCHES = 30, 8
 AGREE = 15
 #: The bucket blocks: documents of the first comparison, shingles of the second.
 BLOCK, BLOCK_SHINGLES = 512, 200_000
+#: So many rows of an alignment share one window of columns.
+ROWS = 1024
 CACHE_WORDS = 200_000
 WORDS = re.compile(r"\w+").findall
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -66,25 +69,33 @@ class Shingler:
             kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return np.fromiter((kept[w] for w in found), np.uint64, len(found))
 
-    def labelled(self, words: np.ndarray, k: int = K) -> np.ndarray:
-        """One hash for each shingle, in order; equal shingles differ by their occurrence."""
+    def shingles(self, words: np.ndarray, k: int = K) -> np.ndarray:
+        """One hash for each shingle, in order."""
         if not len(words):
             return words
         n = max(1, len(words) - k + 1)
         h = np.zeros(n, np.uint64)
         for j in range(min(k, len(words))):
             h = h * STEP + words[j : j + n]
-        h = mix64(h)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = np.r_[False, s[1:] == s[:-1]]
-        if same.any():
-            at = np.arange(n)
-            start = np.maximum.accumulate(np.where(same, 0, at))
-            again = np.empty(n, np.uint64)
-            again[order] = (at - start).astype(np.uint64)
-            h = np.where(again > 0, mix64(h + again * GOLD), h)
-        return h
+        return mix64(h)
+
+    def labelled(self, words: np.ndarray, k: int = K) -> np.ndarray:
+        """One hash for each shingle, in order; equal shingles differ by their occurrence."""
+        return label(self.shingles(words, k))
+
+
+def label(h: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrences; ``h`` itself if all are different."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    same = np.r_[False, s[1:] == s[:-1]]
+    if same.any():
+        at = np.arange(len(h))
+        start = np.maximum.accumulate(np.where(same, 0, at))
+        again = np.empty(len(h), np.uint64)
+        again[order] = (at - start).astype(np.uint64)
+        h = np.where(again > 0, mix64(h + again * GOLD), h)
+    return h
 
 
 def folded(parts: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -112,25 +123,74 @@ def sketch(x: np.ndarray) -> tuple[bytes, np.ndarray]:
     return (np.concatenate(minima) & np.uint64(255)).astype(np.uint8).tobytes(), np.concatenate(keys).view(np.int64)
 
 
-def aligned(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether the banded alignment of labelled shingles reaches the threshold."""
+def chained(x: np.ndarray, y: np.ndarray, need: int) -> bool:
+    """Whether ``need`` entries of x, which may repeat, equal entries of y in the same order.
+
+    The longest common subsequence, a row of the table as the bits of a number: a bit is 0 where the length grows.  A match (i, j)
+    of a chain that is long enough has j - (m - need) <= i <= j + n - need, so rows hold the columns of that band.
+    """
+    x, y = x[np.isin(x, y)], y[np.isin(y, x)]
+    for _ in range(2):  # equal beginnings, then equal ends
+        most = min(len(x), len(y))
+        same = int(np.r_[x[:most] != y[:most], True].argmax())
+        x, y, need = x[same:][::-1], y[same:][::-1], need - same
+    n, m = len(x), len(y)
+    if need <= 0 or min(n, m) < need:
+        return need <= 0
+    row, left, right, passed = 0, 0, 0, 0
+    for at in range(0, m, ROWS):
+        part = y[at : at + ROWS]
+        lo, hi = max(0, at - (m - need)), min(n, at + len(part) + n - need)
+        gone = lo - left
+        passed += gone - (row & ((1 << gone) - 1)).bit_count()
+        row = row >> gone | ((1 << (hi - right)) - 1) << (right - lo)
+        left, right, full = lo, hi, (1 << (hi - lo)) - 1
+        order = np.argsort(x[lo:hi], kind="stable")
+        known = np.unique(part)
+        first, end = (np.searchsorted(x[lo:hi], known, side, sorter=order) for side in ("left", "right"))
+        masks = {}
+        for v, a, b in zip(known.tolist(), first.tolist(), end.tolist(), strict=True):
+            held = np.zeros(hi - lo, bool)
+            held[order[a:b]] = True
+            masks[v] = int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+        for v in part.tolist():
+            if hit := row & masks[v]:
+                row = (row + hit | row - hit) & full
+        length = passed + hi - lo - row.bit_count()
+        if length >= need:
+            return True
+        if length + m - at - len(part) < need:
+            return False
+    return False
+
+
+def aligned(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, plain: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """Whether the banded alignment of labelled shingles reaches the threshold, or else that of ``plain``, the same without labels."""
     n, m = len(x), len(y)
     need = int(np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
     if min(n, m) < need or not need:
         return False
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= n + m - 2 * need
-    i, j = i[near], j[near]
     if len(i) < need:
         return False
-    j = j[np.argsort(i, kind="stable")]
-    if (np.diff(j) > 0).all():
-        return True
-    ends: list[int] = []  # the longest rising chain
-    for v in j.tolist():
-        k = bisect_left(ends, v)
-        ends[k : k + 1] = [v]
-    return len(ends) >= need
+    near = np.abs(i - j) <= n + m - 2 * need
+    i, j = i[near], j[near]
+    if len(i) >= need:
+        j = j[np.argsort(i, kind="stable")]
+        if (np.diff(j) > 0).all():
+            return True
+        ends: list[int] = []  # the longest rising chain
+        for v in j.tolist():
+            k = bisect_left(ends, v)
+            ends[k : k + 1] = [v]
+        if len(ends) >= need:
+            return True
+    return plain is not None and chained(*plain, need)
+
+
+def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """``aligned`` for two texts' shingles, each without and with labels."""
+    return aligned(x[1], y[1], plain=(x[0], y[0]) if x[0] is not x[1] or y[0] is not y[1] else None)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +228,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text_a, text_b) that align; texts of one a come together."""
     shingler = Shingler()
     last, x = None, None
+
+    def both(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        h = shingler.shingles(shingler.words(text))
+        return h, label(h)
+
     for batch in batches:
         good = []
         for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             if a != last:
-                last, x = a, shingler.labelled(shingler.words(s.as_py()))
-            good.append(aligned(x, shingler.labelled(shingler.words(t))))
+                last, x = a, both(s.as_py())
+            good.append(alike(x, both(t)))
         if any(good):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
@@ -226,12 +291,12 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "rep"])
 
 
-def _labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            rows = [shingler.labelled(shingler.words(t)).tobytes() for t in part.column(1).to_pylist()]
+            rows = [shingler.shingles(shingler.words(t)).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["rep", "x"])
 
 
@@ -240,7 +305,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             same, _, *blocks = _sides(batch, row)
-            (ra, ca, xa), (rb, cb, xb) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), [np.frombuffer(v, np.uint64) for v in x.field(2).to_pylist()]) for x in blocks)
+            (ra, ca, ha), (rb, cb, hb) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), [np.frombuffer(v, np.uint64) for v in x.field(2).to_pylist()]) for x in blocks)
+            xa, xb = [label(v) for v in ha], [label(v) for v in hb]
             sizes = np.array([len(v) for v in xb])
             known, ids = np.unique(np.concatenate(xb), return_inverse=True)
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -265,7 +331,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[mine] = False
                 for j in rows[common >= THRESHOLD * (n + sizes[rows]) / (1 + THRESHOLD) - 1e-9]:
                     u, v = top(int(ca[i])), top(int(cb[j]))
-                    if u != v and aligned(x, xb[j]):
+                    if u != v and alike((ha[i], x), (hb[j], xb[j])):
                         root[max(u, v)] = min(u, v)
                         pairs.append((int(ra[i]), int(rb[j])))
             if pairs:
@@ -279,7 +345,7 @@ def _settled(docs: DataFrame, reps: DataFrame, open_: DataFrame) -> DataFrame:
     wanted = some.select("rep").distinct().join(reps.select("rep", "text_hash"), "rep")
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     texts = found.join(wanted, ["rep", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text")
-    arrays = save(texts.mapInArrow(_labelled_rows, "rep long, x binary"))
+    arrays = save(texts.mapInArrow(_shingle_rows, "rep long, x binary"))
     rows = open_.join(some, ["key", "rep"]).join(arrays, "rep")
     return save(_blocks(rows, F.octet_length("x") / 8, BLOCK_SHINGLES, ["rep", "component", "x"]).mapInArrow(_block_links, "a long, b long"))
 

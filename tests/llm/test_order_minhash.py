@@ -93,3 +93,65 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.class_id or 0) for r in om.near_duplicates(df).collect()) == [(False, 0, 0), (True, 3, 3), (True, 5, 3), (True, 5, 3), (True, 7, 7)]
     assert sorted(r.doc_id or 0 for r in om.one_of_each(df).collect()) == [0, 3, 7]
     assert om.near_duplicates(df.filter("false")).count() == 0 and om.one_of_each(df.filter("false")).columns == df.columns
+
+
+def longest(x: list, y: list) -> int:
+    """The longest common subsequence by the plain dynamic program."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        new = [0]
+        for j, b in enumerate(y):
+            new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def repeated_lines() -> list[tuple[str, str]]:
+    """Texts that repeat a line, and copies with words changed, added or lost."""
+    rng = random.Random(9)
+    out = []
+    for words, times in ((20, 30), (12, 40), (30, 20), (3, 60), (7, 25)):
+        base = [f"r{words}x{k}" for k in range(words)] * times
+        for changes in (1, 2, 4, 8, 16, 24):
+            copy = [*base]
+            for c in range(changes):
+                at = 5 if c == 0 else rng.randrange(len(copy))
+                copy[at : at + rng.choice((0, 1, 1))] = rng.choice(([], [f"c{changes}w{c}"], [f"c{changes}w{c}", "again"]))
+            out.append((" ".join(base), " ".join(copy)))
+        out.append((" ".join(base), " ".join(base[: len(base) * 4 // 5])))
+    return out
+
+
+def test_repeated_shingles_equal_plain_alignment(monkeypatch):
+    shingler = om.Shingler()
+    seen = {True: 0, False: 0}
+    for rows in (om.ROWS, 7):
+        monkeypatch.setattr(om, "ROWS", rows)
+        for a, b in repeated_lines():
+            x, y = (shingler.shingles(shingler.words(t)) for t in (a, b))
+            best = longest(x.tolist(), y.tolist())
+            assert om.chained(x, y, best) and not om.chained(x, y, best + 1)
+            want = best / (len(x) + len(y) - best) >= om.THRESHOLD
+            assert om.alike((x, om.label(x)), (y, om.label(y))) == want
+            seen[want] += 1
+    assert all(seen.values())
+    rng = np.random.default_rng(3)
+    for _ in range(300):  # few different entries, lengths about a window
+        x, y = (rng.integers(0, rng.integers(1, 6), rng.integers(0, 40)).astype(np.uint64) for _ in "ab")
+        best = longest(x.tolist(), y.tolist())
+        assert om.chained(x, y, best) and not om.chained(x, y, best + 1)
+
+
+def test_copies_of_repeated_lines(spark, monkeypatch):
+    """A word changed near the start, found by the first comparison and by that of blocks."""
+    texts = []
+    for words, times in ((20, 30), (12, 40), (30, 20)):
+        base = [f"r{words}x{k}" for k in range(words)] * times
+        texts += [" ".join(base), " ".join([*base[:7], "other", *base[8:]])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.class_id for r in om.near_duplicates(docs).collect()} == {k: k // 2 * 2 for k in range(6)}
+    shingler = om.Shingler()
+    rows = [{"rep": k, "component": k, "x": shingler.shingles(shingler.words(t)).tobytes()} for k, t in enumerate(texts)]
+    block = om.pa.array([rows], om.pa.list_(om.pa.struct([("rep", om.pa.int64()), ("component", om.pa.int64()), ("x", om.pa.binary())])))
+    batch = om.pa.RecordBatch.from_arrays([om.pa.array([True]), om.pa.array([0]), block, block], ["same", "key", "block_a", "block_b"])
+    assert [(r["a"], r["b"]) for out in om._block_links([batch]) for r in out.to_pylist()] == [(0, 1), (2, 3), (4, 5)]
