@@ -6,8 +6,8 @@ moves the vector of inclusion probabilities through the null space of the constr
 "number of tokens", which keeps both totals, until all but two documents of a block are decided.
 
 Blocks of BLOCK documents or fewer, chosen by hash within a source, fly independently; what they leave
-undecided forms the blocks of the next level, until a source has one block.  Its last few
-documents are landed together: of all choices, the one that comes nearest to the expected totals.
+undecided forms the blocks of the next level, until a source has one block, at whatever level that is.  Its last few
+documents are landed together then: of all choices, the one that comes nearest to the expected totals.
 
 Defined results: a null text has size 0; a null source comes last in order; documents with size 0 are never taken (their
 words are none); repeated rows are rows of their own; an empty table gives no rows.  All randomness
@@ -109,25 +109,20 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(table: pa.Table, last: bool) -> pa.Table:
+def _fly(table: pa.Table, block: int) -> pa.Table:
+    blocks = table["blocks"][0].as_py()
+    last = blocks == 1
     order = np.lexsort((table["size"].to_numpy(), table["tie"].to_numpy()))
     table = table.take(pa.array(order))
     x, p = table["size"].to_numpy().astype(float), table["p"].to_numpy()
     seed = zlib.crc32(f"{table['source'][0].as_py()}/{table['block'][0].as_py()}".encode())
-    p = flight(p, x, seed, RESERVE if last else 0)
+    # the reserve of several blocks goes on to the source's last block if that can hold it
+    p = flight(p, x, seed, RESERVE if last or blocks * (RESERVE + 2) <= block else 0)
     if last:
         p = landing(p, x)
     return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
 
-def _flown(table: pa.Table) -> pa.Table:
-    return _fly(table, False)
-
-
-def _landed(table: pa.Table) -> pa.Table:
-    return _fly(table, True)
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, row_key, size, source, source_size, target, taken, copies) for each row.
 
@@ -152,14 +147,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .withColumn("whole", F.least(F.floor(ratio), F.lit(int(most))).cast("int")).withColumn("p", F.when(F.col("size") == 0, 0.0).otherwise(ratio - F.col("whole")))
         .withColumn("tie", tie).withColumn("block", F.pmod("tie", "blocks").cast("int"))
     )
+
+    def fly(table: pa.Table) -> pa.Table:
+        return _fly(table, block)
+
     level, most_blocks = 0, max(-(-g.n // block) for g in groups)
     done, left = [], rows
     while True:
         schema = left.schema
-        only = most_blocks == 1
-        flown = save(left.groupBy("source", "block").applyInArrow(_landed if only else _flown, schema))
+        flown = save(left.groupBy("source", "block").applyInArrow(fly, schema))
         done.append(flown.filter((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)))
-        if only:
+        if most_blocks == 1:
             break
         level, most_blocks = level + 1, -(-2 * most_blocks // block)
         left = flown.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("blocks", F.ceil(F.col("blocks") * 2 / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("tie", F.lit(level)), "blocks").cast("int"))

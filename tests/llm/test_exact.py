@@ -94,6 +94,20 @@ def test_mix(spark):
     assert mixing.mix(documents(spark, texts).filter("false")).count() == 0
 
 
+def test_small_sources_beside_a_large_one(spark):
+    rng = random.Random(6)
+    sources = ["large"] * 300 + [f"s{k:02d}" for k in range(20) for _ in range(40)] + ["two"] * 66
+    texts = ["w " * rng.randrange(50, 500) for _ in sources]
+    rows = mixing.mix(documents(spark, texts, sources), block=64).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    miss = {s: abs(taken[s] - t) / t for s, t in target.items()}
+    print(sorted(miss.values()))
+    assert len(rows) == len(texts) and float(np.median([*miss.values()])) <= 0.0005 and max(miss.values()) <= 0.005
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.floats(0.01, 0.99), st.integers(1, 500)), min_size=3, max_size=80), st.integers(0, 99))
 def test_flight_keeps_totals(rows, seed):
