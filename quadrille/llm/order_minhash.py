@@ -9,18 +9,22 @@ Two documents link if an alignment of their shingles, the longest chain of equal
 order, has length A with A / (n + m - A) >= THRESHOLD.  Such an alignment skips at most
 (n + m) * (1 - THRESHOLD) / (1 + THRESHOLD) shingles, so only matches within that band off the diagonal are
 aligned.  A chain of labelled shingles that is long enough settles it; if there is none and a text repeats shingles, any two equal ones
-may match: labels behind an inserted or lost occurrence are shifted.  Before texts are fetched, candidates whose minima agree too rarely (a chance of 1 in 30,000 at
-the threshold) are given up.
+may match: labels behind an inserted or lost occurrence are shifted.  One changed word breaks K shingles, so THRESHOLD allows
+about 1 changed word in 45.
 
-Equal word sequences are one class from the start and are sketched once.  In each bucket all documents are
-compared with its smallest.  A bucket that then still holds several components is dealt to blocks of BLOCK documents, or of BLOCK_SHINGLES
-shingles; blocks meet in pairs, first by sizes and minima, which leaves the documents that have a partner at all, then by
+Before texts are fetched, candidates are held against bitmaps of their labelled shingles: a bit that one has and the other lacks
+is a shingle that the other lacks, so a pair with more of them than an alignment may skip cannot link.  This gives up no pair that links.
+
+Equal word sequences are one text from the start and are sketched once.  In each bucket all texts are
+compared with its first.  A bucket that then still holds several components is dealt to blocks of BLOCK texts, or of BLOCK_SHINGLES
+shingles, by size and component; blocks whose sizes are too different, or that hold one and the same component, do not meet.
+Others meet in pairs, first by bitmaps, which leaves the texts that can have a partner at all, then by
 all their shingles.  A pair of blocks returns a forest of its links: no pair of documents becomes a row, and no pair of a bucket
-that could link is lost.  No bucket, class or link is gathered in one task or on the driver.
+that links is lost.  No bucket, class or link is gathered in one task or on the driver.
 
 Defined results: texts that are null or hold no word are classes of their own; texts shorter than K words have one shingle;
-a row without doc_id has no class and is kept; rows that share a doc_id share a class; an empty table gives no
-rows; further columns are ignored by ``classes`` and kept by ``one_of_each``.
+a row without doc_id has no class and is kept; rows that share a doc_id share a class, whatever their texts; an empty table gives no
+rows; further columns, of any name, are ignored by ``classes`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -32,27 +36,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, save
+from .common import mix64, quoted, save, unused
 from .components import components
 
 K, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLE = 32, 6
 #: Documents with so many shingles or fewer have SHORT_SKETCHES single minima besides; below SHORT the samples alone are too unsure.
 SHORT, SHORT_SKETCHES = 30, 8
-#: Of SKETCHES minima, 8 bits each, so many must agree.
-AGREE = 15
-#: The bucket blocks: documents of the first comparison, shingles of the second.
-BLOCK, BLOCK_SHINGLES = 512, 200_000
+#: The bucket blocks: texts of the first comparison (a text's bitmap counts as one more for each UNIT bytes), shingles of the second.
+BLOCK, UNIT, BLOCK_SHINGLES = 512, 256, 200_000
 #: So many rows of an alignment share one window of columns.
 ROWS = 1024
 CACHE_WORDS = 200_000
 WORDS = re.compile(r"\w+").findall
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 GOLD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SKETCHED = "doc_id long, text_hash long, c1 long, c2 long, n int, sig binary, keys array<long>"
+SKETCHED = "doc_id long, text_hash long, c1 long, c2 long, n int, bits binary, keys array<long>"
 
 
 class Shingler:
@@ -106,21 +108,49 @@ def folded(parts: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(x: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(8 bits of each minimum, bucket keys) of labelled shingles."""
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Bucket keys of labelled shingles."""
     n, rows = len(x), max(1, (1 << 20) // len(x))
     take = min(SAMPLE, n)
-    keys, minima = [], []
+    keys = []
     for at in range(0, SKETCHES, rows):
         seeds = SEEDS[at : at + rows]
         h = mix64(x ^ seeds[:, None])
         chosen = np.argpartition(h, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(seeds), 1))
         keys.append(folded(x[np.sort(chosen, axis=1)], seeds))
-        least = h.argmin(1)
-        minima.append(h[np.arange(len(seeds)), least])
         if n <= SHORT and at < SHORT_SKETCHES:
+            least = h.argmin(1)
             keys.append(mix64(x[least[: SHORT_SKETCHES - at]] ^ mix64(seeds[: SHORT_SKETCHES - at])))
-    return (np.concatenate(minima) & np.uint64(255)).astype(np.uint8).tobytes(), np.concatenate(keys).view(np.int64)
+    return np.concatenate(keys).view(np.int64)
+
+
+def bitmap(x: np.ndarray) -> bytes:
+    """Labelled shingles as bits of 64-bit words: a power of two of them, two bits a shingle at least."""
+    size = max(64, 1 << (2 * len(x) - 1).bit_length())
+    held = np.zeros(size, bool)
+    held[x & np.uint64(size - 1)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def narrowed(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, as rows or one, of ``words`` 64-bit words: a bit stands for all that fall on it."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def needed(n, m):
+    """The least length of an alignment of n and m shingles that links."""
+    return np.ceil(THRESHOLD * (n + m) / (1 + THRESHOLD) - 1e-9)
+
+
+def linkable(n, x: np.ndarray, m, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and bitmaps, rows or one, let a pair link: each lacks no more of the other than an alignment may skip."""
+    words = min(x.shape[-1], y.shape[-1])
+    x, y, need = narrowed(x, words), narrowed(y, words), needed(n, m)
+    lack = lambda a, b: np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    return (np.minimum(n, m) >= need) & (lack(x, y) <= n - need) & (lack(y, x) <= m - need)
 
 
 def chained(x: np.ndarray, y: np.ndarray, need: int) -> bool:
@@ -194,6 +224,7 @@ def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) ->
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SKETCHED; a text without a word has n = 0 and no keys."""
     shingler = Shingler()
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
@@ -202,26 +233,28 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, text_hash, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 words = shingler.words(text)
                 if not len(words):
+                    rows.append((doc, text_hash, 0, 0, 0, b"", np.empty(0, np.int64)))
                     continue
                 c = np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), np.int64)
                 x = shingler.labelled(words)
-                sig, keys = sketch(x)
-                rows.append((doc, text_hash, int(c[0]), int(c[1]), len(x), sig, keys))
+                rows.append((doc, text_hash, int(c[0]), int(c[1]), len(x), bitmap(x), sketch(x)))
             if rows:
                 cols = [*zip(*rows, strict=True)]
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[6])]), pa.int32()), pa.array(np.concatenate(cols[6])))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:6], types, strict=True)), flat], ["doc_id", "text_hash", "c1", "c2", "n", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:6], types, strict=True)), flat], ["doc_id", "text_hash", "c1", "c2", "n", "bits", "keys"])
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n_a, n_b, sig_a, sig_b) whose sizes and minima allow the threshold."""
+    """Pairs (a, b, n_a, n_b, bits_a, bits_b) that can link."""
     for batch in batches:
         n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCHES) for c in (4, 5)]
-        good = (np.minimum(n, m) >= THRESHOLD * np.maximum(n, m) - 1e-9) & ((bits[0] == bits[1]).sum(1) >= AGREE)
-        if good.any():
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+        near = np.minimum(n, m) >= needed(n, m)
+        for k in np.flatnonzero(near):
+            x, y = (np.frombuffer(batch.column(c)[int(k)].as_buffer(), np.uint64) for c in (4, 5))
+            near[k] = linkable(n[k], x, m[k], y)
+        if near.any():
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,29 +276,50 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
 
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, text) of the wanted (uid): of the rows that hold a text one is taken, by its id and hash."""
+    keyed = reps.select("uid", "rep", "text_hash").join(wanted, "uid")
+    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    return found.join(keyed, ["rep", "text_hash"]).dropDuplicates(["uid"]).select("uid", "text")
+
+
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that align, written."""
-    facts = reps.select("rep", "n", "sig")
-    side = lambda c: facts.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_plausible, "a long, b long")
+    side = lambda c: reps.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_plausible, "a long, b long")
     near = save(near)
-    wanted = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    wanted = reps.select("rep", "text_hash").join(wanted, "rep")
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = save(found.join(wanted, ["rep", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text"))
-    one, two = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    texts = save(_texts(docs, reps, near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct()))
+    one, two = (texts.select(F.col("uid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = near.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
     return save(both.mapInArrow(_verify, "a long, b long"))
 
 
+def band() -> Column:
+    """The band of a size; bands are a little wider than the threshold, so only texts of one band or of adjacent bands can link."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(-1.001 * np.log(THRESHOLD))).cast("int")
+
+
 def _blocks(rows: DataFrame, weight, most: int, columns: list[str]) -> DataFrame:
-    """(same, key, block_a, block_b): pairs of blocks of a bucket's rows (key, rep, …), about ``most`` of ``weight`` each."""
-    parts = rows.groupBy("key").agg(F.ceil(F.sum(weight) / most).cast("int").alias("parts"))
-    placed = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    blocks = save(placed.groupBy("key", "parts", "part").agg(F.collect_list(F.struct(*columns)).alias("block")))
-    one = blocks.select("key", F.col("part").alias("p"), F.col("block").alias("block_a"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"))
-    two = blocks.select("key", F.col("part").alias("q"), F.col("block").alias("block_b"))
-    return one.join(two, ["key", "q"]).select((F.col("p") == F.col("q")).alias("same"), "key", "block_a", "block_b")
+    """(same, key, block_a, block_b): pairs of blocks of a bucket's rows (key, uid, component, n, …), about ``most`` of ``weight`` each.
+
+    A block holds rows of one band of sizes and, where a component fills a block or more, of that component alone (``only``; -1
+    for the others).  Pairs of blocks of one such component, and of bands that are not adjacent, are left out.
+    """
+    banded = rows.withColumn("band", band())
+    sums = banded.groupBy("key", "band", "component").agg(F.sum(weight).alias("weight"))
+    sums = save(sums.withColumn("only", F.when(F.col("weight") >= most, F.col("component")).otherwise(-1)))
+    parts = sums.groupBy("key", "band", "only").agg(F.ceil(F.sum("weight") / most).cast("int").alias("parts"))
+    placed = banded.join(sums.select("key", "band", "component", "only"), ["key", "band", "component"])
+    dealt = placed.join(parts, ["key", "band", "only"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    by = ["key", "band", "only", "part"]
+    blocks = save(dealt.repartition(*by).groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("block")).withColumn("id", F.monotonically_increasing_id()))
+    heads = blocks.select("key", "band", "only", "id")
+    one = heads.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("band_a"), F.col("only").alias("only_a"), F.col("id").alias("a"))
+    met = one.join(heads.select("key", "band", F.col("only").alias("only_b"), F.col("id").alias("b")), ["key", "band"])
+    met = met.filter(((F.col("band") > F.col("band_a")) | (F.col("a") <= F.col("b"))) & ((F.col("only_a") < 0) | (F.col("only_a") != F.col("only_b"))))
+    two = blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
+    return met.select("key", "a", "b").join(two, "b").join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").select((F.col("a") == F.col("b")).alias("same"), "key", "block_a", "block_b")
 
 
 def _sides(batch: pa.RecordBatch, row: int) -> tuple:
@@ -274,21 +328,25 @@ def _sides(batch: pa.RecordBatch, row: int) -> tuple:
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rep) of documents that have a partner of another component whose size and minima allow the threshold."""
+    """(key, uid) of texts that have a partner of another component with which they can link."""
     for batch in batches:
         for row in range(batch.num_rows):
             _, key, *blocks = _sides(batch, row)
-            (ra, ca, na, sa), (rb, cb, nb, sb) = ((*(x.field(k).to_numpy(zero_copy_only=False) for k in range(3)), np.frombuffer(b"".join(x.field(3).to_pylist()), np.uint8).reshape(len(x), SKETCHES)) for x in blocks)
+            (ra, ca, na, sa), (rb, cb, nb, sb) = ((*(x.field(k).to_numpy(zero_copy_only=False) for k in range(3)), [np.frombuffer(v, np.uint64) for v in x.field(3).to_pylist()]) for x in blocks)
             hit_a, hit_b = np.zeros(len(ra), bool), np.zeros(len(rb), bool)
+            widths = np.array([len(v) for v in sb])
+            groups = [(at, np.stack([sb[k] for k in at])) for at in (np.flatnonzero(widths == w) for w in np.unique(widths))]
             for i in range(len(ra)):
-                rows = np.flatnonzero((cb != ca[i]) & (np.minimum(na[i], nb) >= THRESHOLD * np.maximum(na[i], nb) - 1e-9))
-                if len(rows):
-                    good = rows[(sb[rows] == sa[i]).sum(1) >= AGREE]
-                    if len(good):
-                        hit_a[i] = hit_b[good] = True
+                for at, bits in groups:
+                    some = (cb[at] != ca[i]) & (np.minimum(na[i], nb[at]) >= needed(na[i], nb[at]))
+                    if some.any():
+                        at = at[some]
+                        good = at[linkable(na[i], sa[i], nb[at], bits[some])]
+                        if len(good):
+                            hit_a[i] = hit_b[good] = True
             found = np.unique(np.concatenate([ra[hit_a], rb[hit_b]]))
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "uid"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +355,11 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             rows = [shingler.shingles(shingler.words(t)).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["rep", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["uid", "x"])
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest (a, b) of the links between documents of different components of two blocks."""
+    """A forest (a, b) of the links between texts of different components of two blocks."""
     for batch in batches:
         for row in range(batch.num_rows):
             same, _, *blocks = _sides(batch, row)
@@ -321,7 +379,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             for i, x in enumerate(xa):
                 n = len(x)
-                rows = np.flatnonzero((cb != ca[i]) & (np.minimum(n, sizes) >= THRESHOLD * np.maximum(n, sizes) - 1e-9) & ((rb > ra[i]) if same else True))
+                rows = np.flatnonzero((cb != ca[i]) & (np.minimum(n, sizes) >= needed(n, sizes)) & ((rb > ra[i]) if same else True))
                 if not len(rows):
                     continue
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -329,7 +387,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[mine] = True
                 common = np.add.reduceat(held[ids].astype(np.int32), starts)[rows]
                 held[mine] = False
-                for j in rows[common >= THRESHOLD * (n + sizes[rows]) / (1 + THRESHOLD) - 1e-9]:
+                for j in rows[common >= needed(n, sizes[rows])]:
                     u, v = top(int(ca[i])), top(int(cb[j]))
                     if u != v and alike((ha[i], x), (hb[j], xb[j])):
                         root[max(u, v)] = min(u, v)
@@ -339,60 +397,66 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(docs: DataFrame, reps: DataFrame, open_: DataFrame) -> DataFrame:
-    """Links between the components of buckets (key, rep, component) that hold several."""
-    facts = open_.join(reps.select("rep", "n", "sig"), "rep")
-    some = save(_blocks(facts, F.lit(1), BLOCK, ["rep", "component", "n", "sig"]).mapInArrow(_partners, "key long, rep long").distinct())
-    wanted = some.select("rep").distinct().join(reps.select("rep", "text_hash"), "rep")
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = found.join(wanted, ["rep", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text")
-    arrays = save(texts.mapInArrow(_shingle_rows, "rep long, x binary"))
-    rows = open_.join(some, ["key", "rep"]).join(arrays, "rep")
-    return save(_blocks(rows, F.octet_length("x") / 8, BLOCK_SHINGLES, ["rep", "component", "x"]).mapInArrow(_block_links, "a long, b long"))
+    """Links between the components of buckets (key, uid, component) that hold several."""
+    facts = open_.join(reps.select("uid", "n", "bits"), "uid")
+    weight = 1 + F.floor(F.octet_length("bits") / UNIT)
+    some = save(_blocks(facts, weight, BLOCK, ["uid", "component", "n", "bits"]).mapInArrow(_partners, "key long, uid long").distinct())
+    arrays = save(_texts(docs, reps, some.select("uid").distinct()).mapInArrow(_shingle_rows, "uid long, x binary"))
+    rows = open_.join(some, ["key", "uid"]).join(arrays, "uid").withColumn("n", (F.octet_length("x") / 8).cast("int"))
+    return save(_blocks(rows, F.col("n"), BLOCK_SHINGLES, ["uid", "component", "x"]).mapInArrow(_block_links, "a long, b long"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, class_id) of each row that holds a word and has an id; equal for near-duplicates: the smallest id of the class.
+    """(doc_id, text_hash, class_id, first) of each row that has an id; class_id is equal for near-duplicates: the smallest id of the class.
 
-    ``text_hash`` is xxhash64 of the text, ``first`` whether the row's text is the one its class keeps.
+    ``text_hash`` is xxhash64 of the text, ``first`` whether the row's id and text are those that its class keeps; it is null for
+    texts without a word.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").filter("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").filter("doc_id is not null")
     sketched = save(texts.mapInArrow(_sketches, SKETCHED))
-    best = F.min(F.struct("doc_id", "text_hash", "n", "sig", "keys")).alias("r")
-    reps = save(sketched.groupBy("c1", "c2").agg(best).selectExpr("c1", "c2", "r.doc_id rep", "r.text_hash text_hash", "r.n n", "r.sig sig", "r.keys keys"))
-    members = reps.select("rep", F.explode("keys").alias("key")).distinct()
-    buckets = save(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    held = save(members.join(buckets, "key").select("key", "rep", "leader", "size"))
-    first = _links(docs, reps, held.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+    worded = sketched.filter("n > 0")
+    best = F.min(F.struct("doc_id", "text_hash", "n", "bits", "keys")).alias("r")
+    reps = save(worded.groupBy("c1", "c2").agg(best).selectExpr("monotonically_increasing_id() uid", "c1", "c2", "r.doc_id rep", "r.text_hash text_hash", "r.n n", "r.bits bits", "r.keys keys"))
+    rows = save(worded.select("doc_id", "text_hash", "c1", "c2").join(reps.select("c1", "c2", "uid"), ["c1", "c2"]).select("doc_id", "text_hash", "uid"))
+    members = reps.select("uid", F.explode("keys").alias("key")).distinct()
+    buckets = save(members.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    held = save(members.join(buckets, "key").select("key", "uid", "leader", "size"))
+    links = _links(docs, reps, held.filter("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")))
+    # ids that hold several texts hold them together
+    several = save(rows.groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("z")).filter("a < z").select("doc_id", "a"))
+    if not several.isEmpty():
+        links = save(links.unionByName(rows.join(several, "doc_id").filter("uid <> a").select("a", F.col("uid").alias("b")).distinct()))
     # buckets of two are settled; of larger ones those that hold several components are not
-    label = save(components(first))
-    placed = held.filter("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    label = save(components(links))
+    placed = held.filter("size > 2").join(label.withColumnRenamed("id", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     open_ = save(placed.join(mixed, "key"))
     if not open_.isEmpty():  # what is known already goes on as a star of each component
         label = save(components(label.toDF("a", "b").unionByName(_settled(docs, reps, open_))))
-    final = save(reps.select("c1", "c2", "rep", F.col("text_hash").alias("rep_hash")).join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep")).drop("component"))
-    return sketched.select("doc_id", "text_hash", "c1", "c2").join(final, ["c1", "c2"]).select(
-        "doc_id", "text_hash", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("rep") == F.col("class_id")) & (F.col("text_hash") == F.col("rep_hash"))).alias("first")
-    )
+    # the smallest id of each class and, of its texts, the one with the smallest hash
+    linked = reps.select("uid", "rep", "text_hash").join(label.withColumnRenamed("id", "uid"), "uid")
+    heads = linked.groupBy("component").agg(F.min(F.struct("rep", "text_hash")).alias("head"))
+    known = save(label.join(heads, "component").select(F.col("id").alias("uid"), "head"))
+    final = reps.select("uid", F.struct("rep", "text_hash").alias("own")).join(known, "uid", "left").select("uid", F.coalesce("head", "own").alias("head"))
+    own = F.struct(F.col("doc_id").alias("rep"), "text_hash")
+    found = rows.join(save(final), "uid").select("doc_id", "text_hash", F.col("head.rep").alias("class_id"), (own == F.col("head")).alias("first"))
+    return found.unionByName(sketched.filter("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(None).cast("boolean").alias("first")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept) of each row of ``docs``."""
-    found = classes(docs).select("doc_id", "class_id")
-    wordless = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(HAS_WORD))
-    alone = wordless.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
-    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
-
-
-#: Java's counterpart of Python's \w in str patterns: letters, all numbers, underscore.
-HAS_WORD = r"[\p{L}\p{N}_]"
+    none = F.lit(None).cast("long")
+    nameless = docs.filter(F.col("doc_id").cast("long").isNull()).select(none.alias("doc_id"), none.alias("class_id"))
+    return classes(docs).select("doc_id", "class_id").unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns: of each class one row, that with the smallest id; rows without a word or an id stay."""
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    verdict = classes(docs).groupBy("doc_id", "text_hash").agg(F.max("first").alias("_keep")).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
-    joined = keyed.join(verdict, ["_doc", "_hash"], "left").filter(F.coalesce("_keep", F.lit(True)))
-    rank = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_doc"))  # as the join has dealt them: no further shuffle
-    return joined.withColumn("_rank", rank).filter("_rank = 1 or _keep is null").select(*names)
+    doc, hash_, keep, alone, rank = unused(docs, "_doc", "_hash", "_keep", "_alone", "_rank")
+    verdict = classes(docs).filter("first is not null").groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_)).agg(F.max("first").alias(keep))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), hash_: F.xxhash64("text")})
+    joined = keyed.join(verdict, [doc, hash_], "left").filter(F.coalesce(keep, F.lit(True)))
+    # rows that stay whatever their like count one by one; the rank needs no further shuffle
+    joined = joined.withColumn(alone, F.when(F.col(keep).isNull(), F.monotonically_increasing_id()))
+    ranked = joined.withColumn(rank, F.row_number().over(Window.partitionBy(doc, hash_, alone).orderBy(doc))).filter(F.col(rank) == 1)
+    return ranked.select(*[quoted(n) for n in docs.columns])

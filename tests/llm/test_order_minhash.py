@@ -1,11 +1,13 @@
-"""Near-duplicates against all pairs on a small corpus."""
+"""Near-duplicates against all pairs, on a small made corpus and on the documents."""
 
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import order_minhash as om
 
@@ -95,6 +97,64 @@ def test_odd_rows(spark):
     assert om.near_duplicates(df.filter("false")).count() == 0 and om.one_of_each(df.filter("false")).columns == df.columns
 
 
+def test_documents(spark):
+    """Every pair of the documents that aligns is in one class, near copies included, and no class holds more than such chains."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in om.near_duplicates(docs).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    shingler = om.Shingler()
+    plain = [shingler.shingles(shingler.words(t)) for _, t in rows]
+    texts = [(x, om.label(x)) for x in plain]
+    held, root, links = defaultdict(list), list(range(len(rows))), 0
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, (_, x) in enumerate(texts):
+        common = Counter(j for v in x.tolist() for j in held[v])
+        for v in x.tolist():
+            held[v].append(i)
+        for j, n in common.items():
+            if n / (len(x) + len(texts[j][1]) - n) >= om.THRESHOLD - 1e-9 and om.alike(texts[i], texts[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b], links = a, links + 1
+    assert links >= 50 and got == {doc: rows[find(k)][0] for k, (doc, _) in enumerate(rows)}
+
+
+def test_shared_ids_and_clashing_names(spark):
+    """Id 5 has two texts, of which 7 copies the one nearly and 8 the other; 2 copies one exactly: all are one class."""
+    base = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    rows = [(5, base("a", 100)), (5, base("b", 100)), (7, base("a", 100) + " more"), (8, base("b", 100) + " more"), (9, base("c", 50)), (9, base("c", 50)), (4, "½ ²"), (4, "½ ²"), (6, "--"), (6, "--")]
+    names = {"_doc": "mine", "_hash": "mine", "_keep": "mine", "_rank": "mine", "_alone": "mine", "c1": "mine", "uid": "mine", "a.b": "mine"}
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = plain.select("*", *[F.lit(v).alias(k) for k, v in names.items()])
+    assert sorted((r.doc_id, r.class_id) for r in om.near_duplicates(docs).collect()) == [(4, 4), (4, 4), (5, 5), (5, 5), (6, 6), (6, 6), (7, 5), (8, 5), (9, 9), (9, 9)]
+    kept = om.one_of_each(docs)
+    assert kept.columns == docs.columns and all(r[k] == v for r in kept.collect() for k, v in names.items())
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 6, 9]  # equal texts with a word are one, texts without stay
+    more = plain.unionByName(spark.createDataFrame([(2, base("b", 100))], plain.schema))
+    assert {r.class_id for r in om.near_duplicates(more).collect() if r.doc_id in (2, 5, 7, 8)} == {2}
+
+
+def test_bitmaps_lose_nothing():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        x = om.mix64(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        y = np.concatenate([x[rng.random(n) < 0.9], om.mix64(rng.integers(0, 1 << 40, int(rng.integers(0, 1 + n // 10))).astype(np.uint64))])
+        common = len(np.intersect1d(x, y))
+        if len(y) and common >= om.needed(n, len(y)):
+            assert om.linkable(n, np.frombuffer(om.bitmap(x), np.uint64), len(y), np.frombuffer(om.bitmap(y), np.uint64))
+
+
+def test_long_text(spark):
+    text = " ".join(f"w{k % 5003}x{k % 7}" for k in range(120_000))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("w17x", "other", 1)), (3, text[: len(text) // 2])], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in om.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def longest(x: list, y: list) -> int:
     """The longest common subsequence by the plain dynamic program."""
     row = [0] * (len(y) + 1)
@@ -151,7 +211,7 @@ def test_copies_of_repeated_lines(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
     assert {r.doc_id: r.class_id for r in om.near_duplicates(docs).collect()} == {k: k // 2 * 2 for k in range(6)}
     shingler = om.Shingler()
-    rows = [{"rep": k, "component": k, "x": shingler.shingles(shingler.words(t)).tobytes()} for k, t in enumerate(texts)]
-    block = om.pa.array([rows], om.pa.list_(om.pa.struct([("rep", om.pa.int64()), ("component", om.pa.int64()), ("x", om.pa.binary())])))
+    rows = [{"uid": k, "component": k, "x": shingler.shingles(shingler.words(t)).tobytes()} for k, t in enumerate(texts)]
+    block = om.pa.array([rows], om.pa.list_(om.pa.struct([("uid", om.pa.int64()), ("component", om.pa.int64()), ("x", om.pa.binary())])))
     batch = om.pa.RecordBatch.from_arrays([om.pa.array([True]), om.pa.array([0]), block, block], ["same", "key", "block_a", "block_b"])
     assert [(r["a"], r["b"]) for out in om._block_links([batch]) for r in out.to_pylist()] == [(0, 1), (2, 3), (4, 5)]
