@@ -104,7 +104,7 @@ coded AS (
 SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
   array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
     lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
-  CASE WHEN page_id = of_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN of_page IS NULL OR page_id = of_page THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = of_page THEN NULL ELSE of_page END AS refers_to
 FROM coded JOIN firsts USING (hex)
 """,

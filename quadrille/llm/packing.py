@@ -1,9 +1,12 @@
 """Best-fit packing of token sequences: patterns fitted to the length histogram by non-negative least squares.
 
 Documents become pieces of MOST tokens or fewer.  All planning works on the histogram of piece lengths,
-which has MOST entries whatever the corpus: patterns of few pieces that fill a sequence are enumerated from it, their repeat counts
-fitted by non-negative least squares, rounded down to what the histogram holds, and the residual is
-packed by best fit, decreasing, on counts.  If best fit alone needs fewer sequences, that plan is taken.
+which has MOST entries whatever the corpus.  Patterns are the multisets of up to four lengths that fill a sequence.  All of them are
+enumerated in each round, by array arithmetic on the part of the histogram that is not yet met; of those that reduce
+it, the best for each length become columns of the least squares, for ROUNDS rounds or until no pattern outside would reduce it by
+TOLERANCE of the pieces.  The fitted repeat counts are rounded down and the residual is packed by best fit, decreasing, on counts.  Rounding can leave
+a residual that packs badly; then a growing share of every pattern's repeats is given to it, until the plan needs no
+more sequences than best fit alone would.
 The plan is a list of runs "pieces of length l with ranks from..to, in sequences from s on, at offset o".
 
 A piece's rank among those of its length is the count in earlier partitions plus its place in its own, both found in the
@@ -34,8 +37,10 @@ MOST = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: A worker keeps the ids of so many words.
 CACHE_WORDS = 150_000
-#: Patterns that the least squares see at most.
-PATTERNS = 6000
+#: The least squares end when no pattern reduces the squared error by more than this share of the pieces.
+TOLERANCE, SWEEPS, ROUNDS = 1e-3, 8, 10
+#: Shares of the patterns' repeats that are given to the residual, one after the other; the last is all.
+RELEASED = (0.0, 1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)
 
 
 #: Pieces of texts, and the same for texts in which Python's own classes of characters agree with Unicode's categories.
@@ -165,65 +170,96 @@ def best_fit(histogram: dict[int, int], most: int = MOST) -> Plan:
     return done + [x for xs in room.values() for x in xs]
 
 
-def patterns(histogram: dict[int, int], most: int = MOST, limit: int = PATTERNS) -> list[tuple[int, ...]]:
-    """Few-document patterns that fill a sequence: singles, pairs, triples by the lengths held most, and those of best fit."""
-    found: dict[tuple[int, ...], None] = {}
-    if histogram.get(most):
-        found[(most,)] = None
-    lengths = sorted(histogram)
-    for a in lengths:
-        if a <= most - a and most - a in histogram:
-            found[(most - a, a)] = None
-    for content, _ in sorted((x for x in best_fit(histogram, most) if sum(x[0]) == most), key=lambda x: -x[1]):
-        found.setdefault(content)
-    common = sorted(histogram, key=lambda n: (-histogram[n], n))[:96]
-    for k, a in enumerate(common):
-        for b in common[k:]:
-            c = most - a - b
-            if 0 < c <= b and c in histogram:
-                found.setdefault(tuple(sorted((a, b, c), reverse=True)))
-        if len(found) >= limit:
-            break
-    return [*found][:limit]
-
+def best_patterns(worth: np.ndarray, most: int = MOST) -> dict[tuple[int, ...], float]:
+    """Of all patterns of one to four lengths that sum to ``most``, the one worth most for each length, as {pattern: worth}.
 
-def fit_repeats(pool: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 60) -> list[float]:
-    """Non-negative least squares by coordinate descent: repeats x >= 0 that bring sum(x * pattern) near the histogram."""
+    ``worth`` holds a number for each length 0 … most, -inf for lengths that there are none of.
+    """
+    at = np.arange(most + 1)
+    found: dict[tuple[int, ...], float] = {}
+
+    def add(parts: list[np.ndarray], value: np.ndarray) -> None:
+        good = np.flatnonzero(value > 0)
+        for *lengths, v in zip(*(x[good].tolist() for x in parts), value[good].tolist(), strict=True):
+            found[tuple(sorted(lengths, reverse=True))] = v
+
+    add([at[most:]], worth[most:])
+    add([at[1:most], most - at[1:most]], worth[1:most] + worth[most - at[1:most]])
+    # pair[s] is the most that two lengths of sum s are worth, half[s] the first of them
+    pair, half = np.full(most + 1, -np.inf), np.zeros(most + 1, np.int64)
+    for s in range(2, most + 1):
+        sums = worth[1 : s // 2 + 1] + worth[s - 1 : s - s // 2 - 1 : -1]
+        k = int(sums.argmax())
+        pair[s], half[s] = sums[k], k + 1
+    a = at[1 : most - 1]
+    rest = most - a
+    add([a, half[rest], rest - half[rest]], worth[a] + pair[rest])
+    s = at[2 : most - 1]
+    add([half[s], s - half[s], half[most - s], most - s - half[most - s]], pair[s] + pair[most - s])
+    return found
+
+
+def fit_repeats(histogram: dict[int, int], most: int = MOST) -> tuple[list[tuple[int, ...]], list[float]]:
+    """Patterns and repeats x >= 0 that bring sum(x * pattern) near the histogram: least squares by coordinate descent, with columns
+    added as they are worth it."""
     residual = {n: float(c) for n, c in histogram.items()}
-    columns = [[*Counter(p).items()] for p in pool]
-    norms = [float(sum(m * m for _, m in c)) for c in columns]
-    x = [0.0] * len(pool)
-    for _ in range(sweeps):
+    enough = TOLERANCE * sum(histogram.values())
+    pool: dict[tuple[int, ...], int] = {}
+    columns, norms, x = [], [], []
+    for _ in range(ROUNDS):
+        worth = np.full(most + 1, -np.inf)
+        worth[list(residual)] = list(residual.values())
+        gains = {p: v * v / sum(m * m for m in Counter(p).values()) for p, v in best_patterns(worth, most).items() if p not in pool}
+        new = [p for p, g in sorted(gains.items(), key=lambda e: (-e[1], e[0])) if g > enough]
+        for p in new:
+            pool[p] = len(columns)
+            columns.append([*Counter(p).items()])
+            norms.append(float(sum(m * m for _, m in columns[-1])))
+            x.append(0.0)
         moved = 0.0
-        for j, col in enumerate(columns):
-            d = sum(m * residual[n] for n, m in col) / norms[j]
-            d = max(-x[j], d)
-            if d:
-                x[j] += d
-                for n, m in col:
-                    residual[n] -= m * d
-                moved += abs(d)
-        if moved < 1e-3 * max(1, len(pool)):
+        for _ in range(SWEEPS):
+            moved = 0.0
+            for j, col in enumerate(columns):
+                d = max(-x[j], sum(m * residual[n] for n, m in col) / norms[j])
+                if d:
+                    x[j] += d
+                    for n, m in col:
+                        residual[n] -= m * d
+                    moved += abs(d)
+            if moved < TOLERANCE * max(1, len(columns)):
+                break
+        if not new and moved < TOLERANCE * max(1, len(columns)):
             break
-    return x
+    return [*pool], x
 
 
-def plan(histogram: dict[int, int], most: int = MOST) -> Plan:
-    """Patterns with whole repeat counts, then best fit of what is left."""
-    alone = best_fit(histogram, most)
-    pool = patterns(histogram, most)
+def rounded(pool: list[tuple[int, ...]], fitted: list[float], histogram: dict[int, int], released: float) -> tuple[Plan, dict[int, int]]:
+    """Whole repeats of the patterns, less the share ``released``, and what is left of the histogram."""
     left, out = dict(histogram), []
-    fitted = fit_repeats(pool, histogram)
-    for j in sorted(range(len(pool)), key=lambda j: (-fitted[j], j)):
+    for j in sorted(range(len(pool)), key=lambda j: (-fitted[j], pool[j])):
         need = Counter(pool[j])
-        times = min(int(fitted[j]), *(left[n] // m for n, m in need.items()))
+        times = min(int(fitted[j] * (1 - released)), *(left[n] // m for n, m in need.items()))
         if times > 0:
             out.append((pool[j], times))
             for n, m in need.items():
                 left[n] -= m * times
-    out += best_fit({n: c for n, c in left.items() if c}, most)
-    count = lambda p: sum(n for _, n in p)
-    return out if count(out) <= count(alone) else alone
+    return out, {n: c for n, c in left.items() if c}
+
+
+def sequences(planned: Plan) -> int:
+    return sum(n for _, n in planned)
+
+
+def plan(histogram: dict[int, int], most: int = MOST) -> Plan:
+    """Patterns with whole repeat counts, then best fit of what is left."""
+    goal = sequences(best_fit(histogram, most))
+    pool, fitted = fit_repeats(histogram, most)
+    for released in RELEASED:
+        out, left = rounded(pool, fitted, histogram, released)
+        out += best_fit(left, most)
+        if sequences(out) <= goal:
+            break
+    return out
 
 
 def runs(planned: Plan) -> np.ndarray:

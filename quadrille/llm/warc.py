@@ -6,24 +6,28 @@ Archives are rows (archive, content): a table of them can be written as Parquet,
 ``binaryFile`` source, which reads .warc.zst files of any store.  ``export_archives`` writes files.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, that with the smallest page_id is
-the response, others are revisits that refer to it; smaller payloads are all responses.
+the response, others are revisits that refer to it; smaller payloads are all responses.  Which these are is found from ids and
+digests alone; payloads are then dealt by both, so that a payload that many pages have is spread over all tasks.
 
-Defined results: a null html is an empty payload; a null url becomes an empty target; a null page_id takes part
-with no id, as largest; repeated page_ids with one payload are one response and revisits of it;
-an empty table gives no archives.  Columns other than page_id, url and html are ignored.
+Defined results: a null html is an empty payload; a null url becomes an empty target; records without a page_id are revisits of
+the smallest id with their payload, or all responses if no record with an id has it; of repeated page_ids with one payload one is the
+response and the others are revisits of it, or all are revisits of a smaller id; an empty table gives no archives.  Columns other
+than page_id, url and html, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import posixpath
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_bucket, sample_threshold, save
@@ -34,6 +38,8 @@ DICT_BYTES, DICT_PAGES, DICT_CHARS = 32 << 10, 400, 20_000
 #: An archive is closed beyond so many bytes.
 ARCHIVE_BYTES = 4 << 20
 LEVEL = 3
+#: Rows of a batch of records that are read; the key of rows without an id.
+ROWS, NO_ID = 1024, -(1 << 63)
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
@@ -81,37 +87,57 @@ class ArchiveError(ValueError):
     """An archive that does not hold what its headers say."""
 
 
-def split_archive(content: bytes) -> tuple[bytes, list[bytes]]:
-    """The dictionary of the leading skippable frame, and the records, one of each further frame."""
+def frame_end(content: memoryview, at: int) -> int:
+    """Where the frame that starts at ``at`` ends, by its header and those of its blocks; beyond the content if it is cut short."""
+    flags = content[at + 4] if at + 4 < len(content) else 0
+    single, dict_id, size = flags >> 5 & 1, (0, 1, 2, 4)[flags & 3], (0, 2, 4, 8)[flags >> 6]
+    at += 5 + (1 - single) + dict_id + (size or single)
+    last = False
+    while not last:
+        if at + 3 > len(content):
+            return len(content) + 1
+        head = int.from_bytes(content[at : at + 3], "little")
+        last = head & 1
+        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)  # a block of one repeated byte holds that byte only
+    return at + 4 * (flags >> 2 & 1)
+
+
+def split_archive(content: bytes) -> tuple[bytes, Iterator[bytes]]:
+    """The dictionary of the leading skippable frame, and the records, one of each further frame, decoded one by one."""
     if len(content) < 8:
         raise ArchiveError("shorter than a frame header")
     magic, size = struct.unpack_from("<II", content)
-    at, dictionary = 0, b""
+    start, dictionary = 0, b""
     if magic == DICT_MAGIC:
-        at = 8 + size
-        if at > len(content):
+        start = 8 + size
+        if start > len(content):
             raise ArchiveError("the dictionary is cut short")
-        dictionary = content[8:at]
+        dictionary = content[8:start]
         if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):  # it may itself be compressed
             dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
-    records = []
-    view = memoryview(content)
-    while at < len(content):
-        if len(content) - at < 4:
-            raise ArchiveError("bytes after the last frame")
-        if struct.unpack_from("<I", content, at)[0] != FRAME_MAGIC:
-            raise ArchiveError(f"no frame at byte {at}")
-        frame = reader.decompressobj()
-        try:
-            record = frame.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise ArchiveError(f"frame at byte {at}: {e}") from e
-        if not frame.eof:
-            raise ArchiveError(f"the frame at byte {at} is cut short")
-        records.append(record)
-        at = len(content) - len(frame.unused_data)
-    return dictionary, records
+
+    def records() -> Iterator[bytes]:
+        view, at = memoryview(content), start
+        while at < len(content):
+            if len(content) - at < 4:
+                raise ArchiveError("bytes after the last frame")
+            if struct.unpack_from("<I", content, at)[0] != FRAME_MAGIC:
+                raise ArchiveError(f"no frame at byte {at}")
+            end = frame_end(view, at)
+            if end > len(content):
+                raise ArchiveError(f"the frame at byte {at} is cut short")
+            frame = reader.decompressobj()
+            try:
+                record = frame.decompress(view[at:end])
+            except zstandard.ZstdError as e:
+                raise ArchiveError(f"frame at byte {at}: {e}") from e
+            if not frame.eof or frame.unused_data:
+                raise ArchiveError(f"the frame at byte {at} does not end where its blocks do")
+            yield record
+            at = end
+
+    return dictionary, records()
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -150,12 +176,15 @@ def build_archives(pages: DataFrame, min_revisit: int = 0, dictionary: bytes | N
     dictionary = train_dictionary(pages) if dictionary is None else dictionary
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)  # DICT_BYTES at most
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("_digest", F.sha1(F.encode("html", "UTF-8")))
-    again = (
-        rows.filter(F.octet_length("html") >= min_revisit).groupBy(F.col("_digest").alias("_of"))
-        .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    )
-    joined = rows.join(again, F.col("_digest") == F.col("_of"), "left").select("page_id", "url", "html", "_first", "_n")
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    keys = rows.filter(F.octet_length("html") >= min_revisit).select("page_id", "digest")
+    again = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    known = keys.distinct().join(again, "digest").select(F.coalesce("page_id", F.lit(NO_ID)).alias("key"), "digest", "first")
+    joined = rows.withColumn("key", F.coalesce("page_id", F.lit(NO_ID))).join(known, ["key", "digest"], "left")
+    # of rows with the first's id and payload one is the response; they are dealt alike already
+    nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
+    revisit = F.col("first").isNotNull() & ((F.col("key") != F.col("first")) | (nth > 1))
+    joined = joined.select("page_id", "url", "html", "first", revisit.alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
@@ -168,8 +197,7 @@ def build_archives(pages: DataFrame, min_revisit: int = 0, dictionary: bytes | N
             return pa.RecordBatch.from_arrays([pa.array([f"{zlib.crc32(content):08x}-{len(content)}"]), pa.array([content], pa.binary())], ["archive", "content"])
 
         for batch in batches:
-            for page, url, html, first, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                revisit = n is not None and first is not None and page != first
+            for page, url, html, first, revisit in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 parts.append(press.compress(record_bytes(page, url, html.encode(), revisit, first if revisit else None)))
                 size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
@@ -184,31 +212,42 @@ def build_archives(pages: DataFrame, min_revisit: int = 0, dictionary: bytes | N
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record of archives with a ``content`` column; an archive that isn't valid fails the query."""
 
+    def rows(got: list[dict[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([_page(f["WARC-Record-ID"]) for f in got], pa.int64()), pa.array([int(f["X-Payload-Length"]) for f in got], pa.int64()),
+                pa.array([f["WARC-Payload-Digest"].removeprefix("sha1:") for f in got]), pa.array([f["WARC-Type"] for f in got]),
+                pa.array([_page(f.get("WARC-Refers-To")) for f in got], pa.int64()), pa.array([f["WARC-Target-URI"] for f in got]),
+            ],
+            ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"],
+        )
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                got = [parse_record(r)[0] for r in split_archive(content.as_py())[1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([_page(f["WARC-Record-ID"]) for f in got], pa.int64()), pa.array([int(f["X-Payload-Length"]) for f in got], pa.int64()),
-                        pa.array([f["WARC-Payload-Digest"].removeprefix("sha1:") for f in got]), pa.array([f["WARC-Type"] for f in got]),
-                        pa.array([_page(f.get("WARC-Refers-To")) for f in got], pa.int64()), pa.array([f["WARC-Target-URI"] for f in got]),
-                    ],
-                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"],
-                )
+                got = []
+                for record in split_archive(content.as_py())[1]:
+                    got.append(parse_record(record)[0])
+                    if len(got) == ROWS:
+                        yield rows(got)
+                        got = []
+                if got:
+                    yield rows(got)
 
     return archives.select("content").mapInArrow(read, OUT)
 
 
 def export_archives(archives: DataFrame, folder: str) -> None:
-    """Write each archive as a .warc.zst file into a folder that all executors mount."""
+    """Write each archive as a .warc.zst file into ``folder``, a URI of a store (or an absolute path) that all executors reach."""
 
     def write(rows: Iterator) -> None:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
         for row in rows:
-            with open(f"{folder}/{row.archive}.warc.zst", "wb") as f:
+            with store.open_output_stream(posixpath.join(path, f"{row.archive}.warc.zst"), compression=None) as f:
                 f.write(row.content)
 
-    archives.foreachPartition(write)
+    archives.select("archive", "content").foreachPartition(write)
 
 
 def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:

@@ -158,6 +158,83 @@ def test_pack(spark, tokenizer):
     assert packing.pack(documents(spark, texts).filter("false"), entry.tokenizer_path()).count() == 0
 
 
+def test_tokens_of_the_documents(spark, tokenizer):
+    """Every text of the table has the ids that the tokenizer itself gives."""
+    for row in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toLocalIterator():
+        assert tokenizer.encode(row.text or "") == tokenizer._encode(row.text or "")
+
+
+def test_pack_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other"), (None, "a b c"), (None, None)]
+    docs = spark.createDataFrame([(k, t, "x", "x") for k, t in rows], "doc_id long, text string, piece string, part string")
+    got = packing.pack(docs, entry.tokenizer_path()).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 1, 1] and {r.sequence_id for r in got} == {0}
+    at = 0
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == at and r.start == r.piece == 0
+        at += r.length
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.floats(-50, 50), min_size=1, max_size=12))
+def test_best_patterns_equal_enumeration(worth):
+    """For each length the best pattern of one to four lengths, among all that fill a sequence."""
+    from itertools import combinations_with_replacement
+
+    most = 24
+    w = np.full(most + 1, -np.inf)
+    w[list(worth)] = list(worth.values())
+    got = packing.best_patterns(w, most)
+    every = {tuple(sorted(c, reverse=True)): sum(worth[n] for n in c) for k in range(1, 5) for c in combinations_with_replacement(sorted(worth), k) if sum(c) == most}
+    assert all(got[p] == pytest.approx(every[p], abs=1e-9) for p in got)
+    best = max(every.values(), default=0)
+    assert (max(got.values(), default=0) == pytest.approx(best, abs=1e-9)) if best > 0 else not got
+
+
+def fewest(histogram: dict, most: int) -> int:
+    """By exhaustive search."""
+    from functools import cache
+
+    @cache
+    def left(pieces: tuple) -> int:
+        if not pieces:
+            return 0
+        first, rest = pieces[0], pieces[1:]
+        best = 99
+
+        def fill(room: int, at: int, others: tuple) -> None:
+            nonlocal best
+            best = min(best, 1 + left(others))
+            for k in range(at, len(others)):
+                if others[k] <= room and (k == at or others[k] != others[k - 1]):
+                    fill(room - others[k], k, others[:k] + others[k + 1 :])
+
+        fill(most - first, 0, rest)
+        return best
+
+    return left(tuple(sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=4))
+def test_plan_beside_exhaustive_search(histogram):
+    """Never more than one sequence above the fewest possible, and never above best fit."""
+    n = packing.sequences(packing.plan(histogram, 12))
+    assert n <= packing.sequences(packing.best_fit(histogram, 12)) and n <= fewest(histogram, 12) + 1
+
+
+def test_patterns_carry_the_plan():
+    """On large histograms the patterns hold nearly all sequences, and the plan needs fewer than best fit."""
+    rng = np.random.default_rng(8)
+    for scale in (200, 5000):
+        histogram = {int(n): int(c) * scale for n, c in Counter(np.clip(rng.lognormal(6.2, 0.8, 4000).astype(int), 1, 2048)).items()}
+        pool, fitted = packing.fit_repeats(histogram)
+        fixed, _ = packing.rounded(pool, fitted, histogram, 0)
+        total = packing.sequences(packing.plan(histogram))
+        assert packing.sequences(fixed) >= 0.9 * total and total <= packing.sequences(packing.best_fit(histogram))
+        assert total <= -(-sum(n * c for n, c in histogram.items()) // 2048) * 1.0005 + 1
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=20))
 def test_plan_places_each_piece_once(histogram):
@@ -186,15 +263,45 @@ def test_archive_errors():
     record = warc.record_bytes(1, "u", b"payload" * 50, False, None)
     press = zstandard.ZstdCompressor(write_checksum=True)
     good = warc.dictionary_frame(b"") + press.compress(record)
-    assert warc.split_archive(good)[1] == [record] and warc.parse_record(record)[1] == b"payload" * 50
+    assert [*warc.split_archive(good)[1]] == [record] and warc.parse_record(record)[1] == b"payload" * 50
     for bad in (good[:-3], good + b"xx", good[:-1] + bytes([good[-1] ^ 1]), b"", warc.dictionary_frame(b"abc")[:-1]):
         with pytest.raises(warc.ArchiveError):
-            warc.split_archive(bad)
+            [*warc.split_archive(bad)[1]]
     for bad in (record[:-1], record.replace(b"payloadpayload", b"payloadPayload", 1), record.replace(b"WARC/1.1", b"WARC/9.9"), record.replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(warc.ArchiveError):
             warc.parse_record(bad)
 
 
+def test_warc_odd_rows(spark, tmp_path):
+    """Repeated ids, missing ids, a very long payload, names of the operator's own."""
+    rows = [(5, "p"), (5, "p"), (9, "p"), (None, "p"), (None, "q"), (None, "q"), (7, None), (7, ""), (8, "long " * 400_000), (3, "long " * 400_000)]
+    pages = spark.createDataFrame([(k, "u", html, "mine", "mine", "mine") for k, html in rows], "page_id long, url string, html string, digest string, first string, key string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == sorted([(5, 1, "response", None), (5, 1, "revisit", 5), (9, 1, "revisit", 5), (0, 1, "revisit", 5), (0, 1, "response", None), (0, 1, "response", None), (7, 0, "response", None), (7, 0, "revisit", 7), (3, 2_000_000, "response", None), (8, 2_000_000, "revisit", 3)], key=lambda r: (r[0], r[1], r[2]))
+    warc.export_archives(warc.build_archives(pages), str(tmp_path / "out"))
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/out/*.warc.zst")
+    assert sorted((r.page_id or 0, r.record_type) for r in warc.read_archives(files).collect()) == [(x[0], x[2]) for x in got]
+
+
+def test_long_archive_in_linear_time():
+    """Twice the records take about twice the time; frames of all kinds of blocks and headers end where they should."""
+    import time
+
+    rng = random.Random(3)
+    press = [zstandard.ZstdCompressor(level=1, write_checksum=c, write_content_size=w) for c in (True, False) for w in (True, False)]
+    blobs = [b"", b"x", b"a" * 300_000, rng.randbytes(200_000), b"page " * 60_000]
+    content = b"".join(p.compress(b) for p in press for b in blobs)
+    assert [*warc.split_archive(warc.dictionary_frame(b"") + content)[1]] == blobs * 4
+    record = warc.record_bytes(1, "u", rng.randbytes(2000), False, None)
+    took = []
+    for n in (10_000, 40_000):
+        archive = warc.dictionary_frame(b"") + press[0].compress(record) * n
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.split_archive(archive)[1]) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0]
+
+
 # --- op2 and op6
 def vectors() -> list[tuple[int, list | None]]:
     rng = np.random.default_rng(2)
