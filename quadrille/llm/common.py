@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: with texts of 3 KB a batch is about 3 MB.
@@ -79,26 +79,31 @@ def fold(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0))
 
 
+#: Labels (languages, classes) that a classifier can learn at most.
+MOST_LABELS = 1000
+
+
 def sample_threshold(df: DataFrame, key: Column, by: Column, most: int, bits: int = 16) -> dict:
     """For each value of ``by``, the bucket of ``key``'s hash below which there are ``most`` rows or fewer.
 
-    One pass over narrow columns with map-side sums; the driver gets 2**bits counts a value at most.
-    The first bucket is always kept, so that no value is left without rows.
+    One pass over narrow columns with map-side sums; a value has 2**bits counts at most, and the driver gets a row for each value.
+    More than MOST_LABELS values are an error.  The first bucket that holds rows is always kept, so that no value is left without.
     """
-    rows = (
-        df.groupBy(by.alias("g"), F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 64 - bits).alias("b"))
-        .count()
-        .collect()
-    )
-    out: dict = {}
-    for g in {r.g for r in rows}:
-        total, limit = 0, 0
-        for b, n in sorted((r.b, r["count"]) for r in rows if r.g == g):
-            if total and total + n > most:
-                break
-            total, limit = total + n, b + 1
-        out[g] = limit
-    return out
+    counts = df.groupBy(by.alias("g"), hash_bucket(key, bits).alias("b")).count()
+    w = Window.partitionBy("g").orderBy("b")
+    upto = counts.withColumns({"upto": F.sum("count").over(w), "nth": F.row_number().over(w)}).filter((F.col("upto") <= most) | (F.col("nth") == 1))
+    rows = upto.groupBy("g").agg((F.max("b") + 1).alias("limit")).limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different labels")
+    return {r.g: r.limit for r in rows}
+
+
+def chosen_by(limits: dict, by: Column, key: Column) -> Column:
+    """Whether a row is in the sample of sample_threshold."""
+    if not limits:
+        return F.lit(False)
+    table = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
+    return F.coalesce(hash_bucket(key) < table[by], F.lit(False))
 
 
 def hash_bucket(key: Column, bits: int = 16) -> Column:

@@ -5,11 +5,13 @@ Confirmed toxic examples are the positives; unlabelled text, toxic or not, is th
 bracket falls below zero, the step goes the other way, against the overfitting it shows.
 
 Features are the presence of words (letters and digits, lower case), and of beginnings and ends of words, that stand out among
-positives: at least MIN_DF of them hold it, at a rate that is Z standard deviations above the unlabelled.  Beginnings and ends
+positives: at least MIN_DF of them hold it, at a rate that is z standard deviations above the unlabelled.  Beginnings and ends
 let inflected and compound forms count that no training text holds.  A text is scored whole, by the features it holds.
 
-The classifier is fitted on FIT_POSITIVE and FIT_UNLABELLED rows at most, of FIT_CHARS characters or fewer, chosen by the hash of
-the id outside the held-out fold; the prior is the share of label 1 among that fold's labelled rows.
+The classifier is fitted on FIT_POSITIVE and FIT_UNLABELLED rows at most, chosen by the hash of
+the id outside the held-out fold, whatever their length; the prior is the share of label 1 among the labelled rows outside that fold.
+Of the levels ZS that one is taken whose classifier, fitted without a CHECK-th part of these rows, has the best F1 on labelled rows of that part,
+none of which is held out.  The final fit takes all rows.
 
 Defined results: null and empty texts get the score of a text without any telling word; without positives every
 score is the prior.  Repeated rows get the same score.  Further columns are ignored.
@@ -18,6 +20,7 @@ score is the prior.  Repeated rows get the same score.  Further columns are igno
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hash_bucket, sample_threshold
+from .common import chosen_by, fold, sample_threshold
 
-FIT_POSITIVE, FIT_UNLABELLED, FIT_CHARS = 1500, 3000, 10_000
-MIN_DF, Z, MOST_WORDS = 3, 6.0, 2048
+FIT_POSITIVE, FIT_UNLABELLED, FIT_NEGATIVE = 1500, 3000, 3000
+MIN_DF, ZS, MOST_WORDS = 3, (8.0, 6.0, 4.5, 3.0), 2048
+#: One row in so many is set aside to choose among ZS.
+CHECK = 4
 EPOCHS, RATE, L2, BATCH = 60, 0.5, 1e-3, 256
 THRESHOLD, HELD_OUT = 0.3, 4
 #: Lengths of the beginnings and ends of words.
@@ -47,7 +52,8 @@ def words_of(text: str | None) -> set[str]:
     return {x for w in set(WORDS((text or "").lower())) for x in parts_of(w)}
 
 
-def telling_words(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
+def telling_words(positive: list[set[str]], unlabelled: list[set[str]], least: float) -> list[str]:
+    """Features of positives that are ``least`` standard deviations more frequent there, the clearest first."""
     p, u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
     found = []
     for w, n in p.items():
@@ -55,14 +61,14 @@ def telling_words(positive: list[set[str]], unlabelled: list[set[str]]) -> list[
             continue
         rate = (u[w] + 0.5) / (len(unlabelled) + 1)
         z = (n / len(positive) - rate) / np.sqrt(rate * (1 - rate) * (1 / len(positive) + 1 / max(1, len(unlabelled))))
-        if z >= Z:
+        if z >= least:
             found.append((-z, w))
     return [w for _, w in sorted(found)[:MOST_WORDS]]
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, seed: int = 3) -> tuple[dict[str, float], float]:
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, least: float = ZS[0], seed: int = 3) -> tuple[dict[str, float], float]:
     """Weights of words and the bias, by minibatch nnPU with the logistic loss."""
-    vocabulary = {w: k for k, w in enumerate(telling_words(positive, unlabelled))} if positive else {}
+    vocabulary = {w: k for k, w in enumerate(telling_words(positive, unlabelled, least))} if positive else {}
     if not vocabulary:
         return {}, float(np.log(prior / (1 - prior)))
 
@@ -97,20 +103,55 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, seed
     return {x: float(w[k]) for x, k in vocabulary.items()}, float(w[-1])
 
 
+def logit(model: tuple[dict[str, float], float], features: set[str]) -> float:
+    weights, bias = model
+    return bias + sum(weights[x] for x in sorted(features & weights.keys()))
+
+
+def chosen_level(positive: list[tuple[int, set]], unlabelled: list[tuple[int, set]], negative: list[tuple[int, set]], prior: float) -> float:
+    """The level of ZS with the best F1 at THRESHOLD on the rows (id, features) that are set aside, weighed back to the prior."""
+    aside = lambda doc: zlib.crc32(f"{doc}/check".encode()) % CHECK == 0
+    good, bad = [s for d, s in positive if aside(d)], [s for d, s in negative if aside(d)]
+    own, rest = [s for d, s in positive if not aside(d)], [s for d, s in unlabelled if not aside(d)]
+    if not (good and bad and own and rest):
+        return ZS[0]
+    best, level = -1.0, ZS[0]
+    edge = np.log(THRESHOLD / (1 - THRESHOLD))
+    for z in ZS:
+        model = fit(own, rest, prior, z)
+        hit, wrong = (np.mean([logit(model, s) >= edge for s in rows]) for rows in (good, bad))
+        f1 = 2 * prior * hit / (prior + prior * hit + (1 - prior) * wrong)
+        if f1 > best + 1e-9:
+            best, level = f1, z
+    return level
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(set(WORDS((t or "").lower())))) for t in batch.column(1).to_pylist()])], ["id", "words"])
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -> tuple[dict[str, float], float]:
-    """Fit on rows outside fold 2 of ``held_out``, or on all rows if that is None."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
-    own = docs.select("doc_id", "text").filter(F.length("text").between(1, FIT_CHARS) & F.col("doc_id").isNotNull())
+    """Fit on rows outside fold 2 of ``held_out``, or on all rows if that is None.  The driver gets the different words of the sample's texts."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text <> '' and id is not null")
     if held_out:
-        known, own = known.filter(fold("_id", held_out) != 2), own.filter(fold("doc_id", held_out) != 2)
-    shares = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+        known, own = known.filter(fold("id", held_out) != 2), own.filter(fold("id", held_out) != 2)
+    shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     prior = min(0.9, (shares.get(1, 0) + 1) / (sum(shares.values()) + 2))
-    toxic = known.filter("_y = 1")
-    limit = sample_threshold(toxic, F.col("_id"), F.lit(0), FIT_POSITIVE).get(0, 0)
-    positive = own.filter(hash_bucket(F.col("doc_id")) < limit).join(toxic.filter(hash_bucket(F.col("_id")) < limit), F.col("doc_id") == F.col("_id")).select("doc_id", "text").limit(2 * FIT_POSITIVE).collect()
-    limit = sample_threshold(own, F.col("doc_id"), F.lit(0), FIT_UNLABELLED).get(0, 0)
-    unlabelled = own.filter(hash_bucket(F.col("doc_id")) < limit).limit(2 * FIT_UNLABELLED).collect()
-    return fit([words_of(r.text) for r in sorted(positive)], [words_of(r.text) for r in sorted(unlabelled)], prior)
+    limits = {1: sample_threshold(known.filter("y = 1"), F.col("id"), F.lit(1), FIT_POSITIVE).get(1, 0), 0: sample_threshold(known.filter("y = 0"), F.col("id"), F.lit(0), FIT_NEGATIVE).get(0, 0)}
+    widest = chosen_by({0: max(limits.values())}, F.lit(0), F.col("id"))  # before the join, so that few texts are shuffled
+
+    def sample(rows: DataFrame, most: int) -> list[tuple[int, set[str]]]:
+        found = rows.select("id", "text").mapInArrow(_words, "id long, words string").limit(2 * most).collect()
+        return [(r.id, {x for w in r.words.split() for x in parts_of(w)}) for r in sorted(found)]
+
+    labelled = own.filter(widest).join(known.filter(chosen_by(limits, F.col("y"), F.col("id"))), "id")
+    positive, negative = (sample(labelled.filter(F.col("y") == y), most) for y, most in ((1, FIT_POSITIVE), (0, FIT_NEGATIVE)))
+    limit = sample_threshold(own, F.col("id"), F.lit(0), FIT_UNLABELLED)
+    unlabelled = sample(own.filter(chosen_by(limit, F.lit(0), F.col("id"))), FIT_UNLABELLED)
+    level = chosen_level(positive, unlabelled, negative, prior) if positive else ZS[0]
+    return fit([s for _, s in positive], [s for _, s in unlabelled], prior, level)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
