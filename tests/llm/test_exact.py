@@ -330,6 +330,39 @@ def test_top_k(spark):
     assert topk.top_k(embedded(spark).filter("false")).count() == 0
 
 
+def test_top_k_odd_rows(spark):
+    """Ties between ids, repeated rows and ids, short and empty vectors, large components, names of the operator's own."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(-3, 4, (12, 6)).astype(float)
+    rows = [(int(k), base[k % 12].tolist()) for k in range(150)] + [(0, base[0].tolist())] * 30 + [(50, base[5].tolist()), (7, base[1].tolist()), (8, []), (9, [1.0]), (10, (base[3] * 1e4).tolist())]
+    docs = spark.createDataFrame([(k, v, "mine", "mine", "mine") for k, v in rows], "vec_id long, embedding array<double>, v string, tag string, shard string")
+    whole = [(k, np.floor(256 * np.pad(np.array(v), (0, 6 - len(v)))).astype(np.int64)) for k, v in rows]
+    want = Counter()
+    for q, x in {(k, tuple(v)) for k, v in whole if k % 50 == 0}:
+        best = sorted((-int(np.array(x) @ y), k) for k, y in whole if k != q)[:5]
+        want.update((q, rank, k, -s) for rank, (s, k) in enumerate(best, 1))
+    for shard, block in ((16384, 16384), (20, 1)):
+        got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(docs, shard=shard, block=block).collect())
+        assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 40), st.integers(1, 12), st.floats(0, 1.2))
+def test_max_score_with_any_threshold(seed, n, dims, share):
+    """All rows that reach the threshold come, whatever it is; the essential terms leave no such row out."""
+    rng = np.random.default_rng(seed)
+    m, q = rng.integers(-20, 21, (dims, n)).astype(float), rng.integers(-20, 21, dims).astype(float)
+    ids, score = np.arange(n), q @ m
+    k = min(3, n)
+    theta = share * max(score.max(), 1)
+    got = topk.max_score(q, -1, ids, m, m.max(1), m.min(1), k, theta)
+    want = [(int(score[j]), int(j)) for j in np.lexsort((ids, -score))[:k] if score[j] >= theta]
+    assert [g for g in got if g[0] >= theta] == want
+    gain = np.maximum(np.maximum(q * m.max(1), q * m.min(1)), 0)
+    terms, first = topk.essential(gain, theta)
+    assert gain[terms[first:]].sum() < theta or first == dims
+
+
 def test_embedding_classes(spark, monkeypatch):
     rows = vectors()
     ok = [(k, np.array(v, float)) for k, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
@@ -344,3 +377,52 @@ def test_embedding_classes(spark, monkeypatch):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(embedded(spark)).collect()}
         assert got == want
     assert embedding_dedup.near_duplicates(embedded(spark).filter("false")).count() == 0
+
+
+def test_embeddings_odd_rows(spark, monkeypatch):
+    """Repeated ids with other vectors, null ids, doubles, short vectors, one vector of a third of the rows, names of the operator's own."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 8))
+    rows = [(k, (base[k % 6] + rng.normal(scale=0.05, size=8)).tolist()) for k in range(60)] + [(k, base[0].tolist()) for k in range(60, 100)]
+    rows += [(3, base[5].tolist()), (None, base[0].tolist()), (None, None), (200, [1.0]), (201, [2.0, 0.0]), (202, [])]
+    df = spark.createDataFrame([(k, v, 1, 1, 1, 1) for k, v in rows], "vec_id long, embedding array<double>, rep long, n long, x long, leaf long")
+    ok = [(k, np.pad(np.array(v), (0, 8 - len(v)))) for k, v in rows if k is not None and v]
+    links, ids = Counter(), {k: k for k, _ in rows if k is not None}
+    counts = []
+    for i, (a, x) in enumerate(ok):
+        near = [b for j, (b, y) in enumerate(ok) if j != i and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9]
+        counts.append((a, len(near)))
+        links.update((a, b) for b in near)
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(ids[a], ids[b])
+            moved |= ids[a] != low or ids[b] != low
+            ids[a] = ids[b] = low
+    counts += [(None, 0), (None, 0), (202, 0)]
+    want = Counter((k, n, None if k is None else ids[k], k is None or ids[k] == k) for k, n in counts)
+    for tile, hot in ((2048, 1000), (5, 4)):
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        monkeypatch.setattr(embedding_dedup, "HOT", hot)
+        got = Counter((r.vec_id, r.n_links, r.component_id, r.kept if r.vec_id is not None else True) for r in embedding_dedup.near_duplicates(df).collect())
+        assert got == want
+
+
+def test_layout_meets_every_near_pair():
+    """Each pair of tiles of near leaves meets exactly once, in one group and chunk."""
+    rng = np.random.default_rng(3)
+    for leaves, most in ((1, 1), (5, 3), (40, 1), (30, 9)):
+        parts = rng.integers(1, most + 1, leaves).tolist()
+        low = rng.uniform(-1, 1, (leaves, 3))
+        high = low + rng.uniform(0, 0.3, (leaves, 3))
+        layout = embedding_dedup.Layout(parts, low, high, 0.9)
+        leaf = np.repeat(np.arange(leaves), parts)
+        gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+        near = (gap**2).sum(2) <= 0.2
+        tiles = len(leaf)
+        for b in range(tiles):
+            groups = layout.visits(leaf[b], layout.group, 0, b)
+            for a in range(b + 1):
+                if near[leaf[a], leaf[b]]:
+                    assert a // layout.group in groups and b // layout.chunk in layout.visits(leaf[a], layout.chunk, a, tiles - 1)
