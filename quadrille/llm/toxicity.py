@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chosen_by, fold, sample_threshold
 
-FIT_POSITIVE, FIT_UNLABELLED, FIT_NEGATIVE = 1500, 3000, 3000
+FIT_POSITIVE, FIT_UNLABELLED, FIT_NEGATIVE = 1500, 3000, 1500
 MIN_DF, ZS, MOST_WORDS = 3, (8.0, 6.0, 4.5, 3.0), 2048
 #: One row in so many is set aside to choose among ZS.
 CHECK = 4
@@ -48,36 +47,48 @@ def parts_of(word: str) -> list[str]:
     return [word, *(x for k in AFFIXES if len(word) > k for x in (word[:k] + "-", "-" + word[-k:]))]
 
 
-def words_of(text: str | None) -> set[str]:
-    return {x for w in set(WORDS((text or "").lower())) for x in parts_of(w)}
+class Vocabulary:
+    """Numbers of features; each different word is taken apart once."""
 
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.of_word: dict[str, list[int]] = {}
 
-def telling_words(positive: list[set[str]], unlabelled: list[set[str]], least: float) -> list[str]:
+    def encode(self, words: list[str]) -> np.ndarray:
+        """The different features of the words, as numbers that rise."""
+        for w in words:
+            if w not in self.of_word:
+                self.of_word[w] = [self.number.setdefault(x, len(self.number)) for x in parts_of(w)]
+        return np.unique(np.fromiter((k for w in words for k in self.of_word[w]), np.int32))
+
+    def names(self) -> list[str]:
+        return [*self.number]
+
+
+def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], least: float) -> list[int]:
     """Features of positives that are ``least`` standard deviations more frequent there, the clearest first."""
-    p, u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
-    found = []
-    for w, n in p.items():
-        if n < MIN_DF:
-            continue
-        rate = (u[w] + 0.5) / (len(unlabelled) + 1)
-        z = (n / len(positive) - rate) / np.sqrt(rate * (1 - rate) * (1 / len(positive) + 1 / max(1, len(unlabelled))))
-        if z >= least:
-            found.append((-z, w))
-    return [w for _, w in sorted(found)[:MOST_WORDS]]
-
-
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, least: float = ZS[0], seed: int = 3) -> tuple[dict[str, float], float]:
-    """Weights of words and the bias, by minibatch nnPU with the logistic loss."""
-    vocabulary = {w: k for k, w in enumerate(telling_words(positive, unlabelled, least))} if positive else {}
-    if not vocabulary:
+    count = lambda rows: np.bincount(np.concatenate([np.empty(0, np.int32), *rows]), minlength=len(names))
+    p, u = count(positive), count(unlabelled)
+    rate = (u + 0.5) / (len(unlabelled) + 1)
+    z = (p / len(positive) - rate) / np.sqrt(rate * (1 - rate) * (1 / len(positive) + 1 / max(1, len(unlabelled))) + 1e-300)
+    good = np.flatnonzero((p >= MIN_DF) & (z >= least))
+    return sorted(good.tolist(), key=lambda k: (-z[k], names[k]))[:MOST_WORDS]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, least: float = ZS[0], seed: int = 3) -> tuple[dict[str, float], float]:
+    """Weights of features and the bias, by minibatch nnPU with the logistic loss, from rows of feature numbers."""
+    chosen = telling_features(positive, unlabelled, names, least) if positive else []
+    if not chosen:
         return {}, float(np.log(prior / (1 - prior)))
+    column = np.full(len(names), -1)
+    column[chosen] = np.arange(len(chosen))
 
-    def dense(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(vocabulary) + 1), np.float32)
+    def dense(rows: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(rows), len(chosen) + 1), np.float32)
         out[:, -1] = 1
-        for k, s in enumerate(sets):
-            for w in s & vocabulary.keys():
-                out[k, vocabulary[w]] = 1
+        for k, row in enumerate(rows):
+            at = column[row]
+            out[k, at[at >= 0]] = 1
         return out
 
     xp, xu = dense(positive), dense(unlabelled)
@@ -100,26 +111,26 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, leas
             grad[:-1] += L2 * w[:-1]
             speed += grad * grad
             w -= RATE * grad / np.sqrt(speed)
-    return {x: float(w[k]) for x, k in vocabulary.items()}, float(w[-1])
+    return {names[x]: float(w[k]) for k, x in enumerate(chosen)}, float(w[-1])
 
 
-def logit(model: tuple[dict[str, float], float], features: set[str]) -> float:
-    weights, bias = model
-    return bias + sum(weights[x] for x in sorted(features & weights.keys()))
+Sample = list[tuple[int, np.ndarray]]  # (id, feature numbers)
 
 
-def chosen_level(positive: list[tuple[int, set]], unlabelled: list[tuple[int, set]], negative: list[tuple[int, set]], prior: float) -> float:
-    """The level of ZS with the best F1 at THRESHOLD on the rows (id, features) that are set aside, weighed back to the prior."""
+def chosen_level(positive: Sample, unlabelled: Sample, negative: Sample, names: list[str], prior: float) -> float:
+    """The level of ZS with the best F1 at THRESHOLD on the rows that are set aside, weighed back to the prior."""
     aside = lambda doc: zlib.crc32(f"{doc}/check".encode()) % CHECK == 0
-    good, bad = [s for d, s in positive if aside(d)], [s for d, s in negative if aside(d)]
-    own, rest = [s for d, s in positive if not aside(d)], [s for d, s in unlabelled if not aside(d)]
+    good, bad = [x for d, x in positive if aside(d)], [x for d, x in negative if aside(d)]
+    own, rest = [x for d, x in positive if not aside(d)], [x for d, x in unlabelled if not aside(d)]
     if not (good and bad and own and rest):
         return ZS[0]
     best, level = -1.0, ZS[0]
-    edge = np.log(THRESHOLD / (1 - THRESHOLD))
+    number = {n: k for k, n in enumerate(names)}
     for z in ZS:
-        model = fit(own, rest, prior, z)
-        hit, wrong = (np.mean([logit(model, s) >= edge for s in rows]) for rows in (good, bad))
+        weights, bias = fit(own, rest, names, prior, z)
+        each = np.zeros(len(names))
+        each[[number[n] for n in weights]] = [*weights.values()]
+        hit, wrong = (np.mean([each[x].sum() + bias >= np.log(THRESHOLD / (1 - THRESHOLD)) for x in rows]) for rows in (good, bad))
         f1 = 2 * prior * hit / (prior + prior * hit + (1 - prior) * wrong)
         if f1 > best + 1e-9:
             best, level = f1, z
@@ -142,16 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -
     limits = {1: sample_threshold(known.filter("y = 1"), F.col("id"), F.lit(1), FIT_POSITIVE).get(1, 0), 0: sample_threshold(known.filter("y = 0"), F.col("id"), F.lit(0), FIT_NEGATIVE).get(0, 0)}
     widest = chosen_by({0: max(limits.values())}, F.lit(0), F.col("id"))  # before the join, so that few texts are shuffled
 
-    def sample(rows: DataFrame, most: int) -> list[tuple[int, set[str]]]:
+    vocabulary = Vocabulary()
+
+    def sample(rows: DataFrame, most: int) -> Sample:
         found = rows.select("id", "text").mapInArrow(_words, "id long, words string").limit(2 * most).collect()
-        return [(r.id, {x for w in r.words.split() for x in parts_of(w)}) for r in sorted(found)]
+        return [(r.id, vocabulary.encode(r.words.split())) for r in sorted(found)]
 
     labelled = own.filter(widest).join(known.filter(chosen_by(limits, F.col("y"), F.col("id"))), "id")
     positive, negative = (sample(labelled.filter(F.col("y") == y), most) for y, most in ((1, FIT_POSITIVE), (0, FIT_NEGATIVE)))
     limit = sample_threshold(own, F.col("id"), F.lit(0), FIT_UNLABELLED)
     unlabelled = sample(own.filter(chosen_by(limit, F.lit(0), F.col("id"))), FIT_UNLABELLED)
-    level = chosen_level(positive, unlabelled, negative, prior) if positive else ZS[0]
-    return fit([s for _, s in positive], [s for _, s in unlabelled], prior, level)
+    names = vocabulary.names()
+    level = chosen_level(positive, unlabelled, negative, names, prior) if positive else ZS[0]
+    return fit([x for _, x in positive], [x for _, x in unlabelled], names, prior, level)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:

@@ -155,10 +155,12 @@ def test_toxicity_score_equals_a_plain_sum(spark):
 def test_risk_is_corrected_and_non_negative():
     """Unlabelled text with as many positives as the prior says: the classifier tells them from the rest."""
     rng = np.random.default_rng(6)
-    text = lambda bad: {f"n{k}" for k in rng.integers(0, 200, 30)} | ({f"t{k}" for k in rng.integers(0, 12, 3)} if bad else set())
+    vocabulary = toxicity.Vocabulary()
+    text = lambda bad: vocabulary.encode([*(f"n{k}" for k in rng.integers(0, 200, 30)), *((f"t{k}" for k in rng.integers(0, 12, 3)) if bad else ())])
     positive, hidden, clean = ([text(bad) for _ in range(size)] for bad, size in ((True, 150), (True, 120), (False, 480)))
-    model = toxicity.fit(positive, hidden + clean, 0.2, 4.5)
-    found, wrong = (np.mean([toxicity.logit(model, s) >= np.log(0.3 / 0.7) for s in rows]) for rows in (hidden, clean))
+    names = vocabulary.names()
+    weights, bias = toxicity.fit(positive, hidden + clean, names, 0.2, 4.5)
+    found, wrong = (np.mean([bias + sum(weights.get(names[k], 0) for k in x) >= np.log(0.3 / 0.7) for x in rows]) for rows in (hidden, clean))
     assert found >= 0.9 and wrong <= 0.1
 
 
