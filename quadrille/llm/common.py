@@ -5,10 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +46,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def quoted(name: str) -> Column:
-    """A column by its plain name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def quoted(name: str) -> str:
+    """A name that means the column of just that name, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def save(df: DataFrame) -> DataFrame:
@@ -110,16 +107,9 @@ def hash_bucket(key: Column, bits: int = 16) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 64 - bits)
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with a function from one RecordBatch to one RecordBatch or None."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names: mapInArrow cannot take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def ngram_hashes(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ which a small aggregation settles.
 
 Defined results: a null or empty text is one empty line; null ids count as one document, smaller
 than all others; rows with equal id and text share their bitmap; an empty table gives no rows.
-Further columns of the input are ignored by ``keep_bitmaps`` and kept by ``drop_lines``.
+Further columns of the input, of any name, are ignored by ``keep_bitmaps`` and kept by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import numbered, quoted, save, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 WHITE = b" \t\n\x0b\x0c\r"
@@ -98,7 +98,7 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, positions): the lines to drop, in rows for each key and document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").filter("text is not null")
-    keys = texts.mapInArrow(lambda it: _line_hashes(it, min_chars), KEYS)
+    keys = save(texts.mapInArrow(lambda it: _line_hashes(it, min_chars), KEYS))  # the ranges are sampled from it, then it is read
     spread = keys.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
     streamed = save(spread.mapInArrow(lambda it: _stream(it, min_docs), STREAM))
     decided = streamed.filter(F.col("kind") == DROP).select("doc_id", "text_hash", "positions")
@@ -148,29 +148,31 @@ def _split_kept(text: bytes | None, bitmap: bytes | None) -> tuple[int, int, byt
     return len(lines), len(drop), b"\n".join(line for k, line in enumerate(lines) if k not in drop)
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows of ``docs`` with a column ``_bitmap`` that is null where every line stays."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("bitmap").alias("_bitmap"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(maps, on, "left").drop("_doc", "_hash")
+def with_bitmaps(docs: DataFrame, bitmap: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``docs`` with a column ``bitmap`` that is null where every line stays."""
+    doc, hash_ = unused(docs, "_doc", "_hash")
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_), F.col("bitmap").alias(bitmap))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(hash_))
+    return docs.join(maps, on, "left").select(*[docs[quoted(c)] for c in docs.columns], quoted(bitmap))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with its columns, without the lines to drop; n_chars, if there, follows the text."""
-    joined = with_bitmaps(docs, min_chars, min_docs)
+    (bitmap_,) = unused(docs, "_bitmap")
+    joined = with_bitmaps(docs, bitmap_, min_chars, min_docs)
     schema = docs.schema
     at, names = schema.names.index("text"), [*schema.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, bitmap in zip(batch.column(at).to_pylist(), batch.column("_bitmap").to_pylist(), strict=True):
+            for text, bitmap in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 texts.append(text if bitmap is None else _split_kept(text.encode(), bitmap)[2].decode())
             cols = [batch.column(k) for k in range(len(names))]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.select(*[F.col(f"`{n}`") for n in names], "_bitmap").mapInArrow(run, schema)
+    out = numbered(joined).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -185,5 +187,5 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    joined = with_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_bitmap").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    joined = with_bitmaps(docs.select("doc_id", "text"), "bitmap", min_chars, min_docs)
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "bitmap").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -10,8 +10,9 @@ undecided forms the blocks of the next level, until a source has one block, at w
 documents are landed together then: of all choices, the one that comes nearest to the expected totals.
 
 Defined results: a null text has size 0; a null source comes last in order; documents with size 0 are never taken (their
-words are none); repeated rows are rows of their own; an empty table gives no rows.  All randomness
-comes from hashes of ids, so reruns agree whatever the partitioning.
+words are none); repeated rows are rows of their own; an empty table gives no rows; further columns are ignored.  All randomness
+comes from hashes of ids, so reruns agree whatever the partitioning.  The driver holds the sizes of the sources; more than
+MOST_SOURCES of them are an error.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import quoted, save, unused
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK = 1024
+BLOCK, MOST_SOURCES = 1024, 1_000_000
 #: So many of a source's documents, whatever their size, are left to the landing, which tries all choices.
 RESERVE = 10
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -135,7 +136,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("row_key"),
         )
     )
-    groups = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
+    groups = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(groups) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets({g.source: g.source_size for g in groups}, weights, share, most)
     facts = spark.createDataFrame([(g.source, g.source_size, float(goal[g.source]), -(-g.n // block)) for g in groups], "s string, source_size long, target double, blocks int") if groups else None
     if facts is None:
@@ -170,11 +173,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its columns: each row as many times as the mix takes it.  Rows equal in id and text share out their copies."""
+    """``docs`` with its columns, of any name: each row as many times as the mix takes it.  Rows equal in id and text share out their copies."""
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    plan = mix(docs, **options).groupBy(F.col("row_key").alias("_key"), ident.alias("_id")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    joined = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_id": ident}).join(plan, ["_key", "_id"])
-    rank = F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_key"))  # as the join has dealt them: no further shuffle
-    taken = joined.withColumn("_n", F.element_at("_copies", rank)).filter("_n > 0")
-    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    key, id_, copies, n, copy = unused(docs, "_key", "_id", "_copies", "_n", "_copy")
+    plan = mix(docs, **options).groupBy(F.col("row_key").alias(key), ident.alias(id_)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
+    joined = docs.withColumns({key: F.xxhash64("doc_id", "text"), id_: ident}).join(plan, [key, id_])
+    rank = F.row_number().over(Window.partitionBy(key, id_).orderBy(key))  # as the join has dealt them: no further shuffle
+    taken = joined.withColumn(n, F.element_at(copies, rank)).filter(F.col(n) > 0)
+    return taken.select(*[quoted(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy)).drop(copy)

@@ -12,7 +12,7 @@ the labels back to their share.
 
 Defined results: null and empty texts, and texts of white space only, get the share of label 1 as score; without any
 training rows every score is 0.5; with a single label it is that label's smoothed share.  Repeated rows get the same score.
-Further columns are ignored by ``score`` and kept by ``keep_good``.
+Further columns, of any name, are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen_by, fold, mix64, ngram_hashes, sample_threshold
+from .common import chosen_by, fold, mix64, ngram_hashes, numbered, sample_threshold
 
 BUCKETS, DIM, NGRAMS = 1 << 15, 12, (2, 3, 4)
 FIT_ROWS = 1000
@@ -207,12 +207,13 @@ def score(docs: DataFrame, model: Model, held_out: int = HELD_OUT, threshold: fl
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with its columns, without the rows that score below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
-            good = np.array(model.score(batch.column(batch.schema.get_field_index("text")).to_pylist()), float) >= threshold
+            good = np.array(model.score(batch.column(at).to_pylist()), float) >= threshold
             if good.any():
-                yield batch.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)

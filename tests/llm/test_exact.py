@@ -12,6 +12,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadrille.llm import embedding_dedup, entry, line_dedup, mixing, packing, topk, warc
 from quadrille.llm.components import local_labels
@@ -64,6 +65,71 @@ def test_drop_lines(spark):
     assert line_dedup.line_digests(documents(spark, lines()).filter("false")).count() == 0
 
 
+CLASH = ["_doc", "_hash", "_bitmap", "bitmap", "_key", "_id", "_copies", "_n", "_copy", "row_key", "h1", "positions", "block", "tie", "a.b", "s"]
+
+
+def with_clashes(df):
+    return df.select("*", *[F.lit("mine").alias(c) for c in CLASH])
+
+
+def test_line_odd_rows(spark):
+    """Null ids, repeated rows of one id and text, an id with two texts, names of the operator's own."""
+    line = "a line of more than twenty characters"
+    rows = [(None, line), (None, f"{line}\nx"), (1, line), (1, line), (1, f"x\n{line}"), (2, f"{line}\n{line.upper()}"), (3, None)]
+    docs = with_clashes(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS))
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs).collect())
+    assert got == [(-1, 1, 1), (-1, 2, 1), (1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 0), (3, 1, 0)]
+    kept = line_dedup.drop_lines(docs)
+    assert kept.columns == docs.columns and all(r[c] == "mine" for r in kept.collect() for c in CLASH)
+    assert sorted(r.text for r in kept.collect() if r.text is not None) == sorted(["", "x", "", "", "x", f"{line}\n{line.upper()}"])
+
+
+def test_mix_odd_rows(spark):
+    """Repeated rows, null ids and sources, names of the operator's own."""
+    rows = [(k % 40 if k % 9 else None, "w " * (1 + k % 7), ["a", "b", None][k % 3]) for k in range(200)] + [(7, "w w w", "a")] * 50
+    docs = with_clashes(spark.createDataFrame([(k, t, "en", s, 0) for k, t, s in rows], DOCS))
+    plan = mixing.mix(docs, block=64).collect()
+    assert len(plan) == len(rows) and Counter(r.doc_id for r in plan) == Counter(k for k, _, _ in rows)
+    out = mixing.mixed_documents(docs, block=64)
+    assert out.columns == docs.columns and all(r[c] == "mine" for r in out.limit(5).collect() for c in CLASH)
+    copies = Counter()
+    for r in plan:
+        copies[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in out.collect()) == +copies
+    size = lambda t: len(t.split())
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    goal = mixing.targets(dict(sizes))
+    assert all(r.source_size == sizes[r.source] and r.target == pytest.approx(goal[r.source]) for r in plan)
+
+
+def test_targets_equal_sql(spark):
+    """Size, source_size and target of every row of the documents, by DuckDB: shares by weight, capped and shared out anew."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rounds = "".join(f"""
+      , r{k + 1} AS (SELECT source, size, w, CASE WHEN full_ OR left_ * w / sum(CASE WHEN NOT full_ THEN w END) OVER () > 2 * size THEN true ELSE false END AS full_,
+          0.0 AS left_ FROM r{k})
+      , s{k + 1} AS (SELECT source, size, w, full_, (SELECT 1.5 * sum(size) FROM r0) - coalesce(sum(CASE WHEN full_ THEN 2 * size END) OVER (), 0) AS left_ FROM r{k + 1})
+      """.replace(f"FROM r{k})", f"FROM s{k})" if k else "FROM r0)") for k in range(22))
+    want = {}
+    for source, size, w, full, left in duckdb.sql(f"""
+      WITH sized AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM '{path}'),
+      r0 AS (SELECT source, sum(n) AS size, [3.0, 1.0, 2.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3] AS w, false AS full_, 1.5 * sum(sum(n)) OVER () AS left_ FROM sized GROUP BY source)
+      {rounds} SELECT source, size, w, full_, left_ FROM s22""").fetchall():
+        want[source] = (size, w, full, float(left))
+    open_ = sum(float(w) for _, w, full, _ in want.values() if not full)
+    goal = {s: 2.0 * size if full else left * float(w) / open_ for s, (size, w, full, left) in want.items()}
+    rows = mixing.mix(spark.read.parquet(path)).collect()
+    assert all(r.source_size == want[r.source][0] and r.target == pytest.approx(goal[r.source]) for r in rows)
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] for s in goal)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 5000), min_size=1))
 def test_bitmaps(gone):
