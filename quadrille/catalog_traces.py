@@ -65,7 +65,7 @@ find("service", '{ resource.service.name = "supplier-1" && span.linestatus = "O"
 find("parent_scope", '{ parent.flag = "R" && .flag = "A" }', "SELECT c.trace_id, c.span_id FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent WHERE p.flag = 'R' AND c.flag = 'A'")
 find("child_count", '{ span:childCount >= 3 }', "SELECT trace_id, parent AS span_id FROM spans WHERE parent IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND (trace_id, parent) IN (SELECT (trace_id, span_id) FROM spans)")
 find("trace_facts", '{ rootServiceName = "orders" && trace:duration > 400us && .flag = "N" }', "SELECT s.trace_id, s.span_id FROM spans s JOIN (SELECT trace_id FROM spans GROUP BY trace_id HAVING max(start_ns + duration_ns) - min(start_ns) > 400000) USING (trace_id) WHERE flag = 'N'")
-find("spanset_and", '{ .flag = "R" } && { .priority = "1-URGENT" }', "SELECT trace_id, span_id FROM spans WHERE (flag = 'R' OR priority = '1-URGENT') AND trace_id IN (SELECT trace_id FROM spans WHERE flag = 'R') AND trace_id IN (SELECT trace_id FROM spans WHERE priority = '1-URGENT')")
+find("spanset_and", '{ .flag = "R" } && { .priority = "1-URGENT" }', ", r AS (SELECT DISTINCT trace_id FROM spans WHERE flag = 'R'), u AS (SELECT DISTINCT trace_id FROM spans WHERE priority = '1-URGENT') SELECT trace_id, span_id FROM spans JOIN r USING (trace_id) JOIN u USING (trace_id) WHERE flag = 'R' OR priority = '1-URGENT'")
 find("spanset_or", '{ .flag = "R" } || { .priority = "1-URGENT" }', ONE + "flag = 'R' OR priority = '1-URGENT'")
 A, B = "flag = 'R'", "linestatus = 'O'"
 QA, QB = '{ .flag = "R" }', '{ .linestatus = "O" }'
@@ -78,7 +78,7 @@ PAIRS = {
 for op, (name, pairs) in PAIRS.items():
     met = f", met AS (SELECT m.trace_id, x, y FROM ({pairs}) m JOIN spans a ON a.trace_id = m.trace_id AND a.span_id = y AND a.{A} JOIN spans b ON b.trace_id = m.trace_id AND b.span_id = x AND b.{B}) "
     find(name, f"{QA} {op} {QB}", met + "SELECT DISTINCT trace_id, x AS span_id FROM met")
-    find(f"not_{name}", f"{QA} !{op} {QB}", met + f"SELECT trace_id, span_id FROM spans WHERE {B} AND (trace_id, span_id) NOT IN (SELECT (trace_id, x) FROM met)")
+    find(f"not_{name}", f"{QA} !{op} {QB}", met + f"SELECT trace_id, span_id FROM spans s WHERE {B} AND NOT EXISTS (SELECT 1 FROM met WHERE met.trace_id = s.trace_id AND met.x = s.span_id)")
     find(f"union_{name}", f"{QA} &{op} {QB}", met + "SELECT trace_id, x AS span_id FROM met UNION SELECT trace_id, y FROM met")
 find("structural_chain", '({ name = "order" } > { .flag = "R" }) > { .flag = "A" }', "SELECT c.trace_id, c.span_id FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent WHERE p.flag = 'R' AND p.parent = 0 AND c.flag = 'A'")
 for fn, text, sql in (("count", "count() > 3", "count(*) > 3"), ("avg", "avg(.quantity) > 35", "avg(quantity) > 35"), ("sum", "sum(.price) >= 100000", "sum(price) >= 100000"), ("min", "min(duration) < 20", "min(duration_ns) < 20"), ("max", "max(.quantity) = 50", "max(quantity) = 50")):
@@ -129,4 +129,12 @@ CASES["traceql_nested_sets"] = (
     lambda spark, sf_dir: with_nested_sets(signals.spans(spark, sf_dir)).select("trace_id", "span_id", (F.col("ns_right") - F.col("ns_left")).alias("width"), (F.col("ns_parent") < 0).alias("is_root")),
     BASE + "SELECT s.trace_id, s.span_id, (2 * count(a.span_id) + 1)::INT AS width, NOT EXISTS (SELECT 1 FROM par p WHERE p.trace_id = s.trace_id AND p.span_id = s.span_id) AS is_root FROM spans s LEFT JOIN anc a ON a.trace_id = s.trace_id AND a.up = s.span_id GROUP BY ALL",
 )
-CASES["traceql_exemplars"] = (lambda spark, sf_dir: traceql.exemplars(signals.spans(spark, sf_dir), '{ .flag = "R" }', START, END), "")
+MS0, WIDTH = START // 1_000_000, max(1, (END // 1_000_000 - START // 1_000_000) // 50)
+CASES["traceql_exemplars"] = (
+    lambda spark, sf_dir: traceql.exemplars(signals.spans(spark, sf_dir), '{ .flag = "R" }', START, END),
+    BASE + f"SELECT trace_id, span_id, start_ns, duration_ns FROM spans WHERE flag = 'R' QUALIFY row_number() OVER (PARTITION BY least((start_ns // 1000000 - {MS0}) // {WIDTH}, 49) ORDER BY md5(concat(trace_id, '/', span_id)), trace_id, span_id) <= 2",
+)
+CASES["traceql_search_select"] = (
+    lambda spark, sf_dir: traceql.search(signals.spans(spark, sf_dir), '{ .quantity > 45 } | select(.flag, .linestatus)', START, END, limit=50, spans_per_set=2).select("trace_id", "matched", F.array_join(F.transform("spans", lambda x: F.concat(x["name"], F.lit(":"), x[".flag"], x[".linestatus"])), ",").alias("shown")),
+    BASE + ", m AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ns, span_id) AS k FROM spans WHERE quantity > 45) SELECT trace_id, count(*) AS matched, string_agg(name || ':' || flag || linestatus, ',' ORDER BY start_ns, span_id) FILTER (k <= 2) AS shown FROM m GROUP BY trace_id ORDER BY min(start_ns) DESC, trace_id LIMIT 50",
+)

@@ -94,34 +94,44 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def with_nested_sets(spans: DataFrame) -> DataFrame:
-    """The spans with ns_left, ns_right, ns_parent and child_count.  Only ids go through Python; a trace is numbered as a whole."""
+def of_traces(spans: DataFrame, touched: DataFrame | None) -> DataFrame:
+    """The spans of the traces in ``touched`` (trace_id, each once), or all."""
+    return spans if touched is None else spans.join(touched, "trace_id")
+
+
+def with_nested_sets(spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """The spans, of ``touched`` traces only if given, with ns_left, ns_right and ns_parent.
+
+    Only ids go through Python; a trace is numbered as a whole.  Blocks may be written with these columns, which are then kept.
+    """
     if {"ns_left", "ns_right", "ns_parent"} <= set(spans.columns):
         return spans
     t, s = spans.schema["trace_id"].dataType.simpleString(), spans.schema["span_id"].dataType.simpleString()
-    ids = spans.select("trace_id", "span_id", F.col("parent_span_id").cast(s).alias("parent_span_id"), "start_ns").repartition("trace_id").sortWithinPartitions("trace_id", "start_ns", "span_id")
+    ids = of_traces(spans.select("trace_id", "span_id", F.col("parent_span_id").cast(s).alias("parent_span_id"), "start_ns"), touched)
+    ids = ids.repartition("trace_id").sortWithinPartitions("trace_id", "start_ns", "span_id")
     numbered = ids.select("trace_id", "span_id", "parent_span_id").mapInArrow(_numbered, f"trace_id {t}, span_id {s}, ns_left int, ns_right int, ns_parent int")
     return spans.join(numbered.dropDuplicates(["trace_id", "span_id"]), ["trace_id", "span_id"])
 
 
-def with_child_counts(spans: DataFrame) -> DataFrame:
-    counts = spans.filter("parent_span_id is not null").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count(F.lit(1)).cast("int").alias("child_count"))
+def with_child_counts(spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    inner = of_traces(spans.select("trace_id", "parent_span_id"), touched).filter("parent_span_id is not null")
+    counts = inner.groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count(F.lit(1)).cast("int").alias("child_count"))
     return spans.join(counts, ["trace_id", "span_id"], "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
 
 
-def with_parents(spans: DataFrame) -> DataFrame:
+def with_parents(spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """``parent``: the parent span's facts, null for roots."""
     facts = F.struct("name", "kind", "status", "service", "duration_ns", "attrs", "nums", "bools", "lists", "resource", "status_message").alias("parent")
-    above = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), facts)
+    above = of_traces(spans, touched).select("trace_id", F.col("span_id").alias("parent_span_id"), facts)
     return spans.join(above, ["trace_id", "parent_span_id"], "left")
 
 
-def with_trace_facts(spans: DataFrame) -> DataFrame:
+def with_trace_facts(spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """root_name, root_service and trace_duration_ns on every span."""
-    w = Window.partitionBy("trace_id")
-    root = F.min(F.when(F.col("parent_span_id").isNull(), F.struct("start_ns", "name", "service"))).over(w)
-    lasts = F.max(F.col("start_ns") + F.col("duration_ns")).over(w) - F.min("start_ns").over(w)
-    return spans.withColumns({"_root": root, "trace_duration_ns": lasts}).withColumns({"root_name": F.col("_root.name"), "root_service": F.col("_root.service")}).drop("_root")
+    root = F.min(F.when(F.col("parent_span_id").isNull(), F.struct("start_ns", "name", "service"))).alias("_root")
+    lasts = (F.max(F.col("start_ns") + F.col("duration_ns")) - F.min("start_ns")).alias("trace_duration_ns")
+    facts = of_traces(spans.select("trace_id", "parent_span_id", "start_ns", "duration_ns", "name", "service"), touched).groupBy("trace_id").agg(root, lasts)
+    return spans.join(facts.select("trace_id", "trace_duration_ns", F.col("_root.name").alias("root_name"), F.col("_root.service").alias("root_service")), "trace_id", "left")
 
 
 def code_name(code: Column, names: tuple[str, ...]) -> Column:

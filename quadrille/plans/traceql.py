@@ -267,7 +267,7 @@ class Parser:
 
     def step(self) -> list[Step]:
         if self.is_("{", "("):
-            return [Step("select", (self.spanset_or(),))]
+            return [Step("spanset", (self.spanset_or(),))]
         name = self.take()[1]
         if name in ("by", "select"):
             return [Step(name, self.fields())]
@@ -496,19 +496,39 @@ class Compiler:
 
 
 def prepared(spans: DataFrame, query: Query, start_ns: int, end_ns: int) -> DataFrame:
-    """The spans of the range with what the query needs besides: parents, trace facts, child counts, nested sets."""
+    """The spans of the range with what the query needs besides: parents, trace facts, child counts, nested sets.
+
+    What reaches beyond single spans is worked out for whole traces, but only for those that have a span in the range which a
+    selector of the root wants: their ids are found first, by a scan of the range.
+    """
     df = laid_out(spans)
     fields = all_of([query.root, *query.steps], Field)
     used = {f.key for f in fields if f.scope == "intrinsic"}
-    if "child_count" in used and "child_count" not in df.columns:
-        df = with_child_counts(df)
-    if used & {"root_name", "root_service", "trace_duration_ns"} and not {"root_name", "root_service", "trace_duration_ns"} <= set(df.columns):
-        df = with_trace_facts(df)
-    if used & {"ns_left", "ns_right", "ns_parent"} or any(structural(x) for x in (query.root, *all_of(query.steps, Spanset))):
-        df = with_nested_sets(df)
-    if any(f.parent for f in fields):
-        df = with_parents(df)
-    return df.filter(F.col("start_ns").between(start_ns, end_ns))
+    inside = F.col("start_ns").between(start_ns, end_ns)
+    children = "child_count" in used and "child_count" not in df.columns
+    facts = bool(used & {"root_name", "root_service", "trace_duration_ns"}) and not {"root_name", "root_service", "trace_duration_ns"} <= set(df.columns)
+    nested = (bool(used & {"ns_left", "ns_right", "ns_parent"}) or any(structural(x) for x in (query.root, *all_of(query.steps, Spanset)))) and not {"ns_left", "ns_right", "ns_parent"} <= set(df.columns)
+    parents = any(f.parent for f in fields)
+    if children or facts or nested or parents:
+        plain = [e for e in selectors(query.root) if all(not f.parent and not (f.scope == "intrinsic" and f.key in TRACE_WIDE) for f in all_of(e, Field))]
+        wanted = F.lit(False)
+        for e in plain:
+            wanted = wanted | test(e)
+        scanned = df.filter(inside & wanted) if len(plain) == len(selectors(query.root)) else df.filter(inside)
+        touched = scanned.select("trace_id").distinct()
+        if children:
+            df = with_child_counts(df, touched)
+        if facts:
+            df = with_trace_facts(df, touched)
+        if nested:
+            df = with_nested_sets(df, touched)
+        if parents:
+            df = with_parents(df, touched)
+    return df.filter(inside)
+
+
+#: Intrinsics that other spans of the trace decide.
+TRACE_WIDE = {"child_count", "root_name", "root_service", "trace_duration_ns", "ns_left", "ns_right", "ns_parent"}
 
 
 def matched(spans: DataFrame, query: Query, start_ns: int, end_ns: int) -> tuple[DataFrame, list[Step]]:
@@ -529,7 +549,7 @@ def matched(spans: DataFrame, query: Query, start_ns: int, end_ns: int) -> tuple
         early, late = steps, []
     made = 0
     for k, s in enumerate(early):
-        if s.kind == "select":
+        if s.kind == "spanset":
             df, flag = Compiler().flag(df, s.args[0])
             df = df.filter(flag)
         elif s.kind == "by":
@@ -616,10 +636,10 @@ def power_of_two(x: Column) -> Column:
     return F.when((x >= 2) & (x == F.floor(x)), exact)
 
 
-def metrics(spans: DataFrame, text: str, start_ns: int, end_ns: int, step_ns: int, instant: bool = False, exemplars: int = 0) -> DataFrame:
+def metrics(spans: DataFrame, text: str, start_ns: int, end_ns: int, step_ns: int, instant: bool = False) -> DataFrame:
     """(labels map, ts_ns, value) on the points start, start + step, … <= end; the range's end belongs to it.
 
-    ``instant``: one point for the whole range.
+    ``instant``: one point for the whole range.  ``exemplars`` finds spans to go with it.
     """
     if step_ns <= 0 or end_ns < start_ns:
         raise QueryError("the grid is empty")
@@ -747,10 +767,16 @@ def tag_values(spans: DataFrame, tag: str, where: str = "{}", start_ns: int = 0,
     return df.select(text_of(p.field_of(kind, text)).alias("value")).filter("value is not null").distinct()
 
 
-def exemplars(spans: DataFrame, text: str, start_ns: int, end_ns: int, strata: int = 50, each: int = 2) -> DataFrame:
-    """(trace_id, span_id, start_ns, duration_ns): matching spans spread over the range, ``each`` from each of its parts."""
+def exemplars(spans: DataFrame, text: str, start_ns: int, end_ns: int, limit: int = 100, each: int = 2) -> DataFrame:
+    """(trace_id, span_id, start_ns, duration_ns): matching spans spread over the range, ``each`` from each of limit / each parts of it at most.
+
+    The parts have whole milliseconds; which spans of a part are taken is decided by md5 of "trace/span", so reruns agree.
+    """
     df, _ = matched(spans, parse(text), start_ns, end_ns)
-    width = max(1, math.ceil((end_ns - start_ns + 1) / strata))
-    part = F.call_function("div", F.col("start_ns") - start_ns, F.lit(width))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.xxhash64("trace_id", "span_id"), "span_id"))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= each).select("trace_id", "span_id", "start_ns", "duration_ns")
+    parts = max(1, limit // each)
+    ms = lambda t: F.call_function("div", t, F.lit(1_000_000))
+    width = max(1, (end_ns // 1_000_000 - start_ns // 1_000_000) // parts)
+    part = F.least(F.call_function("div", ms(F.col("start_ns")) - start_ns // 1_000_000, F.lit(width)), F.lit(parts - 1))
+    tie = F.md5(F.concat_ws("/", F.col("trace_id").cast("string"), F.col("span_id").cast("string")))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(tie, "trace_id", "span_id"))
+    return df.withColumn("_part", part).withColumn("_rank", rank).filter(F.col("_rank") <= each).select("trace_id", "span_id", "start_ns", "duration_ns")
