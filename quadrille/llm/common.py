@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: with texts of 3 KB a batch is about 3 MB.
@@ -80,31 +80,31 @@ def fold(column: str, modulus: int) -> Column:
 MOST_LABELS = 1000
 
 
-def sample_threshold(df: DataFrame, key: Column, by: Column, most: int, bits: int = 16) -> dict:
-    """For each value of ``by``, the bucket of ``key``'s hash below which there are ``most`` rows or fewer.
+def sample_threshold(df: DataFrame, by: Column, most: int) -> dict:
+    """For each value of ``by``, the hash below which there are about ``most`` rows, or all if there are no more.
 
-    One pass over narrow columns with map-side sums; a value has 2**bits counts at most, and the driver gets a row for each value.
-    More than MOST_LABELS values are an error.  The first bucket that holds rows is always kept, so that no value is left without.
+    One count by value with map-side sums; the driver gets a row for each value.  More than MOST_LABELS values are an error.
     """
-    counts = df.groupBy(by.alias("g"), hash_bucket(key, bits).alias("b")).count()
-    w = Window.partitionBy("g").orderBy("b")
-    upto = counts.withColumns({"upto": F.sum("count").over(w), "nth": F.row_number().over(w)}).filter((F.col("upto") <= most) | (F.col("nth") == 1))
-    rows = upto.groupBy("g").agg((F.max("b") + 1).alias("limit")).limit(MOST_LABELS + 1).collect()
+    rows = df.groupBy(by.alias("g")).count().limit(MOST_LABELS + 1).collect()
     if len(rows) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} different labels")
-    return {r.g: r.limit for r in rows}
+    return {r.g: HASHES if r["count"] <= most else HASHES * most // r["count"] for r in rows}
+
+
+HASHES = 1 << 62
+
+
+def key_hash(key: Column) -> Column:
+    """0 … HASHES - 1, evenly."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 2)
 
 
 def chosen_by(limits: dict, by: Column, key: Column) -> Column:
     """Whether a row is in the sample of sample_threshold."""
     if not limits:
         return F.lit(False)
-    table = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-    return F.coalesce(hash_bucket(key) < table[by], F.lit(False))
-
-
-def hash_bucket(key: Column, bits: int = 16) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 64 - bits)
+    table = F.create_map(*[x for g, n in sorted(limits.items()) for x in (F.lit(g), F.lit(n).cast("long"))])
+    return F.coalesce(key_hash(key) < table[by], F.lit(False))
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     alone = other.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not count:
         return alone
-    limit = sample_threshold(reps, F.col("first"), F.lit(0), FIT_ROWS)
+    limit = sample_threshold(reps, F.lit(0), FIT_ROWS)
     sample = reps.filter(chosen_by(limit, F.lit(0), F.col("first"))).select("first", "x").limit(2 * FIT_ROWS).toArrow().sort_by("first")
     axes, tree = fit_axes(unit(matrix(sample["x"], dims)), min(LEAVES, max(1, -(-count // TILE))))
 

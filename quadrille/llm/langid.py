@@ -205,7 +205,7 @@ def train(docs: DataFrame, held_out: int | None = HELD_OUT, fit_rows: int = FIT_
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text").filter("lang is not null and doc_id is not null and text <> ''")
     if held_out:
         known = known.filter(fold("doc_id", held_out) != 1)
-    limits = sample_threshold(known, F.col("doc_id"), F.col("lang"), fit_rows)
+    limits = sample_threshold(known, F.col("lang"), fit_rows)
     counted = known.filter(chosen_by(limits, F.col("lang"), F.col("doc_id"))).mapInArrow(_counted, "lang string, doc_id long, at binary, n binary")
     sums = counted.groupBy("lang").applyInArrow(_summed, "lang string, total binary")  # BUCKETS floats a language
     return model_of({r.lang: np.frombuffer(r.total) for r in sums.collect()})

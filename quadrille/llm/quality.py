@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, f
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     if held_out:
         known = known.filter(fold("id", held_out) != 0)
-    limits = sample_threshold(known, F.col("id"), F.col("y"), fit_rows)
+    limits = sample_threshold(known, F.col("y"), fit_rows)
     shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
     widest = {0: max(limits.values(), default=0)}  # before the join, so that few texts are shuffled

@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -
         known, own = known.filter(fold("id", held_out) != 2), own.filter(fold("id", held_out) != 2)
     shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     prior = min(0.9, (shares.get(1, 0) + 1) / (sum(shares.values()) + 2))
-    limits = {1: sample_threshold(known.filter("y = 1"), F.col("id"), F.lit(1), FIT_POSITIVE).get(1, 0), 0: sample_threshold(known.filter("y = 0"), F.col("id"), F.lit(0), FIT_NEGATIVE).get(0, 0)}
+    limits = {y: sample_threshold(known, F.col("y"), most).get(y, 0) for y, most in ((1, FIT_POSITIVE), (0, FIT_NEGATIVE))}
     widest = chosen_by({0: max(limits.values())}, F.lit(0), F.col("id"))  # before the join, so that few texts are shuffled
 
     vocabulary = Vocabulary()
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -
 
     labelled = own.filter(widest).join(known.filter(chosen_by(limits, F.col("y"), F.col("id"))), "id")
     positive, negative = (sample(labelled.filter(F.col("y") == y), most) for y, most in ((1, FIT_POSITIVE), (0, FIT_NEGATIVE)))
-    limit = sample_threshold(own, F.col("id"), F.lit(0), FIT_UNLABELLED)
+    limit = sample_threshold(own, F.lit(0), FIT_UNLABELLED)
     unlabelled = sample(own.filter(chosen_by(limit, F.lit(0), F.col("id"))), FIT_UNLABELLED)
     names = vocabulary.names()
     level = chosen_level(positive, unlabelled, negative, names, prior) if positive else ZS[0]

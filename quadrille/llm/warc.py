@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, sample_threshold, save
+from .common import chosen_by, sample_threshold, save
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: The dictionary's size, and the most pages and characters of a page that it is trained on.
@@ -50,8 +50,8 @@ def digest_of(payload: bytes) -> str:
 def train_dictionary(pages: DataFrame) -> bytes:
     """From DICT_PAGES pages at most of DICT_CHARS characters at most, chosen by the hash of their id; empty if they are too few."""
     short = pages.filter(F.length("html").between(1, DICT_CHARS))
-    limit = sample_threshold(short, F.col("page_id"), F.lit(0), DICT_PAGES).get(0, 0)
-    rows = short.filter(hash_bucket(F.col("page_id")) < limit).select("html").limit(2 * DICT_PAGES).collect()
+    limit = sample_threshold(short, F.lit(0), DICT_PAGES)
+    rows = short.filter(chosen_by(limit, F.lit(0), F.col("page_id"))).select("html").limit(2 * DICT_PAGES).collect()
     samples = sorted(r.html.encode() for r in rows)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()

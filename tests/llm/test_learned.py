@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import entry, langid, quality, toxicity
-from quadrille.llm.common import fold, sample_threshold
+from quadrille.llm.common import chosen_by, fold, sample_threshold
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 ODD = [(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, " \n\t ", "en", "s", 4), (-4, "1234 !!", "en", "s", 7), (None, "words without an id", None, "s", 1), (-5, "word " * 50_000, None, "s", 250_000)]
@@ -109,10 +109,12 @@ def test_long_texts_are_learned(spark):
 
 def test_sample_threshold(spark):
     df = spark.range(5000).withColumn("g", F.when(F.col("id") < 4990, "a").otherwise("b"))
-    limits = sample_threshold(df, F.col("id"), F.col("g"), 100)
-    assert set(limits) == {"a", "b"} and sample_threshold(df.filter("false"), F.col("id"), F.col("g"), 9) == {}
+    limits = sample_threshold(df, F.col("g"), 100)
+    assert set(limits) == {"a", "b"} and sample_threshold(df.filter("false"), F.col("g"), 9) == {}
+    taken = Counter(r.g for r in df.filter(chosen_by(limits, F.col("g"), F.col("id"))).collect())
+    assert taken["b"] == 10 and 60 <= taken["a"] <= 140 and not df.filter(chosen_by({}, F.col("g"), F.col("id"))).count()
     with pytest.raises(ValueError, match="labels"):
-        sample_threshold(df, F.col("id"), F.col("id"), 1)
+        sample_threshold(df, F.col("id"), 1)
 
 
 TEXTS = [None, "", " \n\t", "one", "one two one two one", "a a a a b b", "Straße ÉÉ x²", "word " * 5000, " ".join(f"w{k}" for k in range(3000)), "x" * 5000]
