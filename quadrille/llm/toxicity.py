@@ -10,8 +10,8 @@ let inflected and compound forms count that no training text holds.  A text is s
 
 The classifier is fitted on FIT_POSITIVE and FIT_UNLABELLED rows at most, chosen by the hash of
 the id outside the held-out fold, whatever their length; the prior is the share of label 1 among the labelled rows outside that fold.
-Of the levels ZS that one is taken whose classifier, fitted without a CHECK-th part of these rows, has the best F1 on labelled rows of that part,
-none of which is held out.  The final fit takes all rows.
+Of the levels ZS that one is taken whose classifiers, each fitted without one of CHECKS parts of these rows, have the best F1 on the labelled rows of
+those parts, none of which is held out.  The final fit takes all rows.
 
 Defined results: null and empty texts get the score of a text without any telling word; without positives every
 score is the prior.  Repeated rows get the same score.  Further columns are ignored.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import chosen_by, fold, sample_threshold
 
 FIT_POSITIVE, FIT_UNLABELLED, FIT_NEGATIVE = 1500, 3000, 1500
-MIN_DF, ZS, MOST_WORDS = 3, (8.0, 6.0, 4.5, 3.0), 2048
-#: One row in so many is set aside to choose among ZS.
-CHECK = 4
+MIN_DF, ZS, MOST_WORDS = 3, (10.0, 8.0, 6.0, 4.0, 2.0), 2048
+#: Parts of the cross-validation that chooses among ZS.
+CHECKS = 4
 EPOCHS, RATE, L2, BATCH = 60, 0.5, 1e-3, 256
 THRESHOLD, HELD_OUT = 0.3, 4
 #: Lengths of the beginnings and ends of words.
@@ -118,19 +118,26 @@ Sample = list[tuple[int, np.ndarray]]  # (id, feature numbers)
 
 
 def chosen_level(positive: Sample, unlabelled: Sample, negative: Sample, names: list[str], prior: float) -> float:
-    """The level of ZS with the best F1 at THRESHOLD on the rows that are set aside, weighed back to the prior."""
-    aside = lambda doc: zlib.crc32(f"{doc}/check".encode()) % CHECK == 0
-    good, bad = [x for d, x in positive if aside(d)], [x for d, x in negative if aside(d)]
-    own, rest = [x for d, x in positive if not aside(d)], [x for d, x in unlabelled if not aside(d)]
-    if not (good and bad and own and rest):
-        return ZS[0]
-    best, level = -1.0, ZS[0]
+    """The level of ZS with the best F1 at THRESHOLD over all CHECKS parts, each scored without having been fitted on, weighed back to the prior."""
+    part = lambda doc: zlib.crc32(f"{doc}/check".encode()) % CHECKS
     number = {n: k for k, n in enumerate(names)}
+    edge = np.log(THRESHOLD / (1 - THRESHOLD))
+    best, level = -1.0, ZS[0]
     for z in ZS:
-        weights, bias = fit(own, rest, names, prior, z)
-        each = np.zeros(len(names))
-        each[[number[n] for n in weights]] = [*weights.values()]
-        hit, wrong = (np.mean([each[x].sum() + bias >= np.log(THRESHOLD / (1 - THRESHOLD)) for x in rows]) for rows in (good, bad))
+        hits: list[bool] = []
+        wrongs: list[bool] = []
+        for k in range(CHECKS):
+            own, rest = ([x for d, x in rows if part(d) != k] for rows in (positive, unlabelled))
+            if not own or not rest:
+                continue
+            weights, bias = fit(own, rest, names, prior, z)
+            each = np.zeros(len(names))
+            each[[number[n] for n in weights]] = [*weights.values()]
+            for rows, seen in ((positive, hits), (negative, wrongs)):
+                seen += [each[x].sum() + bias >= edge for d, x in rows if part(d) == k]
+        if not hits or not wrongs:
+            continue
+        hit, wrong = np.mean(hits), np.mean(wrongs)
         f1 = 2 * prior * hit / (prior + prior * hit + (1 - prior) * wrong)
         if f1 > best + 1e-9:
             best, level = f1, z
