@@ -70,7 +70,9 @@ def without_deleted(logs: DataFrame, requests: list[tuple[str, int, int]]) -> Da
         for s in node.stages:
             if s.kind != "line":
                 raise logql.QueryError("delete requests take line filters only")
-            hit = logql.line_test(s.args[0], s.args[1][0], F.col("line"))
+            hit = F.lit(False)
+            for want in s.args[1]:
+                hit |= logql.line_test(s.args[0], want, F.col("line"))
             test &= ~hit if s.args[0][0] == "!" else hit
         logs = logs.filter(~test)
     return logs

@@ -16,6 +16,7 @@ from ..functions.columns import labels_of, keep, lit, matches, quantile, with_la
 from . import promql
 from .lexing import QueryError, byte_count, duration_ms, number, unquote
 from .promql import Grid, to_steps
+from .templates import template
 
 NS = 1_000_000
 
@@ -264,57 +265,34 @@ def pattern_regex(text: str) -> tuple[str, list[str | None]]:
     return out, names
 
 
-def template(text: str, lab: Column, line: Column) -> Column:
-    """Go templates without control flow: text, ``{{.label}}``, ``__line__`` and pipelines of string functions."""
-    unary = {"ToUpper": F.upper, "ToLower": F.lower, "upper": F.upper, "lower": F.lower, "title": F.initcap, "trim": F.trim, "TrimSpace": F.trim, "urlencode": F.url_encode, "urldecode": F.url_decode, "b64enc": lambda c: F.base64(F.encode(c, "UTF-8")), "b64dec": lambda c: F.decode(F.unbase64(c), "UTF-8"), "len": lambda c: F.length(c).cast("string")}
-    value = lambda w: F.coalesce(lab[w[1:]], F.lit("")) if w[0] == "." else line if w in ("__line__",) else F.lit(unquote(w) if w[0] in "\"`" else w)
-
-    def call(words: list[str], piped: Column | None) -> Column:
-        fn, args = words[0], [value(w) for w in words[1:]] + ([piped] if piped is not None else [])
-        raw = [unquote(w) if w[0] in "\"`" else w for w in words[1:]]
-        if fn[0] in ".\"`" or fn == "__line__":
-            return value(fn)
-        if fn in unary:
-            return unary[fn](args[-1])
-        if fn in ("replace", "Replace"):
-            return F.replace(args[-1] if fn == "replace" else args[0], F.lit(raw[0] if fn == "replace" else raw[1]), F.lit(raw[1] if fn == "replace" else raw[2]))
-        if fn == "trunc":
-            return F.substring(args[-1], 1, int(raw[0])) if int(raw[0]) >= 0 else F.substring(args[-1], int(raw[0]), -int(raw[0]))
-        if fn == "substr":
-            return F.substring(args[-1], int(raw[0]) + 1, int(raw[1]) - int(raw[0]))
-        if fn == "default":
-            return F.when(args[-1] == "", args[0]).otherwise(args[-1])
-        if fn == "repeat":
-            return F.repeat(args[-1], int(raw[0]))
-        if fn in ("trimPrefix", "trimSuffix"):
-            k = len(raw[0])
-            return F.when(args[-1].startswith(raw[0]), args[-1].substr(F.lit(k + 1), F.length(args[-1]))).otherwise(args[-1]) if fn == "trimPrefix" else F.when(args[-1].endswith(raw[0]), args[-1].substr(F.lit(1), F.length(args[-1]) - k)).otherwise(args[-1])
-        if fn in ("alignLeft", "alignRight"):
-            n = int(raw[0])
-            return F.rpad(args[-1], n, " ") if fn == "alignLeft" else F.when(F.length(args[-1]) > n, args[-1].substr(F.length(args[-1]) - n + 1, F.lit(n))).otherwise(F.lpad(args[-1], n, " "))
-        if fn in ("regexReplaceAll", "regexReplaceAllLiteral"):
-            return F.regexp_replace(args[1], raw[0], re.sub(r"\$\{(\w+)\}", r"$\1", raw[2]))
-        if fn in ("add", "sub", "mul", "div", "mod"):
-            a, b = (x.try_cast("long") for x in args[:2])
-            return {"add": a + b, "sub": a - b, "mul": a * b, "div": F.try_divide(a, b).cast("long"), "mod": a % b}[fn].cast("string")
-        raise QueryError(f"no template function {fn}")
-
-    parts = []
-    for piece in re.split(r"(\{\{.*?\}\})", text):
-        if piece.startswith("{{"):
-            out = None
-            for segment in re.split(r"\s\|\s|\|", piece[2:-2].strip("- \t")):
-                out = call(re.findall(r'"(?:[^"\\]|\\.)*"|`[^`]*`|[^\s()]+', segment), out)
-            parts.append(out)
-        elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*[p.cast("string") for p in parts]) if parts else F.lit("")
+def let(x: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+def once(x: Column) -> Column:
+    """Keep the optimiser from copying an expression into what uses it."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
+PAIRS = "array<struct<key:string,value:string>>"
+
+
+def clean(name: Column) -> Column:
+    return F.regexp_replace(name, r"[^A-Za-z0-9_:]", "_")
+
+
+def as_map(pairs: Column) -> Column:
+    """A map of (key, value) pairs, of which the first of equal keys stays."""
+    first = lambda ps: let(F.transform(ps, lambda p: p["key"]), lambda ks: F.filter(ps, lambda p, k: F.array_position(ks, p["key"]) == k + 1))
+    return let(pairs, lambda ps: F.map_from_entries(first(ps)))
 
 
 def merged(lab: Column, found: Column) -> Column:
-    """Parsed labels beside known ones; a name that is taken gets the ending _extracted."""
-    clean = F.transform_keys(found, lambda k, v: F.regexp_replace(k, r"[^A-Za-z0-9_:]", "_"))
-    return F.map_concat(lab, F.transform_keys(clean, lambda k, v: F.when(F.map_contains_key(lab, k), F.concat(k, F.lit("_extracted"))).otherwise(k)))
+    """Parsed labels beside known ones; a name that is taken gets the ending _extracted, and with it takes the place of an older one."""
+    named = lambda p: F.struct(let(clean(p["key"]), lambda k: F.when(F.map_contains_key(lab, k), F.concat(k, F.lit("_extracted"))).otherwise(k)).alias("key"), p["value"].alias("value"))
+    new = as_map(F.transform(F.map_entries(found), named))
+    return let(new, lambda m: F.map_concat(F.map_filter(lab, lambda k, v: ~F.map_contains_key(m, k)), m))
 
 
 def without_keys(m: Column, names: list[str]) -> Column:
@@ -324,23 +302,44 @@ def without_keys(m: Column, names: list[str]) -> Column:
 JSON_MAP = "map<string,string>"
 
 
-def json_fields(line: Column, depth: int = 3) -> Column:
-    """Fields of a JSON object, nested ones joined by _, without arrays and nulls; null if the line is no object."""
-    entries = F.map_entries(F.from_json(line, JSON_MAP))
-    for _ in range(depth):
-        inner = lambda e: F.coalesce(F.transform(F.map_entries(F.from_json(e["value"], JSON_MAP)), lambda f: F.struct(F.concat(e["key"], F.lit("_"), f["key"]).alias("key"), f["value"].alias("value"))), F.array())
-        entries = F.flatten(F.transform(entries, lambda e: F.when(e["value"].startswith("{"), inner(e)).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
-    kept = F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].startswith("["))
-    return F.when(line.rlike(r"^\s*\{"), F.map_from_entries(kept))
+def json_fields(line: Column) -> Column:
+    """Fields of a JSON object by cleaned names, nested ones joined by _ at any depth, without arrays and nulls; null if the line is no object.
+
+    Of equal names the first in the line stays.  An object cannot be deeper than the line has opening braces.  Where a string
+    begins with a brace, values are read with their types, to tell it from an object.
+    """
+    rounds = let(F.regexp_count(line, F.lit(r"\{")), lambda n: F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")))
+
+    def flat(first: Column, kind: str, is_object, entries) -> Column:
+        nested = lambda e: F.transform(entries(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("_"), clean(x["key"])).alias("key"), x["value"].alias("value")))
+        own = lambda e: F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        level = lambda acc, _: F.flatten(F.transform(acc, lambda e: F.when(is_object(e["value"]), F.coalesce(nested(e), own(e))).otherwise(own(e)))).cast(kind)
+        start = F.transform(first, lambda e: F.struct(clean(e["key"]).alias("key"), e["value"].alias("value"))).cast(kind)
+        return F.aggregate(rounds, start, level)
+
+    typed = "array<struct<key:string,value:variant>>"
+    text = flat(F.map_entries(F.from_json(line, JSON_MAP)), PAIRS, lambda v: F.coalesce(v.startswith("{"), F.lit(False)), lambda v: F.map_entries(F.from_json(v, JSON_MAP)))
+    text = F.filter(text, lambda e: e["value"].isNotNull() & ~e["value"].startswith("["))
+    kinds = lambda v: F.schema_of_variant(v)
+    exact = flat(F.map_entries(F.from_json(line, "map<string,variant>")), typed, lambda v: F.coalesce(kinds(v).startswith("OBJECT"), F.lit(False)), lambda v: F.map_entries(v.cast("map<string,variant>")))
+    exact = F.transform(F.filter(exact, lambda e: e["value"].isNotNull() & ~kinds(e["value"]).startswith("ARRAY") & (kinds(e["value"]) != "VOID")), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value")))
+    return F.when(line.rlike(r"^\s*\{"), as_map(F.when(line.rlike(r'"\{|"\['), exact).otherwise(text)))
+
+
+LOGFMT = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
 
 
 def logfmt_fields(line: Column, keep_empty: bool = False) -> Column:
-    found = F.regexp_extract_all(line, F.lit(r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'), 0)
-    pair = lambda t: F.struct(F.regexp_extract(t, r"^([^=]+)=", 1).alias("key"), F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"(?s)^[^=]+=(.*)$", 1), r'^"|"$', ""), r'\\"', '"').alias("value"))
-    pairs = F.transform(found, pair)
-    # the first of equal names stays
-    once = F.filter(pairs, lambda p, k: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == k + 1)
-    return F.map_from_entries(once if keep_empty else F.filter(once, lambda p: p["value"] != ""))
+    """Fields by cleaned names, of which the first of equal ones stays."""
+    value = lambda t: let(F.regexp_extract(t, r"(?s)^[^=]+=(.*)$", 1), lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r'\\(.)', "$1")).otherwise(v))
+    pair = lambda t: F.struct(clean(F.regexp_extract(t, r"^([^=]+)=", 1)).alias("key"), value(t).alias("value"))
+    pairs = F.transform(F.regexp_extract_all(line, F.lit(LOGFMT), 0), pair)
+    return as_map(pairs if keep_empty else F.filter(pairs, lambda p: p["value"] != ""))
+
+
+def logfmt_broken(line: Column) -> Column:
+    """Whether a line holds more than pairs and bare keys."""
+    return F.regexp_replace(line, LOGFMT + r"(?=\s|$)", "").rlike(r'["=]')
 
 
 def line_test(op: str, arg: tuple[str, str], line: Column) -> Column:
@@ -356,6 +355,21 @@ def line_test(op: str, arg: tuple[str, str], line: Column) -> Column:
     return line.rlike("(?s)" + pattern_regex(want)[0])
 
 
+def filters_first(stages: tuple) -> list[Stage]:
+    """Line filters before the parsers that they follow, as far as the line stays the same and no row depends on others."""
+    out: list[Stage] = []
+    start = 0
+    for s in stages:
+        if s.kind == "line":
+            out.insert(start, s)
+            start += 1
+        else:
+            out.append(s)
+            if s.kind in ("unpack", "line_format", "decolorize", "distinct"):
+                start = len(out)
+    return out
+
+
 class LogCompiler(promql.Compiler):
     """``logs``: (labels map, ts_ns, line, metadata map)."""
 
@@ -368,7 +382,7 @@ class LogCompiler(promql.Compiler):
         for k, op, v in node.matchers:
             test &= matches(F.col("labels")[k], op, v, absent_is_empty=False)
         df = self.logs.filter(test).select("ts_ns", "labels", "line", F.map_concat("labels", F.map_filter("metadata", lambda k, v: ~F.map_contains_key("labels", k))).alias("lab"), F.lit("").alias("err"))
-        for s in node.stages:
+        for s in filters_first(node.stages):
             df = self.apply(df, s)
         return df
 
@@ -386,17 +400,18 @@ class LogCompiler(promql.Compiler):
             if wanted:
                 path = lambda p: "$." + re.sub(r'\["([^"]+)"\]', r".\1", p)
                 got = F.create_map(*[x for name, _, p, _ in wanted for x in (F.lit(name), F.coalesce(F.get_json_object(line, path(p or name)), F.lit("")))])
-                return df.withColumn("lab", merged(lab, got))
-            got = json_fields(line)
-            return df.withColumn("_f", got).select("ts_ns", "labels", "line", F.when(F.col("_f").isNull(), lab).otherwise(merged(lab, F.col("_f"))).alias("lab"), fail(F.col("_f").isNull(), "JSONParserErr").alias("err"))
+                return df.withColumn("lab", once(merged(lab, got)))
+            return df.withColumn("_f", once(json_fields(line))).select("ts_ns", "labels", "line", once(F.when(F.col("_f").isNull(), lab).otherwise(merged(lab, F.col("_f")))).alias("lab"), fail(F.col("_f").isNull(), "JSONParserErr").alias("err"))
         if s.kind == "logfmt":
             wanted, flags = s.args
-            df = df.withColumn("_f", logfmt_fields(line, "keep-empty" in flags))
+            df = df.withColumn("_f", once(logfmt_fields(line, "keep-empty" in flags)))
+            if "strict" in flags:
+                df = df.withColumn("err", fail(logfmt_broken(line), "LogfmtParserErr"))
             if wanted:
-                got = F.create_map(*[x for name, _, p, _ in wanted for x in (F.lit(name), F.coalesce(F.col("_f")[p or name], F.lit("")))])
+                got = F.create_map(*[x for name, _, p, _ in wanted for x in (F.lit(name), F.coalesce(F.col("_f")[re.sub(r"[^A-Za-z0-9_:]", "_", p or name)], F.lit("")))])
             else:
                 got = F.col("_f")
-            return df.withColumn("lab", merged(lab, got)).drop("_f")
+            return df.withColumn("lab", once(merged(lab, got))).drop("_f")
         if s.kind in ("regexp", "pattern"):
             if s.kind == "regexp":
                 names = re.findall(r"\((?:\?P?<(\w+)>)?(?!\?)|\((?=\?:)", re.sub(r"\\.|\[[^\]]*\]", "", s.args[0]))
@@ -405,18 +420,18 @@ class LogCompiler(promql.Compiler):
                 regex, groups = pattern_regex(s.args[0])
                 regex = f"(?s)^{regex}$"
             got = F.create_map(*[x for k, n in enumerate(groups, 1) if n for x in (F.lit(n), F.regexp_extract(line, regex, k))])
-            return df.withColumn("lab", F.when(line.rlike(regex), merged(lab, got)).otherwise(lab))
+            return df.withColumn("lab", once(F.when(line.rlike(regex), merged(lab, got)).otherwise(lab)))
         if s.kind == "unpack":
-            df = df.withColumn("_f", F.from_json(line, JSON_MAP))
+            df = df.withColumn("_f", once(F.from_json(line, JSON_MAP)))
             own = F.map_filter("_f", lambda k, v: (k != "_entry") & v.isNotNull())
-            return df.select("ts_ns", "labels", F.coalesce(F.col("_f")["_entry"], line).alias("line"), F.when(F.col("_f").isNull(), lab).otherwise(merged(lab, own)).alias("lab"), fail(F.col("_f").isNull(), "JSONParserErr").alias("err"))
+            return df.select("ts_ns", "labels", F.coalesce(F.col("_f")["_entry"], line).alias("line"), once(F.when(F.col("_f").isNull(), lab).otherwise(merged(lab, own))).alias("lab"), fail(F.col("_f").isNull(), "JSONParserErr").alias("err"))
         if s.kind == "decolorize":
             return df.withColumn("line", F.regexp_replace(line, "\x1b\\[[0-9;]*m", ""))
         if s.kind == "line_format":
-            return df.withColumn("line", template(s.args[0], lab, line))
+            return df.withColumn("line", template(s.args[0], lab, line, F.col("ts_ns")))
         if s.kind == "label_format":
             for name, _, to, kind in s.args:
-                value = template(to, lab, line) if kind == "string" else lab[to]
+                value = template(to, lab, line, F.col("ts_ns")) if kind == "string" else lab[to]
                 gone = [name] if kind == "string" else [name, to]
                 rest = without_keys(lab, gone)
                 df = df.withColumn("lab", F.when(value.isNull(), lab).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value))))
@@ -473,7 +488,8 @@ class LogCompiler(promql.Compiler):
         offset = node.offset * NS
         rows = self.rows(node.logs, (grid.start - width) * NS - offset, grid.end * NS - offset)
         if fn == "absent_over_time":
-            have = to_steps(rows.withColumn("ts", F.col("ts_ns") + offset), Grid(grid.start * NS, grid.end * NS, grid.step * NS), width * NS).select((F.col("s") / NS).cast("long").alias("ts")).distinct()
+            bad = F.when(F.col("err") != "", F.raise_error(F.concat(F.lit("pipeline error: "), F.col("err"))).cast("long")).otherwise(F.col("ts_ns") + offset)
+            have = to_steps(rows.withColumn("ts", bad), Grid(grid.start * NS, grid.end * NS, grid.step * NS), width * NS).select((F.col("s") / NS).cast("long").alias("ts")).distinct()
             ls = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, op, v in sorted(node.logs.matchers) if op == "="])
             return self.steps(grid).join(have, "ts", "left_anti").select(none.alias("name"), ls.alias("ls"), "ts", lit(1).alias("v"))
         unwrapped = "unwrapped" in rows.columns
@@ -490,15 +506,13 @@ class LogCompiler(promql.Compiler):
         x, sec = F.col("v"), width / 1000
         gain = F.when(x < F.col("pv"), x).otherwise(x - F.col("pv")) if fn == "rate_counter" else None
         agg = {
-            "count_over_time": lambda: F.count(F.lit(1)).cast("double"), "rate": lambda: F.sum(x) / sec, "bytes_over_time": lambda: F.sum(x), "bytes_rate": lambda: F.sum(x) / sec,
+            "count_over_time": lambda: F.count(x).cast("double"), "rate": lambda: F.sum(x) / sec, "bytes_over_time": lambda: F.sum(x), "bytes_rate": lambda: F.sum(x) / sec,
             "sum_over_time": lambda: F.sum(x), "avg_over_time": lambda: F.avg(x), "min_over_time": lambda: F.min(x), "max_over_time": lambda: F.max(x),
             "first_over_time": lambda: F.min_by(x, "ts"), "last_over_time": lambda: F.max_by(x, "ts"), "stdvar_over_time": lambda: F.var_pop(x), "stddev_over_time": lambda: F.stddev_pop(x),
-            "quantile_over_time": lambda: quantile(node.param, x), "present_over_time": lambda: F.first(lit(1)),
+            "quantile_over_time": lambda: quantile(node.param, x), "present_over_time": lambda: F.max(F.when(x.isNotNull(), lit(1))),
             "rate_counter": lambda: (F.coalesce(F.sum(gain), lit(0)) - F.coalesce(F.min_by(gain, "ts"), lit(0))) / sec,
         }[fn]()
-        # a value that can't be read fails the query even where only rows are counted
-        out = g.agg(agg.alias("v"), F.sum("v").alias("_all"))
-        return out.filter("_all is null or true").select(none.alias("name"), "ls", (F.col("s") / NS).cast("long").alias("ts"), "v")
+        return g.agg(agg.alias("v")).select(none.alias("name"), "ls", (F.col("s") / NS).cast("long").alias("ts"), "v")
 
 
 def query_logs(logs: DataFrame, text: str, start_ns: int, end_ns: int, limit: int | None = None, forward: bool = False) -> DataFrame:
