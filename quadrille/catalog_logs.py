@@ -12,7 +12,7 @@ from .plans import logql
 from .sources import signals
 
 DAY = 86_400_000
-START, END, STEP = 1704412800000, 1706400000000, DAY
+START, END, STEP = 1704067200000, 1706659200000, DAY
 LO, HI = START * 1_000_000, END * 1_000_000
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 #: Events as logfmt (a) and JSON (j) lines with what the lines say.
@@ -30,7 +30,7 @@ IN = f"ts_ns >= {LO} AND ts_ns < {HI}"
 
 def stream(name: str, text: str, labels: list[str], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = logql.query_logs(signals.logs(spark, sf_dir), text, LO, HI)
+        df = logql.query_logs(signals.log_table(spark, sf_dir), text, LO, HI)
         return df.select("ts_ns", "line", *[F.col("labels")[k].alias(k) for k in labels])
 
     CASES[f"logql_{name}"] = (run, BASE + sql)
@@ -38,7 +38,7 @@ def stream(name: str, text: str, labels: list[str], sql: str) -> None:
 
 def metric(name: str, text: str, labels: list[str], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = logql.query_metrics(signals.logs(spark, sf_dir), text, START - 1000, END, STEP)
+        df = logql.query_metrics(signals.log_table(spark, sf_dir), text, START - 1000, END, STEP)
         return df.select(*[F.col("labels")[k].alias(k) for k in labels], "ts_ms", F.round("value", 6).alias("value"))
 
     CASES[f"logql_{name}"] = (run, BASE + sql)
@@ -57,6 +57,10 @@ stream("json_parser", '{app="json"} | json | nested_k >= 7 or type = "view"', ["
 stream("json_fields", '{app="json"} | json deep="nested.k", who="user"', ["deep", "who"], f"SELECT ts_ns, line, k::VARCHAR AS deep, user_id::VARCHAR AS who FROM j WHERE {IN}")
 stream("json_error", '{app="logfmt"} | json | __error__ = "JSONParserErr"', [], f"SELECT ts_ns, line FROM a WHERE {IN}")
 stream("json_extracted", '{app="json"} | json event_type="type"', ["event_type", "event_type_extracted"], f"SELECT ts_ns, line, event_type, event_type AS event_type_extracted FROM j WHERE {IN}")
+DEEP = '{"a":{"b":{"c":{"d":{"e":"{{.k}}"}}}},"a_b":{"k":"{{.pod}}"},"a.b_k":"later","s":"{\\"x\\":1}"}'
+stream("json_deep", '{app="json"} | json | label_format k="{{.nested_k}}" | line_format `' + DEEP + "` | drop nested_k, k, type, user, value | json", ["a_b_c_d_e", "a_b_k", "s"], f"SELECT ts_ns, format('{{{{\"a\":{{{{\"b\":{{{{\"c\":{{{{\"d\":{{{{\"e\":\"{{}}\"}}}}}}}}}}}}}}}},\"a_b\":{{{{\"k\":\"{{}}\"}}}},\"a.b_k\":\"later\",\"s\":\"{{{{\\\"x\\\":1}}}}\"}}}}', k, pod) AS line, k::VARCHAR AS a_b_c_d_e, pod AS a_b_k, '{{\"x\":1}}' AS s FROM j WHERE {IN}")
+stream("template_conditions", '{app="logfmt"} | logfmt | line_format `{{ if eq .type "click" }}{{ .user | printf "%4s" }}{{ else if gt (float64 .value) 50.0 }}{{ addf .value 0.5 | printf "%.1f" }}{{ else }}{{ with .size }}{{ trimSuffix "KB" . }}{{ end }}{{ end }}`', [], f"SELECT ts_ns, CASE WHEN event_type = 'click' THEN lpad(user_id::VARCHAR, greatest(4, length(user_id::VARCHAR))::INT, ' ') WHEN val > 50 THEN format('{{:.1f}}', val + 0.5) ELSE size::VARCHAR END AS line FROM a WHERE {IN}")
+stream("logfmt_strict", '{app="logfmt"} | line_format `{{ if eq .event_type "view" }}a=1 b="open{{ else }}a=1 bare a-b=2 a.b=3{{ end }}` | logfmt --strict | __error__ = ""', ["a", "a_b"], f"SELECT ts_ns, 'a=1 bare a-b=2 a.b=3' AS line, '1' AS a, '2' AS a_b FROM a WHERE {IN} AND event_type <> 'view'")
 stream("regexp_parser", '{app="logfmt"} | regexp "user=(?P<who>[0-9]+) value=(?P<whole>[0-9]+)"', ["who", "whole"], f"SELECT ts_ns, line, user_id::VARCHAR AS who, regexp_extract(line, 'value=([0-9]+)', 1) AS whole FROM a WHERE {IN}")
 stream("pattern_parser", '{app="logfmt"} | pattern "type=<kind> user=<_> value=<v> <_>"', ["kind", "v"], f"SELECT ts_ns, line, event_type AS kind, format('{{:.2f}}', value) AS v FROM a WHERE {IN}")
 stream("unpack", '{app="json"} | unpack', ["type", "user"], f"SELECT ts_ns, line, event_type AS type, user_id::VARCHAR AS user FROM j WHERE {IN}")
@@ -69,6 +73,8 @@ stream("distinct", '{app="logfmt"} | logfmt | distinct user', ["user"], f"SELECT
 M = "SELECT event_type, s AS ts_ms, round({}, 6)::DOUBLE AS value FROM {} GROUP BY event_type, s"
 SUM = "sum by (event_type) ({})"
 metric("count_over_time", SUM.format('count_over_time({app="logfmt"} |= "took" [1d])'), ["event_type"], M.format("count(*)", "wa"))
+metric("long_count", SUM.format('count_over_time({app="logfmt"}[12d])'), ["event_type"], f"SELECT event_type, s AS ts_ms, count(*)::DOUBLE AS value FROM a JOIN grid ON ts_ns > (s - {12 * DAY}) * 1000000 AND ts_ns <= s * 1000000 GROUP BY ALL")
+metric("long_unwrap_max", 'max_over_time({app="logfmt"} | logfmt | unwrap value [12d]) by (event_type)', ["event_type"], f"SELECT event_type, s AS ts_ms, round(max(val), 6)::DOUBLE AS value FROM a JOIN grid ON ts_ns > (s - {12 * DAY}) * 1000000 AND ts_ns <= s * 1000000 GROUP BY ALL")
 metric("rate", SUM.format('rate({app="logfmt"}[1d])'), ["event_type"], M.format("count(*) / 86400", "wa"))
 metric("bytes_over_time", SUM.format('bytes_over_time({app="logfmt"}[1d])'), ["event_type"], M.format("sum(strlen(line))", "wa"))
 metric("bytes_rate", SUM.format('bytes_rate({app="logfmt"}[1d])'), ["event_type"], M.format("sum(strlen(line)) / 86400", "wa"))
@@ -114,8 +120,8 @@ on_logs("detected_fields", lambda d: log_analytics.detected_fields(d.filter("lab
 
 
 def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = signals.logs(spark, sf_dir).filter(f"ts_ns >= {LO} and ts_ns < {HI} and labels['app'] = 'logfmt'")
-    return log_analytics.without_deleted(d, [('{event_type="click"} |= "user=1 "', LO, HI)]).select("ts_ns", "line")
+    d = signals.logs(spark, sf_dir).filter("labels['app'] = 'logfmt'")
+    return log_analytics.without_deleted(d, [('{event_type="click"} |= "user=1 " or "user=2 "', LO, HI)]).select("ts_ns", "line")
 
 
-CASES["logql_delete_filter"] = (deleted, BASE + L + "NOT (event_type = 'click' AND contains(line, 'user=1 '))")
+CASES["logql_delete_filter"] = (deleted, BASE + L + "NOT (event_type = 'click' AND (contains(line, 'user=1 ') OR contains(line, 'user=2 ')))")

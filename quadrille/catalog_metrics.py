@@ -11,7 +11,7 @@ from .plans import promql
 from .sources import signals
 
 DAY = 86_400_000
-START, END, STEP, RANGE = 1704412800000, 1706400000000, DAY, 5 * DAY
+START, END, STEP, RANGE = 1704067200000, 1706659200000, DAY, 5 * DAY
 #: The windows of five days that end on each day of the grid, with each sample's predecessor inside the window.
 BASE = f"""
 WITH gauge AS (
@@ -104,7 +104,29 @@ for fn, expr in {
     "sqrt": "CASE WHEN v >= 60 THEN sqrt(v - 60) ELSE 'nan'::DOUBLE END", "sin": "sin(v - 60)", "cos": "cos(v - 60)", "tanh": "tanh(v - 60)", "atan": "atan(v - 60)", "deg": "degrees(v - 60)", "rad": "radians(v - 60)",
 }.items():
     case(f"math_{fn}", f"{fn}((event_value - 60){' / 100' if fn == 'exp' else ''})", BOTH, INST.format(expr, "true"))
+for fn, expr in {"log2": "log2(v + 1)", "log10": "log10(v + 1)"}.items():
+    case(f"math_{fn}", f"{fn}(event_value + 1)", BOTH, INST.format(f"CASE WHEN v > -1 THEN {expr} WHEN v < -1 THEN 'nan'::DOUBLE ELSE '-inf'::DOUBLE END", "true"))
+SMALL, DUCK = "tanh((event_value - 60) / 100)", "tanh((v - 60) / 100)"
+for fn in ("tan", "asin", "acos", "sinh", "cosh", "asinh", "atanh"):
+    case(f"math_{fn}", f"{fn}({SMALL} * 0.9)", BOTH, INST.format(f"{fn}({DUCK} * 0.9)", "true"))
+case("math_acosh", f"acosh(cosh({SMALL}))", BOTH, INST.format(f"abs({DUCK})", "true"))
 case("round", "round(event_value, 5)", BOTH, INST.format("floor(v * 0.2 + 0.5) / 0.2", "true"))
+SIGN = "CASE WHEN v > 0 THEN '{}'::{t} WHEN v < 0 THEN '{}'::{t} ELSE '{}'::{t} END"
+case("round_infinite", "round(event_value / 0, 5)", BOTH, INST.format(SIGN.format("inf", "-inf", "nan", t="DOUBLE"), "true"))
+case("count_values_infinite", 'count_values("n", event_value / 0)', ["n"], f"SELECT {SIGN.format('+Inf', '-Inf', 'NaN', t='VARCHAR')} AS n, s AS ts_ms, count(*)::DOUBLE AS value FROM inst GROUP BY ALL")
+case("limitk", "count by (event_type) (limitk by (event_type) (3, event_value))", ["event_type"], "SELECT event_type, s AS ts_ms, least(3, count(*))::DOUBLE AS value FROM inst GROUP BY event_type, s")
+case("limit_ratio", "sum by (event_type) (limit_ratio(0.4, event_value)) + fill(0) sum by (event_type) (limit_ratio(-0.6, event_value))", ["event_type"], "SELECT event_type, s AS ts_ms, round(sum(v), 6)::DOUBLE AS value FROM inst GROUP BY event_type, s")
+case("sort_by_label", 'sort_by_label(event_value, "user_id")', BOTH, INST.format("v", "true"))
+for end, order in (("min", "ASC"), ("max", "DESC")):
+    case(f"ts_of_{end}_over_time", f"ts_of_{end}_over_time(event_value[5d])", BOTH, f"SELECT event_type, user_id, s AS ts_ms, round(ts / 1000.0, 6)::DOUBLE AS value FROM gw QUALIFY row_number() OVER (PARTITION BY event_type, user_id, s ORDER BY v {order}, ts DESC) = 1")
+LONG = f", lw AS (SELECT event_type, user_id, s, ts, v, lag(v) OVER w AS pv FROM {{}} JOIN grid ON ts > s - {12 * DAY} AND ts <= s WINDOW w AS (PARTITION BY event_type, user_id, s ORDER BY ts)) "
+for fn, expr in {"sum": "sum(v)", "avg": "avg(v)", "min": "min(v)", "max": "max(v)", "count": "count(*)", "first": "arg_min(v, ts)", "last": "arg_max(v, ts)"}.items():
+    case(f"long_{fn}_over_time", f"{fn}_over_time(event_value[12d])", BOTH, LONG.format("gauge") + f"SELECT event_type, user_id, s AS ts_ms, round({expr}, 6)::DOUBLE AS value FROM lw GROUP BY ALL")
+case("long_resets", "resets(event_counter[12d])", BOTH, LONG.format("counter") + "SELECT event_type, user_id, s AS ts_ms, (count(*) FILTER (pv IS NOT NULL AND v < pv))::DOUBLE AS value FROM lw GROUP BY ALL")
+case("long_increase", "increase(event_counter[12d])", BOTH, LONG.format("counter") + f""", a AS (SELECT event_type, user_id, s, count(*) AS n, min(ts) AS t0, max(ts) AS t1, arg_min(v, ts) AS v0, arg_max(v, ts) - arg_min(v, ts) + coalesce(sum(CASE WHEN v < pv THEN pv ELSE 0 END), 0) AS d FROM lw GROUP BY ALL HAVING count(*) >= 2),
+b AS (SELECT *, (t1 - t0) / 1000.0 AS sampled, (t1 - t0) / 1000.0 / (n - 1) AS av, (t0 - s + {12 * DAY}) / 1000.0 AS g0, (s - t1) / 1000.0 AS g1 FROM a),
+c AS (SELECT *, CASE WHEN g0 >= av * 1.1 THEN av / 2 ELSE g0 END AS e0, CASE WHEN g1 >= av * 1.1 THEN av / 2 ELSE g1 END AS e1 FROM b)
+SELECT event_type, user_id, s AS ts_ms, round(d * ((sampled + CASE WHEN d > 0 AND v0 >= 0 AND sampled * (v0 / d) < e0 THEN sampled * (v0 / d) ELSE e0 END + e1) / sampled), 6)::DOUBLE AS value FROM c""")
 case("clamp", "clamp(event_value, 20, 80)", BOTH, INST.format("greatest(20, least(80, v))", "true"))
 case("clamp_min_max", "clamp_max(clamp_min(event_value, 20), 80)", BOTH, INST.format("greatest(20, least(80, v))", "true"))
 for fn, part in {"year": "year", "month": "month", "day_of_month": "day", "day_of_week": "dow", "day_of_year": "doy", "hour": "hour", "minute": "minute"}.items():
@@ -127,10 +149,8 @@ case("histogram_fraction", "histogram_fraction(5, 25, quantity_bucket)", ["flag"
 
 
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = signals.metrics(spark, sf_dir)
-    comp = promql.Compiler(store, promql.Grid(AT, AT, 1), DAY)
-    df = comp.info((promql.parse("event_value"), promql.parse("user_info")), comp.top, by=("user_id",))
-    return df.select(*[promql.label(F.col("ls"), k).alias(k) for k in (*BOTH, "tier")], F.col("ts").alias("ts_ms"), F.round("v", 6).alias("value"))
+    df = promql.query(signals.metrics(spark, sf_dir), "info(event_value, {__name__=\"user_info\"})", AT, DAY, info_by=("user_id",))
+    return df.select(*[F.col("labels")[k].alias(k) for k in (*BOTH, "tier")], "ts_ms", F.round("value", 6).alias("value"))
 
 
 CASES["promql_info"] = (info, BASE + f"SELECT event_type, user_id, CASE WHEN user_id::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END AS tier, s AS ts_ms, round(v, 6)::DOUBLE AS value FROM inst WHERE s = {AT}")

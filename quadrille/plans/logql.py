@@ -7,6 +7,7 @@ expressions.  Ranges become vectors of the time-series compiler, which then does
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -370,18 +371,30 @@ def filters_first(stages: tuple) -> list[Stage]:
     return out
 
 
+@dataclass
+class LogTable:
+    """Rows (labels map, ts_ns, line, metadata map); ``ranged`` gives those of low < ts_ns <= high, or more."""
+
+    rows: DataFrame
+    ranged: Callable[[int, int], DataFrame] | None = None
+
+    def between(self, low: int, high: int) -> DataFrame:
+        return self.ranged(low, high) if self.ranged else self.rows
+
+
 class LogCompiler(promql.Compiler):
-    """``logs``: (labels map, ts_ns, line, metadata map)."""
+    """``logs``: a LogTable, or a DataFrame (labels map, ts_ns, line, metadata map)."""
 
-    def __init__(self, logs: DataFrame, grid: Grid):
-        self.logs, self.spark, self.top = logs, logs.sparkSession, grid
+    def __init__(self, logs: DataFrame | LogTable, grid: Grid):
+        self.logs = logs if isinstance(logs, LogTable) else LogTable(logs)
+        self.spark, self.top, self.info_by = self.logs.rows.sparkSession, grid, promql.INFO_BY
 
     def rows(self, node: Logs, low: int, high: int) -> DataFrame:
         """Log rows with low < ts_ns <= high that pass the pipeline."""
         test = (F.col("ts_ns") > low) & (F.col("ts_ns") <= high)
         for k, op, v in node.matchers:
             test &= matches(F.col("labels")[k], op, v, absent_is_empty=False)
-        df = self.logs.filter(test).select("ts_ns", "labels", "line", F.map_concat("labels", F.map_filter("metadata", lambda k, v: ~F.map_contains_key("labels", k))).alias("lab"), F.lit("").alias("err"))
+        df = self.logs.between(low, high).filter(test).select("ts_ns", "labels", "line", F.map_concat("labels", F.map_filter("metadata", lambda k, v: ~F.map_contains_key("labels", k))).alias("lab"), F.lit("").alias("err"))
         for s in filters_first(node.stages):
             df = self.apply(df, s)
         return df
@@ -502,20 +515,27 @@ class LogCompiler(promql.Compiler):
         if fn == "rate_counter":
             df = df.groupBy("ls", "ts").agg(F.sum("v").alias("v"))
             df = df.withColumn("pv", F.lag("v").over(Window.partitionBy("ls").orderBy("ts")))
-        g = to_steps(df, Grid(grid.start * NS, grid.end * NS, grid.step * NS), width * NS).groupBy("ls", "s")
+        fine, ns = Grid(grid.start * NS, grid.end * NS, grid.step * NS), width * NS
         x, sec = F.col("v"), width / 1000
-        gain = F.when(x < F.col("pv"), x).otherwise(x - F.col("pv")) if fn == "rate_counter" else None
-        agg = {
-            "count_over_time": lambda: F.count(x).cast("double"), "rate": lambda: F.sum(x) / sec, "bytes_over_time": lambda: F.sum(x), "bytes_rate": lambda: F.sum(x) / sec,
-            "sum_over_time": lambda: F.sum(x), "avg_over_time": lambda: F.avg(x), "min_over_time": lambda: F.min(x), "max_over_time": lambda: F.max(x),
-            "first_over_time": lambda: F.min_by(x, "ts"), "last_over_time": lambda: F.max_by(x, "ts"), "stdvar_over_time": lambda: F.var_pop(x), "stddev_over_time": lambda: F.stddev_pop(x),
-            "quantile_over_time": lambda: quantile(node.param, x), "present_over_time": lambda: F.max(F.when(x.isNotNull(), lit(1))),
-            "rate_counter": lambda: (F.coalesce(F.sum(gain), lit(0)) - F.coalesce(F.min_by(gain, "ts"), lit(0))) / sec,
-        }[fn]()
-        return g.agg(agg.alias("v")).select(none.alias("name"), "ls", (F.col("s") / NS).cast("long").alias("ts"), "v")
-
-
-def query_logs(logs: DataFrame, text: str, start_ns: int, end_ns: int, limit: int | None = None, forward: bool = False) -> DataFrame:
+        parts: dict[str, tuple[dict, Column]] = {
+            "count_over_time": ({"n": F.count(x)}, F.col("n").cast("double")), "rate": ({"x_sum": F.sum(x)}, F.col("x_sum") / sec), "bytes_over_time": ({"x_sum": F.sum(x)}, F.col("x_sum")), "bytes_rate": ({"x_sum": F.sum(x)}, F.col("x_sum") / sec),
+            "sum_over_time": ({"x_sum": F.sum(x)}, F.col("x_sum")), "avg_over_time": ({"x_sum": F.sum(x), "n": F.count(x)}, F.col("x_sum") / F.col("n")), "min_over_time": ({"x_min": F.min(x)}, F.col("x_min")), "max_over_time": ({"x_max": F.max(x)}, F.col("x_max")),
+            "first_over_time": ({"t0": F.min("ts"), "v0": F.min_by(x, "ts")}, F.col("v0")), "last_over_time": ({"t1": F.max("ts"), "v1": F.max_by(x, "ts")}, F.col("v1")), "present_over_time": ({"one": F.max(F.when(x.isNotNull(), lit(1)))}, F.col("one")),
+        }
+        if fn in parts:
+            aggs, result = parts[fn]
+            out = promql.over_windows(df, fine, ns, ["ls"], aggs)
+        else:
+            gain = F.when(x < F.col("pv"), x).otherwise(x - F.col("pv")) if fn == "rate_counter" else None
+            agg = {
+                "stdvar_over_time": lambda: F.var_pop(x), "stddev_over_time": lambda: F.stddev_pop(x), "quantile_over_time": lambda: quantile(node.param, x),
+                "rate_counter": lambda: (F.coalesce(F.sum(gain), lit(0)) - F.coalesce(F.min_by(gain, "ts"), lit(0))) / sec,
+            }[fn]()
+            out, result = to_steps(df, fine, ns).groupBy("ls", "s").agg(agg.alias("v")), F.col("v")
+        return out.select(none.alias("name"), "ls", (F.col("s") / NS).cast("long").alias("ts"), result.alias("v"))
+
+
+def query_logs(logs: DataFrame | LogTable, text: str, start_ns: int, end_ns: int, limit: int | None = None, forward: bool = False) -> DataFrame:
     """(labels map, ts_ns, line, err) of a stream query, newest first unless ``forward``; ``limit`` is the API's entry limit."""
     node = parse(text)
     if not isinstance(node, Logs):
@@ -524,7 +544,7 @@ def query_logs(logs: DataFrame, text: str, start_ns: int, end_ns: int, limit: in
     return df if limit is None else df.orderBy(F.col("ts_ns").asc() if forward else F.col("ts_ns").desc(), "line").limit(limit)
 
 
-def query_metrics(logs: DataFrame, text: str, start: int, end: int, step: int) -> DataFrame:
+def query_metrics(logs: DataFrame | LogTable, text: str, start: int, end: int, step: int) -> DataFrame:
     """(labels map, ts ms, value) of a metric query; both ends are aligned up to the step."""
     up = lambda t: -(-t // step) * step
     grid = Grid(up(start), up(end), step)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import LABELS, NAN, compare, fdiv, flog, fmod, keep, label, labels_of, lit, matches, quantile, real, skip_nan, with_label, without
 from .lexing import QueryError, Tokens, duration_ms, number, unquote
 
-LOOKBACK = 300_000
+LOOKBACK, INFO_BY = 300_000, ("instance", "job")
+#: Points of a range query at most.
+MOST_POINTS = 11_000
 
 
 @dataclass(frozen=True)
@@ -290,9 +293,16 @@ class Vector:
 
 @dataclass
 class Store:
-    """Samples (name, labels map, ts ms, v, and is_stale if there), in any layout; blocks and recent data may be united."""
+    """Samples (name, labels map, ts ms, v, and is_stale if there), in any layout; blocks and recent data may be united.
+
+    ``ranged`` gives those of low < ts <= high, or more, where a table can leave out what lies outside: by its time column or partitions.
+    """
 
     samples: DataFrame
+    ranged: Callable[[int, int], DataFrame] | None = None
+
+    def between(self, low: int, high: int) -> DataFrame:
+        return self.ranged(low, high) if self.ranged else self.samples
 
     @property
     def spark(self) -> SparkSession:
@@ -311,15 +321,47 @@ def to_steps(df: DataFrame, grid: Grid, width: int) -> DataFrame:
     return inside.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("s", F.col("k") * grid.step + grid.start).drop("k", "k0", "k1")
 
 
+#: Windows of so many units or more are put together from dyadic blocks.
+DYADIC = 8
+#: How partial results of parts of a window are merged, by name; t0 and t1 are the times of the first and the last sample.
+MERGES = {
+    "n": F.sum, "x_sum": F.sum, "rr": F.sum, "t0": F.min, "t1": F.max, "x_min": lambda c: skip_nan(F.min, F.col(c)), "x_max": lambda c: skip_nan(F.max, F.col(c)), "one": F.max, "p": F.max,
+    "v0": lambda c: F.min_by(c, "t0"), "r0": lambda c: F.min_by(c, "t0"), "v1": lambda c: F.max_by(c, "t1"),
+}
+
+
+def over_windows(df: DataFrame, grid: Grid, width: int, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """(keys, s, aggregates) of the windows (s - width, s] of the grid that hold rows of ``df`` (keys, ts, …).
+
+    Rows of short windows are copied to the steps whose windows hold them.  For long ones, rows are summed into units, the greatest
+    common divisor of step and width, and these into blocks of 1, 2, 4, … units; each window is the disjoint union of a few
+    blocks, so that a unit makes 2 log2(width / unit) rows instead of width / unit.
+    """
+    unit = math.gcd(width, grid.step)
+    m, q = width // unit, grid.step // unit
+    if m < DYADIC or not set(aggs) <= set(MERGES):
+        return to_steps(df, grid, width).groupBy(*keys, "s").agg(*[a.alias(k) for k, a in aggs.items()])
+    merge = [MERGES[k](k).alias(k) for k in aggs]
+    base, top = grid.start - width, m.bit_length() - 1
+    inside = df.filter((F.col("ts") > base) & (F.col("ts") <= grid.end))
+    units = inside.withColumn("u", floor_div(F.col("ts") - (base + 1), unit)).groupBy(*keys, "u").agg(*[a.alias(k) for k, a in aggs.items()])
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("l"), F.lit(1 << k).cast("long").alias("w")) for k in range(top + 1)]))
+    blocks = units.withColumn("_b", levels).withColumns({"l": F.col("_b.l"), "w": F.col("_b.w")}).withColumn("b", F.call_function("div", "u", "w")).groupBy(*keys, "l", "w", "b").agg(*merge)
+    # a window that starts at unit a takes a block if it holds it and does not hold the block of twice the size around it
+    p, w, last = F.col("b") * F.col("w"), F.col("w"), F.col("l") == top
+    low = F.when(last | (F.pmod("b", F.lit(2)) == 0), p + w - m).otherwise(p - w + 1)
+    high = F.when(last | (F.pmod("b", F.lit(2)) == 1), p).otherwise(p + 2 * w - m - 1)
+    first, end = F.greatest(F.lit(0).cast("long"), -floor_div(-low, q)), F.least(F.lit(grid.n - 1).cast("long"), floor_div(high, q))
+    taken = blocks.withColumns({"k0": first, "k1": end}).filter("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1")))
+    return taken.withColumn("s", F.col("k") * grid.step + grid.start).groupBy(*keys, "s").agg(*merge)
+
+
 # what each function of a range needs of a window: aggregates of v, ts, s and of a sample against its predecessor (pv, pts)
 def _extrapolated(kind: str, width: int) -> tuple[dict, Column]:
     counter = kind != "delta"
-    reset = F.when(F.col("v") < F.col("pv"), F.col("pv")).otherwise(lit(0))
-    aggs = {
-        "n": F.count(F.lit(1)), "t0": F.min("ts"), "t1": F.max("ts"), "v0": F.min_by("v", "ts"), "v1": F.max_by("v", "ts"),
-        "r": F.sum(reset) - F.min_by(reset, "ts") if counter else F.first(lit(0)),
-    }
-    delta = F.col("v1") - F.col("v0") + F.col("r")
+    reset = F.when(F.col("v") < F.col("pv"), F.col("pv")).otherwise(lit(0)) if counter else lit(0)
+    aggs = {"n": F.count(F.lit(1)), "t0": F.min("ts"), "t1": F.max("ts"), "v0": F.min_by("v", "ts"), "v1": F.max_by("v", "ts"), "rr": F.sum(reset), "r0": F.min_by(reset, F.col("ts"))}
+    delta = F.col("v1") - F.col("v0") + (F.col("rr") - F.col("r0"))
     sampled = (F.col("t1") - F.col("t0")) / 1000.0
     average = sampled / F.greatest(F.col("n") - 1, F.lit(1))
     edge = lambda gap: F.when(gap >= average * 1.1, average / 2).otherwise(gap)
@@ -342,11 +384,11 @@ def range_function(fn: str, width: int, params: list[float]) -> tuple[dict, Colu
         d = c("v1") - c("p.pv")
         if fn == "irate":
             d = F.when(d < 0, c("v1")).otherwise(d) / ((c("p.ts") - c("p.pts")) / 1000.0)
-        return {"p": F.max(F.struct("ts", "pts", "pv")), "v1": F.max_by("v", "ts")}, F.when(inside, d), True
+        return {"p": F.max(F.struct("ts", "pts", "pv")), "t1": F.max("ts"), "v1": F.max_by("v", "ts")}, F.when(inside, d), True
     if fn in ("changes", "resets"):
         moved = (c("v") < c("pv")) if fn == "resets" else ~((c("v") == c("pv")) | (F.isnan("v") & F.isnan("pv")))
         flag = F.when(c("pv").isNotNull() & moved, lit(1)).otherwise(lit(0))
-        return {"x": F.sum(flag) - F.min_by(flag, "ts")}, c("x"), True
+        return {"rr": F.sum(flag), "r0": F.min_by(flag, "ts"), "t0": F.min("ts")}, c("rr") - c("r0"), True
     if fn in ("deriv", "predict_linear"):
         x = (c("ts") - c("s")) / 1000.0
         aggs = {"n": F.count(F.lit(1)), "a": F.regr_slope("v", x), "b": F.regr_intercept("v", x)}
@@ -364,13 +406,16 @@ def range_function(fn: str, width: int, params: list[float]) -> tuple[dict, Colu
     if fn == "mad_over_time":
         w = F.collect_list("v")
         return {"w": w, "m": F.percentile("v", F.lit(0.5))}, F.expr("aggregate(transform(slice(array_sort(transform(w, x -> abs(x - m))), cast((size(w) - 1) div 2 + 1 as int), cast(2 - size(w) % 2 as int)), x -> x / (2 - size(w) % 2)), 0D, (a, x) -> a + x)"), False
+    parts: dict[str, tuple[dict, Column]] = {
+        "sum_over_time": ({"x_sum": F.sum("v")}, c("x_sum")), "avg_over_time": ({"x_sum": F.sum("v"), "n": F.count(F.lit(1))}, c("x_sum") / c("n")), "count_over_time": ({"n": F.count(F.lit(1))}, c("n").cast("double")),
+        "min_over_time": ({"x_min": skip_nan(F.min, c("v"))}, c("x_min")), "max_over_time": ({"x_max": skip_nan(F.max, c("v"))}, c("x_max")),
+        "first_over_time": ({"t0": F.min("ts"), "v0": F.min_by("v", "ts")}, c("v0")), "last_over_time": ({"t1": F.max("ts"), "v1": F.max_by("v", "ts")}, c("v1")), "present_over_time": ({"one": F.max(lit(1))}, c("one")),
+        "ts_of_first_over_time": ({"t0": F.min("ts")}, c("t0") / 1000.0), "ts_of_last_over_time": ({"t1": F.max("ts")}, c("t1") / 1000.0),
+    }
+    if fn in parts:
+        return (*parts[fn], False)
     simple = {
-        "sum_over_time": lambda: F.sum("v"), "avg_over_time": lambda: F.avg("v"), "count_over_time": lambda: F.count(F.lit(1)).cast("double"),
-        "min_over_time": lambda: skip_nan(F.min, c("v")), "max_over_time": lambda: skip_nan(F.max, c("v")),
-        "stddev_over_time": lambda: F.stddev_pop("v"), "stdvar_over_time": lambda: F.var_pop("v"),
-        "first_over_time": lambda: F.min_by("v", "ts"), "last_over_time": lambda: F.max_by("v", "ts"), "present_over_time": lambda: F.first(lit(1)),
-        "quantile_over_time": lambda: quantile(params[0], c("v")),
-        "ts_of_first_over_time": lambda: F.min("ts") / 1000.0, "ts_of_last_over_time": lambda: F.max("ts") / 1000.0,
+        "stddev_over_time": lambda: F.stddev_pop("v"), "stdvar_over_time": lambda: F.var_pop("v"), "quantile_over_time": lambda: quantile(params[0], c("v")),
         "ts_of_max_over_time": lambda: F.max(F.struct(F.coalesce(real(c("v")), lit(-math.inf)), "ts"))["ts"] / 1000.0,
         "ts_of_min_over_time": lambda: F.max_by("ts", F.struct(-F.coalesce(real(c("v")), lit(math.inf)), "ts")) / 1000.0,
     }
@@ -379,6 +424,32 @@ def range_function(fn: str, width: int, params: list[float]) -> tuple[dict, Colu
     return {"x": simple[fn]()}, c("x"), False
 
 
+def beyond_long(x: Column) -> Column:
+    """Infinities, NaN, and numbers so large that they are whole: ceil, floor and round leave them as they are."""
+    return F.isnan(x) | (F.abs(x) >= 2.0**53)
+
+
+def nearest(v: Column, inverse: float) -> Column:
+    x = v * inverse
+    return F.when(beyond_long(x), v).otherwise(F.floor(F.when(beyond_long(x), lit(0)).otherwise(x) + 0.5).cast("double") / inverse)
+
+
+def plain_text(v: Column) -> Column:
+    """A number without an exponent, as short as it can be told from others."""
+    digits = v.cast("string").try_cast("decimal(38,20)").cast("string")
+    short = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return (
+        F.when(F.isnan(v), "NaN").when(v == math.inf, "+Inf").when(v == -math.inf, "-Inf")
+        .when(F.abs(v) >= 2.0**53, F.format_string("%.0f", v)).otherwise(F.coalesce(short, v.cast("string")))
+    )
+
+
+def natural(x: Column) -> Column:
+    """A sort key in which runs of digits compare as numbers; a digit stands for them against other signs."""
+    chunks = F.regexp_extract_all(x, F.lit(r"\d+|\D+"), 0)
+    return F.transform(chunks, lambda t: F.struct(F.when(t.try_cast("long").isNotNull() & t.rlike(r"^\d"), "0").otherwise(t).alias("t"), F.when(t.rlike(r"^\d"), t.try_cast("long")).alias("n")))
+
+
 RANGE_PARAMS = {"quantile_over_time": (0, 1), "predict_linear": (1, 0), "double_exponential_smoothing": (1, 0), "holt_winters": (1, 0)}
 KEEPS_NAME = {"first_over_time", "last_over_time"}
 MATH = {
@@ -394,8 +465,8 @@ RANGE = re.compile(r"_over_time$|^(rate|increase|delta|irate|idelta|changes|rese
 
 
 class Compiler:
-    def __init__(self, store: Store, grid: Grid, lookback: int = LOOKBACK):
-        self.store, self.spark, self.top, self.lookback = store, store.spark, grid, lookback
+    def __init__(self, store: Store, grid: Grid, lookback: int = LOOKBACK, info_by: tuple = INFO_BY):
+        self.store, self.spark, self.top, self.lookback, self.info_by = store, store.spark, grid, lookback, info_by
 
     # --- leaves
     def steps(self, grid: Grid) -> DataFrame:
@@ -403,7 +474,7 @@ class Compiler:
 
     def scan(self, sel: Selector, low: int, high: int) -> DataFrame:
         """Samples of a selector with low < ts <= high, before its offset is applied."""
-        df = self.store.samples
+        df = self.store.between(low, high)
         stale = F.col("is_stale") if "is_stale" in df.columns else F.lit(False)
         where = (F.col("ts") > low) & (F.col("ts") <= high)
         if sel.name:
@@ -462,7 +533,7 @@ class Compiler:
         if pairs:
             w = Window.partitionBy("name", "ls").orderBy("ts")
             df = df.withColumns({"pv": F.lag("v").over(w), "pts": F.lag("ts").over(w)})
-        out = to_steps(df, grid, width).groupBy("name", "ls", "s").agg(*[a.alias(k) for k, a in aggs.items()])
+        out = over_windows(df, grid, width, ["name", "ls"], aggs)
         name = F.col("name") if fn in KEEPS_NAME else F.lit(None).cast("string")
         return out.select(name.alias("name"), "ls", F.col("s").alias("ts"), result.alias("v")).filter("v is not null")
 
@@ -605,8 +676,7 @@ class Compiler:
             ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("g", "ts").orderBy(*order)))
             return ranked.filter(F.col("rank") <= k).select("name", "ls", "ts", "v")
         if op == "count_values":
-            text = F.when(F.col("v") == F.floor("v"), F.format_string("%.0f", "v")).otherwise(F.col("v").cast("string"))
-            counted = df.withColumn("g", with_label(F.col("g"), node.param.value, text))
+            counted = df.withColumn("g", with_label(F.col("g"), node.param.value, plain_text(F.col("v"))))
             return counted.groupBy("g", "ts").agg(F.count(F.lit(1)).cast("double").alias("v")).select(none.alias("name"), F.col("g").alias("ls"), "ts", "v")
         value = {
             "sum": lambda: F.sum("v"), "avg": lambda: F.avg("v"), "count": lambda: F.count(F.lit(1)).cast("double"), "group": lambda: F.first(lit(1)),
@@ -650,12 +720,12 @@ class Compiler:
         v = F.col("v")
         if fn in MATH:
             out = MATH[fn](v)
-            if fn in ("ceil", "floor"):  # infinities and NaN have no long
-                out = F.when(F.isnan(v) | (F.abs(v) >= 2.0**53), v).otherwise(MATH[fn](F.when(F.isnan(v) | (F.abs(v) >= 2.0**53), lit(0)).otherwise(v)))
+            if fn in ("ceil", "floor"):
+                out = F.when(beyond_long(v), v).otherwise(MATH[fn](F.when(beyond_long(v), lit(0)).otherwise(v)))
             return df.select(none.alias("name"), "ls", "ts", out.alias("v"))
         if fn == "round":
             inverse = 1.0 / (self.constant(args[1]) if len(args) > 1 else 1.0)
-            return df.select(none.alias("name"), "ls", "ts", (F.floor(v * inverse + 0.5).cast("double") / inverse).alias("v"))
+            return df.select(none.alias("name"), "ls", "ts", nearest(v, inverse).alias("v"))
         if fn in ("clamp", "clamp_min", "clamp_max"):
             low = self.constant(args[1]) if fn != "clamp_max" else -math.inf
             high = self.constant(args[-1]) if fn != "clamp_min" else math.inf
@@ -677,7 +747,7 @@ class Compiler:
         if fn in ("sort", "sort_desc"):
             return df.orderBy(F.isnan("v"), F.asc("v") if fn == "sort" else F.desc("v"), "ls")
         if fn in ("sort_by_label", "sort_by_label_desc"):
-            by = [F.coalesce(label(F.col("ls"), a.value), F.lit("")) for a in args[1:]]
+            by = [natural(F.coalesce(label(F.col("ls"), a.value), F.lit(""))) for a in args[1:]]
             return df.orderBy(*[x.asc() if fn == "sort_by_label" else x.desc() for x in by], "ls")
         raise QueryError(f"no function {fn}")
 
@@ -720,31 +790,57 @@ class Compiler:
         each = F.explode(F.array(*[F.struct(F.lit(repr(p)).alias("p"), at(p).alias("v")) for p in phis])).alias("e")
         return g.select("ls", "ts", each).select(none.alias("name"), with_label(F.col("ls"), node.args[0].value, F.col("e.p")).alias("ls"), "ts", "e.v")
 
-    def info(self, args: tuple, grid: Grid, by: tuple = ("instance", "job")) -> DataFrame:
-        """Labels of info metrics with the same identifying labels, added where they are absent."""
+    def info(self, args: tuple, grid: Grid) -> DataFrame:
+        """Labels of info metrics with the same identifying labels, added where they are absent; two different sets of them are an error."""
+        by = self.info_by
         sel = args[1] if len(args) > 1 else Selector("target_info")
         name = sel.name or next((v for g in sel.matchers for k, op, v in g if k == "__name__" and op == "="), "target_info")
         wanted = sorted({k for g in sel.matchers for k, _, _ in g} - {"__name__"})
         facts = self.instant(replace(sel, name=name), grid).select(keep(F.col("ls"), list(by)).alias("key"), "ts", (keep(F.col("ls"), wanted) if wanted else without(F.col("ls"), list(by))).alias("more"))
-        facts = facts.groupBy("key", "ts").agg(F.max("more").alias("more"))
+        facts = facts.groupBy("key", "ts").agg(F.max("more").alias("more"), F.min("more").alias("other"))
+        clash = F.raise_error(F.lit("info: several series with the same identifying labels have different labels")).cast(LABELS)
+        facts = facts.select("key", "ts", F.when(F.col("more") == F.col("other"), F.col("more")).otherwise(clash).alias("more"))
         df = self.vector(args[0], grid).withColumn("key", keep(F.col("ls"), list(by)))
         fresh = F.filter("more", lambda e: ~F.array_contains(F.transform("ls", lambda x: x["k"]), e["k"]))
         how = "inner" if wanted else "left"
         return df.join(facts, ["key", "ts"], how).select("name", F.when(F.col("more").isNull(), F.col("ls")).otherwise(F.array_sort(F.concat("ls", fresh))).alias("ls"), "ts", "v")
 
 
-def query_range(store: Store, text: str, start: int, end: int, step: int, lookback: int = LOOKBACK) -> DataFrame:
+def may_clash(node) -> bool:
+    """Whether two series of a result could have the same labels: where labels are rewritten, or names dropped that a selector leaves open."""
+    if isinstance(node, Selector):
+        return node.name is None and not any(k == "__name__" and op == "=" for g in node.matchers for k, op, _ in g)
+    if isinstance(node, Call) and node.fn in ("label_replace", "label_join", "info"):
+        return True
+    if isinstance(node, (list, tuple)):
+        return any(map(may_clash, node))
+    return hasattr(node, "__dataclass_fields__") and any(may_clash(getattr(node, f)) for f in node.__dataclass_fields__)
+
+
+def unique(df: DataFrame) -> DataFrame:
+    """A vector in which no two samples of a time have the same labels; others fail."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("name", "ls", "ts"))
+    v = F.when(F.col("_n") > 1, F.raise_error(F.lit("vector cannot contain metrics with the same labelset")).cast("double")).otherwise(F.col("v"))
+    return df.withColumn("_n", n).select("name", "ls", "ts", v.alias("v"))
+
+
+def query_range(store: Store, text: str, start: int, end: int, step: int, lookback: int = LOOKBACK, info_by: tuple = INFO_BY, most_points: int = MOST_POINTS) -> DataFrame:
     """(labels map, ts ms, value) of a query on the grid start, start + step, … <= end."""
     if step <= 0 or end < start:
         raise QueryError("the grid is empty")
     grid = Grid(start, end, step)
+    if grid.n > most_points:
+        raise QueryError(f"more than {most_points} points for each series")
     node = parse(text)
-    df = Compiler(store, Grid(grid.start, grid.start + (grid.n - 1) * step, step), lookback).vector(node, Grid(grid.start, grid.start + (grid.n - 1) * step, step))
+    grid = Grid(start, start + (grid.n - 1) * step, step)
+    df = Compiler(store, grid, lookback, info_by).vector(node, grid)
+    if may_clash(node):
+        df = unique(df)
     entries = F.transform("ls", lambda e: F.struct(e["k"], e["v"]))
     m = F.map_from_entries(entries)
     named = F.when(F.col("name").isNotNull(), F.map_concat(F.create_map(F.lit("__name__"), F.col("name")), m)).otherwise(m)
     return df.select(named.alias("labels"), F.col("ts").alias("ts_ms"), F.col("v").alias("value"))
 
 
-def query(store: Store, text: str, at: int, lookback: int = LOOKBACK) -> DataFrame:
-    return query_range(store, text, at, at, 1, lookback)
+def query(store: Store, text: str, at: int, lookback: int = LOOKBACK, info_by: tuple = INFO_BY) -> DataFrame:
+    return query_range(store, text, at, at, 1, lookback, info_by)

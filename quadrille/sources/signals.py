@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.logql import LogTable
 from ..plans.promql import Store
 
 
@@ -21,34 +22,51 @@ def millis(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz)) div 1000")
 
 
+def within(df: DataFrame, column: str, low_us: int, high_us: int) -> DataFrame:
+    """Rows whose timestamp is in the range, both ends included: a comparison of the column itself, which reaches the files."""
+    at = lambda us: F.expr(f"timestampadd(MICROSECOND, {us}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    bound = at if df.schema[column].dataType.simpleString() == "timestamp_ntz" else lambda us: F.timestamp_micros(F.lit(us))
+    return df.filter((F.col(column) >= bound(low_us)) & (F.col(column) <= bound(high_us)))
+
+
 def text_map(**columns: str) -> Column:
     return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), F.col(c).cast("string"))])
 
 
-def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_type, user_id, ts, v): of a series' samples in one ms the latest event stays."""
-    ev = read(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), millis("ts").alias("ts"), "event_id", "value")
+def event_samples(spark: SparkSession, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(event_type, user_id, ts, v): of a series' samples in one ms the latest event stays.  Of the days from low to high ms if given."""
+    ev = read(spark, sf_dir, "events")
+    if low is not None:
+        ev = within(ev, "ts", low // DAY_MS * DAY_MS * 1000, (high + 1) * 1000)
+    ev = ev.select("event_type", F.col("user_id").cast("string").alias("user_id"), millis("ts").alias("ts"), "event_id", "value")
     return ev.groupBy("event_type", "user_id", "ts").agg(F.max_by("value", "event_id").alias("v"))
 
 
+DAY_MS = 86_400_000
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> Store:
     """Gauge ``event_value``, daily resetting counter ``event_counter``, classic histogram ``quantity_bucket`` and ``user_info``."""
-    g = event_samples(spark, sf_dir)
-    day = Window.partitionBy("event_type", "user_id", F.expr("ts div 86400000")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    labels = text_map(event_type="event_type", user_id="user_id")
-    gauge = g.select(F.lit("event_value").alias("name"), labels.alias("labels"), "ts", "v")
-    counter = g.select(F.lit("event_counter").alias("name"), labels.alias("labels"), "ts", F.sum("v").over(day).alias("v"))
     line = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
     les = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.lit(n).alias("text")) for b, n in ((10.0, "10"), (20.0, "20"), (30.0, "30"), (40.0, "40"), (50.0, "50"), (float("inf"), "+Inf"))]))
     counts = line.withColumn("b", les).groupBy("l_returnflag", "b.text").agg(F.sum((F.col("l_quantity") <= F.col("b.le")).cast("double")).alias("v"))
     buckets = counts.select(F.lit("quantity_bucket").alias("name"), text_map(flag="l_returnflag", le="text").alias("labels"), F.lit(1705276800000).cast("long").alias("ts"), "v")
-    info = g.select("user_id").distinct().select(F.lit("user_info").alias("name"), F.create_map(F.lit("user_id"), F.col("user_id"), F.lit("tier"), F.when(F.col("user_id").cast("long") % 2 == 0, "even").otherwise("odd")).alias("labels"), F.lit(1705276800000).cast("long").alias("ts"), F.lit(1.0).alias("v"))
-    return Store(gauge.unionByName(counter).unionByName(buckets).unionByName(info))
+    users = event_samples(spark, sf_dir).select("user_id").distinct()
+    info = users.select(F.lit("user_info").alias("name"), F.create_map(F.lit("user_id"), F.col("user_id"), F.lit("tier"), F.when(F.col("user_id").cast("long") % 2 == 0, "even").otherwise("odd")).alias("labels"), F.lit(1705276800000).cast("long").alias("ts"), F.lit(1.0).alias("v"))
 
+    def between(low: int | None = None, high: int | None = None) -> DataFrame:
+        g = event_samples(spark, sf_dir, low, high)
+        day = Window.partitionBy("event_type", "user_id", F.expr(f"ts div {DAY_MS}")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        labels = text_map(event_type="event_type", user_id="user_id")
+        gauge = g.select(F.lit("event_value").alias("name"), labels.alias("labels"), "ts", "v")
+        counter = g.select(F.lit("event_counter").alias("name"), labels.alias("labels"), "ts", F.sum("v").over(day).alias("v"))
+        return gauge.unionByName(counter).unionByName(buckets).unionByName(info)
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Store(between(), between)
+
+
+def log_lines(ev: DataFrame) -> DataFrame:
     """(labels, ts_ns, line, metadata): events as logfmt lines and as JSON lines."""
-    ev = read(spark, sf_dir, "events")
     ts = (micros("ts") * 1000).alias("ts_ns")
     fmt = F.format_string("type=%s user=%d value=%.2f took=%dms size=%dKB msg=\"event %d done\"", "event_type", "user_id", "value", (F.col("event_id") % 500).cast("long"), (F.col("event_id") % 7).cast("long"), "event_id")
     js = F.format_string('{"type":"%s","user":%d,"value":%.2f,"nested":{"k":%d}}', "event_type", "user_id", "value", (F.col("event_id") % 10).cast("long"))
@@ -57,6 +75,16 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("logfmt", fmt).unionByName(one("json", js))
 
 
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_lines(read(spark, sf_dir, "events"))
+
+
+def log_table(spark: SparkSession, sf_dir: str) -> LogTable:
+    """The log lines as a table that leaves out what lies outside a range of time."""
+    ev = read(spark, sf_dir, "events")
+    return LogTable(log_lines(ev), lambda low, high: log_lines(within(ev, "ts", low // 1000, high // 1000 + 1)))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace for each order: the order is the root, its lines are spans; a line with an even number is the child of the line before."""
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
