@@ -59,7 +59,7 @@ stream("json_error", '{app="logfmt"} | json | __error__ = "JSONParserErr"', [],
 stream("json_extracted", '{app="json"} | json event_type="type"', ["event_type", "event_type_extracted"], f"SELECT ts_ns, line, event_type, event_type AS event_type_extracted FROM j WHERE {IN}")
 DEEP = '{"a":{"b":{"c":{"d":{"e":"{{.k}}"}}}},"a_b":{"k":"{{.pod}}"},"a.b_k":"later","s":"{\\"x\\":1}"}'
 stream("json_deep", '{app="json"} | json | label_format k="{{.nested_k}}" | line_format `' + DEEP + "` | drop nested_k, k, type, user, value | json", ["a_b_c_d_e", "a_b_k", "s"], f"SELECT ts_ns, format('{{{{\"a\":{{{{\"b\":{{{{\"c\":{{{{\"d\":{{{{\"e\":\"{{}}\"}}}}}}}}}}}}}}}},\"a_b\":{{{{\"k\":\"{{}}\"}}}},\"a.b_k\":\"later\",\"s\":\"{{{{\\\"x\\\":1}}}}\"}}}}', k, pod) AS line, k::VARCHAR AS a_b_c_d_e, pod AS a_b_k, '{{\"x\":1}}' AS s FROM j WHERE {IN}")
-stream("template_conditions", '{app="logfmt"} | logfmt | line_format `{{ if eq .type "click" }}{{ .user | printf "%4s" }}{{ else if gt (float64 .value) 50.0 }}{{ addf .value 0.5 | printf "%.1f" }}{{ else }}{{ with .size }}{{ trimSuffix "KB" . }}{{ end }}{{ end }}`', [], f"SELECT ts_ns, CASE WHEN event_type = 'click' THEN lpad(user_id::VARCHAR, greatest(4, length(user_id::VARCHAR))::INT, ' ') WHEN val > 50 THEN format('{{:.1f}}', val + 0.5) ELSE size::VARCHAR END AS line FROM a WHERE {IN}")
+stream("template_conditions", '{app="logfmt"} | logfmt | line_format `{{ if eq .type "click" }}{{ .user | printf "%4s" }}{{ else if gt (float64 .value) 50.0 }}{{ addf .value 0.5 | printf "%.2f" }}{{ else }}{{ with .size }}{{ trimSuffix "KB" . }}{{ end }}{{ end }}`', [], f"SELECT ts_ns, CASE WHEN event_type = 'click' THEN lpad(user_id::VARCHAR, greatest(4, length(user_id::VARCHAR))::INT, ' ') WHEN val > 50 THEN format('{{:.2f}}', val + 0.5) ELSE size::VARCHAR END AS line FROM a WHERE {IN}")
 stream("logfmt_strict", '{app="logfmt"} | line_format `{{ if eq .event_type "view" }}a=1 b="open{{ else }}a=1 bare a-b=2 a.b=3{{ end }}` | logfmt --strict | __error__ = ""', ["a", "a_b"], f"SELECT ts_ns, 'a=1 bare a-b=2 a.b=3' AS line, '1' AS a, '2' AS a_b FROM a WHERE {IN} AND event_type <> 'view'")
 stream("regexp_parser", '{app="logfmt"} | regexp "user=(?P<who>[0-9]+) value=(?P<whole>[0-9]+)"', ["who", "whole"], f"SELECT ts_ns, line, user_id::VARCHAR AS who, regexp_extract(line, 'value=([0-9]+)', 1) AS whole FROM a WHERE {IN}")
 stream("pattern_parser", '{app="logfmt"} | pattern "type=<kind> user=<_> value=<v> <_>"', ["kind", "v"], f"SELECT ts_ns, line, event_type AS kind, format('{{:.2f}}', value) AS v FROM a WHERE {IN}")

@@ -158,3 +158,24 @@ case("sort", "sort_desc(sum by (event_type) (event_value))", ["event_type"], "SE
 case("holt", "double_exponential_smoothing(event_value[5d], 0.3, 0.6)", BOTH, f""", n AS (SELECT event_type, user_id, s, list(v ORDER BY ts) AS w FROM gw GROUP BY ALL HAVING count(*) >= 2)
 SELECT event_type, user_id, s AS ts_ms, round(list_reduce(list_prepend({{'s1': w[1], 'b': w[2] - w[1]}}, list_transform(w[2:], lambda v: {{'s1': v, 'b': 0.0}})),
   lambda a, e: {{'s1': 0.3 * e.s1 + 0.7 * (a.s1 + a.b), 'b': 0.6 * (0.3 * e.s1 + 0.7 * (a.s1 + a.b) - a.s1) + 0.4 * a.b}}).s1, 6)::DOUBLE AS value FROM n""")
+#: What native histograms hold: of each step, the events up to its day (h), those of the five days before it (w), in buckets of powers of two.
+NATIVE = f""", d AS (SELECT event_type, ((epoch_us(ts) // 1000) // {DAY} + 1) * {DAY} AS day, ceil(log2(value))::INT AS i, value FROM events WHERE value > 0),
+days AS (SELECT DISTINCT event_type, day FROM d),
+h AS (SELECT d.event_type, s, i, value FROM d JOIN grid ON day <= s JOIN days last ON last.event_type = d.event_type AND last.day > s - {DAY} AND last.day <= s),
+hb AS (SELECT event_type, s, i, count(*) AS n FROM h GROUP BY ALL),
+hc AS (SELECT *, sum(n) OVER (PARTITION BY event_type, s ORDER BY i) AS upto, sum(n) OVER (PARTITION BY event_type, s) AS total FROM hb) """
+case("native_count", "histogram_count(event_size)", ["event_type"], NATIVE + "SELECT event_type, s AS ts_ms, count(*)::DOUBLE AS value FROM h GROUP BY ALL")
+case("native_sum", "histogram_sum(event_size)", ["event_type"], NATIVE + "SELECT event_type, s AS ts_ms, round(sum(value), 6)::DOUBLE AS value FROM h GROUP BY ALL")
+case("native_avg", "histogram_avg(sum(event_size))", [], NATIVE + "SELECT s AS ts_ms, round(avg(value), 6)::DOUBLE AS value FROM h GROUP BY ALL")
+case("native_stdvar", "histogram_stdvar(event_size)", ["event_type"], NATIVE + ", m AS (SELECT event_type, s, avg(value) AS mean FROM h GROUP BY ALL) SELECT event_type, s AS ts_ms, round(sum(n * (pow(2, i - 0.5) - mean) * (pow(2, i - 0.5) - mean)) / sum(n), 6)::DOUBLE AS value FROM hb JOIN m USING (event_type, s) GROUP BY ALL")
+case("native_stddev", "histogram_stddev(2 * event_size)", ["event_type"], NATIVE + ", m AS (SELECT event_type, s, avg(value) AS mean FROM h GROUP BY ALL) SELECT event_type, s AS ts_ms, round(sqrt(sum(n * (pow(2, i - 0.5) - mean) * (pow(2, i - 0.5) - mean)) / sum(n)), 6)::DOUBLE AS value FROM hb JOIN m USING (event_type, s) GROUP BY ALL")
+case("native_quantile", "histogram_quantile(0.7, event_size)", ["event_type"], NATIVE + "SELECT event_type, s AS ts_ms, round(pow(2, i - 1 + (0.7 * total - upto + n) / n), 6)::DOUBLE AS value FROM hc WHERE upto >= 0.7 * total AND upto - n < 0.7 * total")
+case("native_fraction", "histogram_fraction(0, 48, event_size)", ["event_type"], NATIVE + "SELECT event_type, s AS ts_ms, round(sum(CASE WHEN i <= 5 THEN n WHEN i = 6 THEN n * (log2(48) - 5) ELSE 0 END) / max(total), 6)::DOUBLE AS value FROM hc GROUP BY ALL")
+case("native_arithmetic", "histogram_count(event_size / 2 + event_size * 3 - event_size)", ["event_type"], NATIVE + "SELECT event_type, s AS ts_ms, round(count(*) * 2.5, 6)::DOUBLE AS value FROM h GROUP BY ALL")
+case("native_increase", "histogram_count(increase(event_size[5d]))", ["event_type"], NATIVE + f""", p AS (SELECT event_type, day, count(*) AS n FROM d GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY day) AS total FROM p),
+w AS (SELECT event_type, s, count(*) AS k, min(day) AS t0, max(day) AS t1, arg_min(total, day) AS c0, arg_max(total, day) - arg_min(total, day) AS d FROM c JOIN grid ON day > s - {RANGE} AND day <= s GROUP BY ALL HAVING count(*) >= 2),
+b AS (SELECT *, (t1 - t0) / 1000.0 AS sampled, (t1 - t0) / 1000.0 / (k - 1) AS av, (t0 - s + {RANGE}) / 1000.0 AS g0, (s - t1) / 1000.0 AS g1 FROM w),
+e AS (SELECT *, CASE WHEN g0 >= av * 1.1 THEN av / 2 ELSE g0 END AS e0, CASE WHEN g1 >= av * 1.1 THEN av / 2 ELSE g1 END AS e1 FROM b)
+SELECT event_type, s AS ts_ms, round(d * (sampled + CASE WHEN d > 0 AND sampled * c0 / d < e0 THEN sampled * c0 / d ELSE e0 END + e1) / sampled, 6)::DOUBLE AS value FROM e""")
+case("native_rate_avg", "histogram_avg(sum by (event_type) (rate(event_size[5d])))", ["event_type"], NATIVE + f""", w AS (SELECT event_type, s, min(day) AS t0 FROM days JOIN grid ON day > s - {RANGE} AND day <= s GROUP BY ALL HAVING count(*) >= 2)
+SELECT d.event_type, s AS ts_ms, round(avg(value), 6)::DOUBLE AS value FROM w JOIN d ON d.event_type = w.event_type AND day > t0 AND day <= s GROUP BY ALL""")

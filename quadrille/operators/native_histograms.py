@@ -32,7 +32,7 @@ def merge(histograms: DataFrame, keys: list[str]) -> DataFrame:
     bad = (F.col("_n") > 0) & ((F.col("_n") < F.col("_all")) | (F.col("custom") != F.col("_other")))
     facts = facts.withColumn("custom", F.when(bad, F.raise_error(F.lit("histograms with different custom buckets")).cast("array<double>")).otherwise(F.col("custom"))).drop("_other", "_n", "_all")
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("pos").alias("m")), F.struct(F.lit(-1).alias("side"), F.col("neg").alias("m"))))
-    rows = histograms.select(*keys, "schema", sides.alias("s")).select(*keys, "schema", "s.side", F.explode("s.m").alias("i", "n"))
+    rows = histograms.select(*keys, "schema", sides.alias("_s")).select(*keys, "schema", "_s.side", F.explode("_s.m").alias("i", "n"))
     rows = rows.groupBy(*keys, "schema", "side", "i").agg(F.sum("n").alias("n")).join(facts.select(*keys, "to", "zero_threshold", "custom"), keys)
     index = F.when(F.col("custom").isNotNull(), F.col("i")).otherwise(F.ceil(F.col("i") / F.pow(lit(2), F.col("schema") - F.col("to"))).cast("int"))
     rows = rows.withColumn("i", index)
@@ -45,7 +45,7 @@ def merge(histograms: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, F.col("to").alias("schema"), "zero_threshold", (F.col("zero_count") + F.coalesce("_more", lit(0))).alias("zero_count"), "count", "sum", F.coalesce("pos", empty).alias("pos"), F.coalesce("neg", empty).alias("neg"), "custom")
 
 
-def scaled(histograms: DataFrame, factor: float) -> DataFrame:
+def scaled(histograms: DataFrame, factor: float | Column) -> DataFrame:
     times = lambda m: F.transform_values(m, lambda k, v: v * factor)
     return histograms.withColumns({"zero_count": F.col("zero_count") * factor, "count": F.col("count") * factor, "sum": F.col("sum") * factor, "pos": times("pos"), "neg": times("neg")})
 
@@ -139,14 +139,15 @@ def trimmed(histograms: DataFrame, keys: list[str], op: str, bound: float) -> Da
     return histograms.select(*keys).join(kept, keys, "left").withColumn("count", F.coalesce("count", lit(0)))
 
 
-def increases(histograms: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
-    """Each histogram less the one before; the whole where a count or a bucket has fallen, which is a reset.  The first of a series has none."""
+def increases(histograms: DataFrame, keys: list[str], time: str = "ts", counter: bool = True) -> DataFrame:
+    """Each histogram less the one before; of a counter, the whole where a count or a bucket has fallen, which is a reset.  The first of a series has none."""
     w = Window.partitionBy(*keys).orderBy(time)
     before = ("schema", "zero_count", "count", "sum", "pos", "neg")
     df = histograms.withColumns({f"_{c}": F.lag(c).over(w) for c in before}).filter("_count is not null")
     fell = lambda m: F.exists(F.map_entries(f"_{m}"), lambda e: F.coalesce(F.col(m)[e["key"]], lit(0)) < e["value"])
     reset = (F.col("count") < F.col("_count")) | (F.col("schema") != F.col("_schema")) | (F.col("zero_count") < F.col("_zero_count")) | fell("pos") | fell("neg")
-    less = lambda m: F.transform_values(m, lambda k, v: v - F.coalesce(F.col(f"_{m}")[k], lit(0)))
-    changed = df.withColumn("_reset", reset)
+    gone = lambda m: F.map_from_entries(F.transform(F.array_except(F.map_keys(f"_{m}"), F.map_keys(m)), lambda k: F.struct(k.alias("k"), (-F.col(f"_{m}")[k]).alias("v"))))
+    less = lambda m: F.map_concat(F.transform_values(m, lambda k, v: v - F.coalesce(F.col(f"_{m}")[k], lit(0))), gone(m))
+    changed = df.withColumn("_reset", reset if counter else F.lit(False))
     out = changed.withColumns({m: F.when(F.col("_reset"), F.col(m)).otherwise(less(m)) for m in ("pos", "neg")} | {c: F.when(F.col("_reset"), F.col(c)).otherwise(F.col(c) - F.col(f"_{c}")) for c in ("zero_count", "count", "sum")})
     return out.select(*histograms.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LABELS, NAN, compare, fdiv, flog, fmod, keep, label, labels_of, lit, matches, quantile, real, skip_nan, with_label, without
+from ..operators import native_histograms as nh
 from .lexing import QueryError, Tokens, duration_ms, number, unquote
 
 LOOKBACK, INFO_BY = 300_000, ("instance", "job")
@@ -291,6 +292,10 @@ class Vector:
     order: list = field(default_factory=list)
 
 
+#: The columns of a native histogram.
+HISTOGRAM = ("schema", "zero_threshold", "zero_count", "count", "sum", "pos", "neg", "custom")
+
+
 @dataclass
 class Store:
     """Samples (name, labels map, ts ms, v, and is_stale if there), in any layout; blocks and recent data may be united.
@@ -300,6 +305,8 @@ class Store:
 
     samples: DataFrame
     ranged: Callable[[int, int], DataFrame] | None = None
+    #: Native histograms (name, labels map, ts ms, and the columns HISTOGRAM), if there are any.
+    histograms: DataFrame | None = None
 
     def between(self, low: int, high: int) -> DataFrame:
         return self.ranged(low, high) if self.ranged else self.samples
@@ -472,9 +479,9 @@ class Compiler:
     def steps(self, grid: Grid) -> DataFrame:
         return self.spark.range(grid.start, grid.end + 1, grid.step).select(F.col("id").alias("ts"))
 
-    def scan(self, sel: Selector, low: int, high: int) -> DataFrame:
-        """Samples of a selector with low < ts <= high, before its offset is applied."""
-        df = self.store.between(low, high)
+    def scan(self, sel: Selector, low: int, high: int, histograms: bool = False) -> DataFrame:
+        """Samples, or native histograms, of a selector with low < ts <= high, before its offset is applied."""
+        df = self.store.histograms if histograms else self.store.between(low, high)
         stale = F.col("is_stale") if "is_stale" in df.columns else F.lit(False)
         where = (F.col("ts") > low) & (F.col("ts") <= high)
         if sel.name:
@@ -491,7 +498,7 @@ class Compiler:
                     one &= matches(value(k), op, v)
                 test = one if test is None else test | one
             where &= test
-        return df.filter(where).select("name", labels_of(F.col("labels")).alias("ls"), "ts", "v", stale.alias("stale"))
+        return df.filter(where).select("name", labels_of(F.col("labels")).alias("ls"), "ts", *(HISTOGRAM if histograms else ["v"]), stale.alias("stale"))
 
     def pin(self, node, grid: Grid) -> int | None:
         at = node.at
@@ -707,7 +714,11 @@ class Compiler:
             t = F.expr("timestampadd(SECOND, cast(floor(v) as bigint), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
             return df.select(none.alias("name"), "ls", "ts", CALENDAR[fn](t).cast("double").alias("v"))
         if fn in ("histogram_quantile", "histogram_fraction", "histogram_quantiles"):
-            return self.histogram(fn, node, grid)
+            own = self.native_value(fn, args, grid)
+            return self.histogram(fn, node, grid) if own is None else self.histogram(fn, node, grid).unionByName(own)
+        if fn in ("histogram_count", "histogram_sum", "histogram_avg", "histogram_stddev", "histogram_stdvar"):
+            own = self.native_value(fn, args, grid)
+            return own if own is not None else self.steps(grid).filter("false").select(none.alias("name"), F.array().cast(LABELS).alias("ls"), "ts", lit(0).alias("v"))
         if fn == "info":
             return self.info(args, grid)
         vectors = [a for a in args if not isinstance(a, Str) and not (self.is_scalar(a))]
@@ -790,6 +801,117 @@ class Compiler:
         each = F.explode(F.array(*[F.struct(F.lit(repr(p)).alias("p"), at(p).alias("v")) for p in phis])).alias("e")
         return g.select("ls", "ts", each).select(none.alias("name"), with_label(F.col("ls"), node.args[0].value, F.col("e.p")).alias("ls"), "ts", "e.v")
 
+    # --- native histograms
+    def native(self, node, grid: Grid) -> DataFrame | None:
+        """The native histograms (name, ls, ts, HISTOGRAM) of an expression; None where it has none."""
+        if self.store.histograms is None:
+            return None
+        none, keys = F.lit(None).cast("string"), ["name", "ls", "ts"]
+        if isinstance(node, Selector) and not node.range_ms:
+            if node.at is not None:
+                t = self.pin(node, grid)
+                one = self.native(replace(node, at=None), Grid(t, t, 1))
+                return one.drop("ts").withColumn("ts", F.explode(F.sequence(F.lit(grid.start), F.lit(grid.end), F.lit(grid.step)))).select(*keys, *HISTOGRAM)
+            df = self.scan(node, grid.start - node.offset - self.lookback, grid.end - node.offset, histograms=True).withColumn("ts", F.col("ts") + node.offset)
+            last = to_steps(df, grid, self.lookback).groupBy("name", "ls", "s").agg(F.max_by(F.struct(*HISTOGRAM, "stale"), "ts").alias("x"))
+            return last.filter("not x.stale").select("name", "ls", F.col("s").alias("ts"), *[f"x.{c}" for c in HISTOGRAM])
+        if isinstance(node, Negate):
+            df = self.native(node.expr, grid)
+            return None if df is None else nh.scaled(df, -1.0).withColumn("name", none)
+        if isinstance(node, Aggregate) and node.op in ("sum", "avg"):
+            df = self.native(node.expr, grid)
+            if df is None:
+                return None
+            group = keep(F.col("ls"), list(node.labels)) if node.by else without(F.col("ls"), list(node.labels)) if node.by is False else F.array().cast(LABELS)
+            df = df.withColumns({"ls": group, "name": none})
+            total = nh.merge(df.drop("name"), ["ls", "ts"])
+            if node.op == "avg":
+                total = nh.scaled(total.join(df.groupBy("ls", "ts").agg(F.count(F.lit(1)).alias("_k")), ["ls", "ts"]), 1 / F.col("_k")).drop("_k")
+            return total.select(none.alias("name"), "ls", "ts", *HISTOGRAM)
+        if isinstance(node, Binary) and node.op in ("*", "/", "+", "-"):
+            return self.native_binary(node, grid)
+        if isinstance(node, Call) and node.fn in ("rate", "increase", "delta", "sum_over_time", "avg_over_time", "last_over_time") and isinstance(node.args[0], Selector):
+            return self.native_over_time(node.fn, node.args[0], grid)
+        return None
+
+    def native_binary(self, node: Binary, grid: Grid) -> DataFrame | None:
+        none = F.lit(None).cast("string")
+        sides = self.is_scalar(node.left), self.is_scalar(node.right)
+        if any(sides):
+            df = self.native(node.right if sides[0] else node.left, grid)
+            if df is None or node.op not in ("*", "/") or sides[0] and node.op == "/":
+                return None
+            joined = self.with_scalar(df, self.scalar(node.left if sides[0] else node.right, grid), "_w")
+            factor = F.col("_w") if node.op == "*" else fdiv(lit(1), F.col("_w"))
+            return nh.scaled(joined.withColumn("_w", factor), F.col("_w")).select(none.alias("name"), "ls", "ts", *HISTOGRAM)
+        left, right = self.native(node.left, grid), self.native(node.right, grid)
+        if node.op in ("*", "/"):  # by a float vector
+            if left is None:
+                return None
+            key = lambda df: df.withColumn("key", keep(F.col("ls"), list(node.labels)) if node.on else without(F.col("ls"), list(node.labels)))
+            other = key(self.vector(node.right, grid)).select("key", "ts", F.col("v").alias("_w"))
+            joined = key(left).join(other, ["key", "ts"])
+            return nh.scaled(joined.withColumn("_w", F.col("_w") if node.op == "*" else fdiv(lit(1), F.col("_w"))), F.col("_w")).select(none.alias("name"), F.col("ls" if node.group else "key").alias("ls"), "ts", *HISTOGRAM)
+        if left is None or right is None:
+            return None
+        key = lambda df: df.withColumn("key", keep(F.col("ls"), list(node.labels)) if node.on else without(F.col("ls"), list(node.labels))).drop("name", "ls")
+        one, two = key(left).withColumn("_side", F.lit(1)), key(nh.scaled(right, -1.0) if node.op == "-" else right).withColumn("_side", F.lit(2))
+        both = one.unionByName(two)
+        met = both.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("_side").alias("_sides")).filter("_sides = 2")
+        fail = F.raise_error(F.lit("found duplicate series for the match group")).cast("boolean")
+        met = met.filter(F.when(F.col("_n") > 2, fail).otherwise(F.lit(True))).select("key", "ts")
+        return nh.merge(both.drop("_side").join(met, ["key", "ts"]), ["key", "ts"]).select(none.alias("name"), F.col("key").alias("ls"), "ts", *HISTOGRAM)
+
+    def native_over_time(self, fn: str, sel: Selector, grid: Grid) -> DataFrame:
+        if sel.at is not None:
+            t = self.pin(sel, grid)
+            one = self.native_over_time(fn, replace(sel, at=None), Grid(t, t, 1))
+            return one.drop("ts").withColumn("ts", F.explode(F.sequence(F.lit(grid.start), F.lit(grid.end), F.lit(grid.step)))).select("name", "ls", "ts", *HISTOGRAM)
+        none, width, keys = F.lit(None).cast("string"), sel.range_ms, ["name", "ls", "s"]
+        df = self.scan(sel, grid.start - sel.offset - width, grid.end - sel.offset, histograms=True).filter("not stale").drop("stale").withColumn("ts", F.col("ts") + sel.offset)
+        steps = to_steps(df, grid, width)
+        if fn == "last_over_time":
+            last = steps.groupBy(*keys).agg(F.max_by(F.struct(*HISTOGRAM), "ts").alias("x"))
+            return last.select("name", "ls", F.col("s").alias("ts"), *[f"x.{c}" for c in HISTOGRAM])
+        facts = to_steps(df.select("name", "ls", "ts", "count"), grid, width).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_t0"), F.max("ts").alias("_t1"), F.min_by("count", "ts").alias("_c0"))
+        if fn in ("sum_over_time", "avg_over_time"):
+            total = nh.merge(steps.drop("ts"), keys)
+            out = total if fn == "sum_over_time" else nh.scaled(total.join(facts.select(*keys, "_n"), keys), 1 / F.col("_n")).drop("_n")
+            return out.select(none.alias("name"), "ls", F.col("s").alias("ts"), *HISTOGRAM)
+        # what each sample of a window adds to the one before, but for the first
+        gained = to_steps(nh.increases(df, ["name", "ls"], counter=fn != "delta"), grid, width).join(facts, keys).filter(F.col("ts") > F.col("_t0"))
+        total = nh.merge(gained.select(*keys, *HISTOGRAM), keys).join(facts, keys)
+        sampled = (F.col("_t1") - F.col("_t0")) / 1000.0
+        average = sampled / F.greatest(F.col("_n") - 1, F.lit(1))
+        edge = lambda gap: F.when(gap >= average * 1.1, average / 2).otherwise(gap)
+        start, end = edge((F.col("_t0") - F.col("s") + width) / 1000.0), edge((F.col("s") - F.col("_t1")) / 1000.0)
+        if fn != "delta":
+            zero = sampled * F.col("_c0") / F.when(F.col("count") > 0, F.col("count")).otherwise(lit(1))
+            start = F.when((F.col("count") > 0) & (F.col("_c0") >= 0) & (zero < start), zero).otherwise(start)
+        factor = (sampled + start + end) / F.when(sampled > 0, sampled).otherwise(lit(1)) / (width / 1000.0 if fn == "rate" else 1.0)
+        return nh.scaled(total.withColumn("_f", factor).filter(sampled > 0), F.col("_f")).select(none.alias("name"), "ls", F.col("s").alias("ts"), *HISTOGRAM)
+
+    def native_value(self, fn: str, args: tuple, grid: Grid) -> DataFrame | None:
+        """(name, ls, ts, v) of a histogram function of native histograms."""
+        keys, none = ["ls", "ts"], F.lit(None).cast("string")
+        at = {"histogram_quantiles": 1}.get(fn, len(args) - 1)
+        df = self.native(args[at], grid)
+        if df is None:
+            return None
+        df = df.drop("name")
+        if fn == "histogram_quantile":
+            out = nh.quantile(df, keys, self.constant(args[0]))
+        elif fn == "histogram_fraction":
+            out = nh.fraction(df, keys, self.constant(args[0]), self.constant(args[1]))
+        elif fn == "histogram_quantiles":
+            out = None
+            for phi in map(self.constant, args[2:]):
+                one = nh.quantile(df, keys, phi).withColumn("ls", with_label(F.col("ls"), args[0].value, F.lit(repr(phi))))
+                out = one if out is None else out.unionByName(one)
+        else:
+            out = nh.accessor(df, keys, fn.removeprefix("histogram_"))
+        return out.select(none.alias("name"), "ls", "ts", "v")
+
     def info(self, args: tuple, grid: Grid) -> DataFrame:
         """Labels of info metrics with the same identifying labels, added where they are absent; two different sets of them are an error."""
         by = self.info_by
@@ -842,5 +964,16 @@ def query_range(store: Store, text: str, start: int, end: int, step: int, lookba
     return df.select(named.alias("labels"), F.col("ts").alias("ts_ms"), F.col("v").alias("value"))
 
 
+def query_histograms(store: Store, text: str, start: int, end: int, step: int, lookback: int = LOOKBACK) -> DataFrame:
+    """(labels map, ts ms, histogram) of a query whose result are native histograms."""
+    grid = Grid(start, start + ((end - start) // step) * step, step)
+    df = Compiler(store, grid, lookback).native(parse(text), grid)
+    if df is None:
+        raise QueryError("the result has no native histograms")
+    m = F.map_from_entries(F.transform("ls", lambda e: F.struct(e["k"], e["v"])))
+    named = F.when(F.col("name").isNotNull(), F.map_concat(F.create_map(F.lit("__name__"), F.col("name")), m)).otherwise(m)
+    return df.select(named.alias("labels"), F.col("ts").alias("ts_ms"), F.struct(*HISTOGRAM).alias("histogram"))
+
+
 def query(store: Store, text: str, at: int, lookback: int = LOOKBACK, info_by: tuple = INFO_BY) -> DataFrame:
     return query_range(store, text, at, at, 1, lookback, info_by)

@@ -18,6 +18,9 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
 
 
+MILLIS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1000"
+
+
 def millis(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz)) div 1000")
 
@@ -62,7 +65,22 @@ def metrics(spark: SparkSession, sf_dir: str) -> Store:
         counter = g.select(F.lit("event_counter").alias("name"), labels.alias("labels"), "ts", F.sum("v").over(day).alias("v"))
         return gauge.unionByName(counter).unionByName(buckets).unionByName(info)
 
-    return Store(between(), between)
+    return Store(between(), between, event_histograms(spark, sf_dir))
+
+
+def event_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native histogram counters ``event_size`` by event type: at each day's end the values seen so far, in buckets of powers of two."""
+    ev = read(spark, sf_dir, "events").filter("value > 0").select("event_type", F.expr(f"({MILLIS} div {DAY_MS} + 1) * {DAY_MS}").alias("ts"), F.ceil(F.log2("value")).cast("int").alias("i"), "value")
+    daily = ev.groupBy("event_type", "ts", "i").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("s"))
+    days = daily.groupBy("event_type", "ts").agg(F.collect_list(F.struct("i", "n")).alias("counts"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    so_far = Window.partitionBy("event_type").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    summed = days.select("event_type", "ts", F.flatten(F.collect_list("counts").over(so_far)).alias("seen"), F.sum("n").over(so_far).alias("count"), F.sum("s").over(so_far).alias("sum"))
+    total = F.transform(F.array_distinct(F.transform("seen", lambda e: e["i"])), lambda i: F.struct(i.alias("i"), F.aggregate(F.filter("seen", lambda e: e["i"] == i), F.lit(0.0), lambda a, e: a + e["n"]).alias("n")))
+    empty = F.create_map().cast("map<int,double>")
+    return summed.select(
+        F.lit("event_size").alias("name"), text_map(event_type="event_type").alias("labels"), "ts", F.lit(0).alias("schema"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), "count", "sum",
+        F.map_from_entries(total).alias("pos"), empty.alias("neg"), F.lit(None).cast("array<double>").alias("custom"),
+    )
 
 
 def log_lines(ev: DataFrame) -> DataFrame:
