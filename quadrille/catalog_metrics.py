@@ -158,6 +158,24 @@ case("sort", "sort_desc(sum by (event_type) (event_value))", ["event_type"], "SE
 case("holt", "double_exponential_smoothing(event_value[5d], 0.3, 0.6)", BOTH, f""", n AS (SELECT event_type, user_id, s, list(v ORDER BY ts) AS w FROM gw GROUP BY ALL HAVING count(*) >= 2)
 SELECT event_type, user_id, s AS ts_ms, round(list_reduce(list_prepend({{'s1': w[1], 'b': w[2] - w[1]}}, list_transform(w[2:], lambda v: {{'s1': v, 'b': 0.0}})),
   lambda a, e: {{'s1': 0.3 * e.s1 + 0.7 * (a.s1 + a.b), 'b': 0.6 * (0.3 * e.s1 + 0.7 * (a.s1 + a.b) - a.s1) + 0.4 * a.b}}).s1, 6)::DOUBLE AS value FROM n""")
+ANCHOR = f", an AS (SELECT event_type, user_id, s, arg_max(v, ts) AS a FROM {{}} JOIN grid ON ts > s - {RANGE} - {DAY} AND ts <= s - {RANGE} GROUP BY ALL) "
+case("anchored_delta", "delta(event_value[5d] anchored)", BOTH, ANCHOR.format("gauge") + "SELECT event_type, user_id, s AS ts_ms, round(arg_max(v, ts) - coalesce(any_value(a), arg_min(v, ts)), 6)::DOUBLE AS value FROM gw LEFT JOIN an USING (event_type, user_id, s) GROUP BY ALL")
+case("anchored_increase", "increase(event_counter[5d] anchored)", BOTH, ANCHOR.format("counter") + """, f AS (SELECT event_type, user_id, s, arg_min(v, ts) AS v0, arg_max(v, ts) AS v1, coalesce(sum(CASE WHEN v < pv THEN pv END), 0) AS fell FROM cw GROUP BY ALL)
+SELECT event_type, user_id, s AS ts_ms, round(v1 - coalesce(a, v0) + fell + CASE WHEN v0 < a THEN a ELSE 0 END, 6)::DOUBLE AS value FROM f LEFT JOIN an USING (event_type, user_id, s)""")
+case("anchored_changes", "changes(event_value[5d] anchored)", BOTH, ANCHOR.format("gauge") + "SELECT event_type, user_id, s AS ts_ms, (count(*) FILTER (v <> coalesce(pv, a, v)))::DOUBLE AS value FROM gw LEFT JOIN an USING (event_type, user_id, s) GROUP BY ALL")
+
+
+def federation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import storage
+
+    samples = signals.metrics(spark, sf_dir).samples.filter("name = 'event_value'")
+    parity = F.col("labels")["user_id"].cast("long") % 2
+    tables = {"even": samples.filter(parity == 0), "odd": samples.filter(parity == 1), "none": samples.filter("false")}
+    df = promql.query_range(promql.Store(storage.federated(tables, "even|odd")), "sum by (__tenant_id__) (count_over_time(event_value[5d]))", START, END, STEP)
+    return df.select(F.col("labels")["__tenant_id__"].alias("tenant"), "ts_ms", "value")
+
+
+CASES["promql_federation"] = (federation, BASE + "SELECT CASE WHEN user_id::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END AS tenant, s AS ts_ms, count(*)::DOUBLE AS value FROM gw GROUP BY ALL")
 #: What native histograms hold: of each step, the events up to its day (h), those of the five days before it (w), in buckets of powers of two.
 NATIVE = f""", d AS (SELECT event_type, ((epoch_us(ts) // 1000) // {DAY} + 1) * {DAY} AS day, ceil(log2(value))::INT AS i, value FROM events WHERE value > 0),
 days AS (SELECT DISTINCT event_type, day FROM d),

@@ -112,10 +112,7 @@ api("head_stats", lambda d: metrics_api.head_stats(d.filter("name = 'event_value
 api("search_names", lambda d: metrics_api.search_names(d.select("name").distinct(), "event", fuzzy=False), " SELECT unnest(['event_counter', 'event_value']) AS name, 1.0::DOUBLE AS score")
 api("exemplars", lambda d: metrics_api.exemplars(d.filter("v > 200").withColumn("trace_id", F.hex("ts")), 'event_value{event_type="click"}', cm.START, MID).select("trace_id", "ts", "v"), f" SELECT to_hex(ts) AS trace_id, ts, v FROM gauge WHERE v > 200 AND event_type = 'click' AND ts BETWEEN {cm.START} AND {MID}")
 api("last_per_series", lambda d: storage.latest_per_series(d.filter("name = 'event_value'")).select(F.get("ls", 0)["v"].alias("event_type"), F.get("ls", 1)["v"].alias("user_id"), "ts", "v"), " SELECT event_type, user_id, max(ts) AS ts, arg_max(v, ts) AS v FROM gauge GROUP BY ALL")
-CASES["metrics_shard"] = (
-    lambda spark, sf_dir: events(spark, sf_dir).filter(F.pmod("event_id", F.lit(4)) == 1).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT event_type, count(*) AS n FROM events WHERE event_id % 4 = 1 GROUP BY event_type",
-)
+api("shard", lambda d: storage.shard(d.filter("name = 'event_value'"), F.col("labels"), 1, 4).groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count(F.lit(1)).alias("n")), " SELECT event_type, count(*) AS n FROM gauge WHERE ('0x' || md5(concat('event_type', chr(30), event_type, chr(31), 'user_id', chr(30), user_id))[1:8])::BIGINT % 4 = 1 GROUP BY event_type")
 
 
 # --- native histograms

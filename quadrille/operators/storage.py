@@ -5,7 +5,10 @@ Tables are Parquet folders partitioned by tenant and day, each file sorted by se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import labels_of
@@ -18,17 +21,66 @@ def series_key(labels: Column) -> Column:
     return F.xxhash64(labels_of(labels))
 
 
-def write_blocks(df: DataFrame, path: str, time: str, sort: list[str], per_day: int = 1, mode: str = "append", day_units: int = DAY_MS, bloom: list[str] = ()) -> None:
-    """Write rows by day, ``per_day`` files a day at most for each tenant, sorted; blooms speed up point lookups of ids."""
+def write_blocks(df: DataFrame, path: str, time: str, sort: list[str], per_day: int | None = None, mode: str = "append", day_units: int = DAY_MS, bloom: list[str] = ()) -> None:
+    """Write rows by tenant and day, sorted; blooms speed up point lookups of ids.
+
+    Adaptive execution makes as many tasks and files of a day as its size asks for (spark.sql.adaptive.advisoryPartitionSizeInBytes), and
+    joins small days in one task; ``per_day`` fixes the number of files instead.
+    """
     by = ["tenant", "day"] if "tenant" in df.columns else ["day"]
     dated = df.withColumn("day", F.call_function("div", F.col(time), F.lit(day_units)))
-    spread = F.pmod(F.xxhash64(*sort[:1]), F.lit(per_day))
-    out = dated.repartition(*by, spread).sortWithinPartitions(*by, *sort).write.mode(mode).partitionBy(*by)
+    dealt = dated.hint("rebalance", *by) if per_day is None else dated.repartition(*by, F.pmod(F.xxhash64(*sort[:1]), F.lit(per_day)))
+    out = dealt.sortWithinPartitions(*by, *sort).write.mode(mode).partitionBy(*by)
     for c in bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
     out.parquet(path)
 
 
+def read_blocks(spark: SparkSession, path: str, time: str, low: int, high: int, tenants: list[str] | None = None, day_units: int = DAY_MS, skip_unreadable: bool = False) -> DataFrame:
+    """Rows with low < time <= high of written blocks: only their tenants' and days' folders are listed and read.
+
+    ``skip_unreadable`` leaves out files that are damaged or gone, instead of failing.
+    """
+    source = spark.read.option("ignoreCorruptFiles", skip_unreadable).option("ignoreMissingFiles", skip_unreadable)
+    df = source.parquet(path)
+    test = F.col("day").between(low // day_units, high // day_units) & (F.col(time) > low) & (F.col(time) <= high)
+    if tenants is not None:
+        test &= F.col("tenant").isin(tenants)
+    return df.filter(test).drop("day")
+
+
+def shard(df: DataFrame, labels: Column, number: int, of: int) -> DataFrame:
+    """Rows of the series of one of ``of`` shards; a series is in the same shard wherever it is stored.
+
+    The shard is the beginning of the md5 of the sorted labels, so that other systems can tell it too.
+    """
+    if not 0 <= number < of:
+        raise ValueError(f"no shard {number} of {of}")
+    text = F.array_join(F.transform(labels_of(labels), lambda e: F.concat(e["k"], F.lit("\x1e"), e["v"])), "\x1f")
+    return df.filter(F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(of)) == number)
+
+
+TENANT = "__tenant_id__"
+
+
+def federated(tables: dict[str, DataFrame], tenants: str, labels: str = "labels") -> DataFrame:
+    """The rows of the tenants ``a|b|c`` as one table; each series carries its tenant as a label, a label of that name becomes original_…
+
+    Sums and ranks over tenants are worked out after the union, so that none of them loses what another tenant adds.
+    """
+    wanted = sorted(dict.fromkeys(t.strip() for t in tenants.split("|")))
+    if missing := [t for t in wanted if t not in tables]:
+        raise ValueError(f"no tenants {missing}")
+    out = None
+    for t in wanted:
+        df = tables[t]
+        if len(wanted) > 1:
+            own = F.transform_keys(labels, lambda k, v: F.when(k == TENANT, F.lit(f"original_{TENANT}")).otherwise(k))
+            df = df.withColumn(labels, F.map_concat(own, F.create_map(F.lit(TENANT), F.lit(t))))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def collapse(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """One row for each key: the first in ``order``.  A minimum by key, which sums before it shuffles."""
     rest = [c for c in df.columns if c not in key]
@@ -48,7 +100,7 @@ def hot_beyond_cold(cold: DataFrame, hot: DataFrame, cold_ids: str, hot_id: str)
     return cold.unionByName(hot.join(known, hot_id, "left_anti"), allowMissingColumns=True)
 
 
-def compact(spark: SparkSession, source: str, target: str, time: str, sort: list[str], key: list[str], first: str, per_day: int = 1) -> None:
+def compact(spark: SparkSession, source: str, target: str, time: str, sort: list[str], key: list[str], first: str, per_day: int | None = None) -> None:
     """Rewrite a table's files as fewer sorted ones; of rows with equal keys that with the smallest ``first`` stays."""
     df = collapse(spark.read.parquet(source).drop("day"), key, [first])
     write_blocks(df, target, time, sort, per_day, "overwrite")
@@ -91,16 +143,32 @@ def latest_per_series(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", labels_of(F.col("labels")).alias("ls")).agg(F.max_by("v", "ts").alias("v"), F.max("ts").alias("ts"))
 
 
+def _elected(batches: Iterator[pa.RecordBatch], timeout: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (cluster, replica, time, …), sorted by cluster, time and replica, those of the replica that is elected then."""
+    cluster, lead, heard = None, None, 0
+    for batch in batches:
+        keep = []
+        for c, r, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if c != cluster:
+                cluster, lead = c, None
+            if lead is None or r == lead or t - heard > timeout:
+                lead, heard = r, t
+                keep.append(True)
+            else:
+                keep.append(False)
+        if any(keep):
+            yield batch.filter(pa.array(keep))
+
+
 def elect_replicas(samples: DataFrame, cluster: str, replica: str, timeout_ms: int = 30_000) -> DataFrame:
-    """Of each cluster's replicas one is heard at a time: the elected one, until it is silent for ``timeout_ms`` and another speaks.
+    """Of each cluster's replicas one is heard at a time: the elected one, until it has been silent for more than ``timeout_ms`` and another speaks.
 
-    Times are cut in windows of the timeout; the replica with the first sample of the cluster is elected and stays while it has samples
-    in the window, else the first one of that window.
+    The first to speak is elected; of several at one time, the first by name.  Only the times at which replicas speak go through
+    Python, streamed in order; what the elected ones say is joined with them.  Samples without both labels stay.
     """
-    key, window = F.col("labels")[cluster], F.call_function("div", F.col("ts"), F.lit(timeout_ms))
-    keyed = samples.withColumns({"_c": key, "_r": F.col("labels")[replica], "_w": window})
-    first = keyed.filter("_c is not null and _r is not null").groupBy("_c", "_w", "_r").agg(F.min("ts").alias("t"))
-    leader = first.groupBy("_c").agg(F.min_by("_r", F.struct("t", "_r")).alias("lead"))
-    chosen = first.join(leader, "_c").groupBy("_c", "_w").agg(F.min_by("_r", F.struct(F.col("_r") != F.col("lead"), "t", "_r")).alias("_elected"))
-    out = keyed.join(chosen, ["_c", "_w"], "left").filter("_c is null or _r is null or _r = _elected")
-    return out.withColumn("labels", F.when(F.col("_c").isNull(), F.col("labels")).otherwise(F.map_filter("labels", lambda k, v: k != replica))).select(samples.columns)
+    keyed = samples.withColumns({"_c": F.col("labels")[cluster], "_r": F.col("labels")[replica]})
+    heard = keyed.filter("_c is not null and _r is not null").select("_c", "_r", "ts").distinct()
+    kept = heard.repartition("_c").sortWithinPartitions("_c", "ts", "_r").mapInArrow(lambda it: _elected(it, timeout_ms), "_c string, _r string, ts long")
+    alone = keyed.filter("_c is null or _r is null").select(samples.columns)
+    own = keyed.join(kept, ["_c", "_r", "ts"]).withColumn("labels", F.map_filter("labels", lambda k, v: k != replica))
+    return own.select(samples.columns).unionByName(alone)

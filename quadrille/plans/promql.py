@@ -42,6 +42,7 @@ class Selector:
     range_ms: int | None = None
     offset: int = 0
     at: object = None
+    extend: str | None = None  # anchored or smoothed
 
 
 @dataclass(frozen=True)
@@ -261,6 +262,8 @@ class Parser:
                     t.take()
                     value = round(duration_ms(text) if kind == "duration" else number(text) * 1000)
                 e = replace(e, offset=sign * value)
+            elif t.is_("anchored", "smoothed") and isinstance(e, Selector):
+                e = replace(e, extend=t.take()[1])
             elif t.accept("@"):
                 if t.is_("start", "end"):
                     at = t.take()[1]
@@ -278,6 +281,101 @@ def parse(text: str):
     return Parser(text).parse()
 
 
+def _duration(ms: float) -> str:
+    """1h30m for 5,400,000."""
+    sign, ms, out = ("-" if ms < 0 else ""), abs(round(ms)), ""
+    for unit, size in (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000), ("s", 1000), ("ms", 1)):
+        n, ms = divmod(ms, size)
+        out += f"{n}{unit}" if n else ""
+    return sign + (out or "0s")
+
+
+def _number(x: float) -> str:
+    if math.isinf(x) or x != x:
+        return "NaN" if x != x else "+Inf" if x > 0 else "-Inf"
+    return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
+
+
+def _quoted(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t") + '"'
+
+
+def format_query(node, width: int = 100, depth: int = 0) -> str:
+    """A query in its canonical form; what is longer than ``width`` is split over lines, indented by two spaces a level."""
+    pad = "  " * depth
+    flat = _flat(node)
+    if len(pad) + len(flat) <= width:
+        return pad + flat
+    inner = lambda x: format_query(x, width, depth + 1)
+    if isinstance(node, Aggregate):
+        args = ([node.param] if node.param is not None else []) + [node.expr]
+        return f"{pad}{node.op}{_grouping(node)} (\n" + ",\n".join(map(inner, args)) + f"\n{pad})"
+    if isinstance(node, Call) and node.args:
+        return f"{pad}{node.fn}(\n" + ",\n".join(map(inner, node.args)) + f"\n{pad})"
+    if isinstance(node, Binary):
+        side = lambda x, closed: f"{pad}  (\n{format_query(x, width, depth + 2)}\n{pad}  )" if closed else inner(x)
+        one, two = _closed(node)
+        return f"{side(node.left, one)}\n{pad}{_operator(node)}\n{side(node.right, two)}"
+    return pad + flat
+
+
+def _closed(node: Binary) -> tuple[bool, bool]:
+    """Whether the sides of an operation need parentheses."""
+    level, right = PRECEDENCE[node.op], node.op == "^"
+    below = lambda x, least: isinstance(x, Binary) and PRECEDENCE[x.op] < least
+    return below(node.left, level + right) or isinstance(node.left, Negate) and right, below(node.right, level + (not right))
+
+
+def _grouping(node: Aggregate) -> str:
+    return "" if node.by is None else f" {'by' if node.by else 'without'} ({', '.join(node.labels)})"
+
+
+def _operator(node: Binary) -> str:
+    out = node.op + (" bool" if node.bool_ else "")
+    if node.on is not None:
+        out += f" {'on' if node.on else 'ignoring'} ({', '.join(node.labels)})"
+    if node.group:
+        out += f" group_{node.group} ({', '.join(node.include)})" if node.include else f" group_{node.group}"
+    left, right = node.fill
+    if left is not None and left == right:
+        return f"{out} fill({_number(left)})"
+    return out + "".join(f" fill_{side}({_number(x)})" for side, x in (("left", left), ("right", right)) if x is not None)
+
+
+def _place(node) -> str:
+    at = "" if node.at is None else f" @ {node.at}()" if isinstance(node.at, str) else f" @ {node.at / 1000:.3f}"
+    return (f" {node.extend}" if getattr(node, "extend", None) else "") + (f" offset {_duration(node.offset)}" if node.offset else "") + at
+
+
+def _flat(node) -> str:
+    if isinstance(node, Num):
+        return _number(node.value)
+    if isinstance(node, Str):
+        return _quoted(node.value)
+    if isinstance(node, Selector):
+        groups = [", ".join(f"{k if re.fullmatch(r'[A-Za-z_][A-Za-z0-9_]*', k) else _quoted(k)}{op}{_quoted(v)}" for k, op, v in g) for g in node.matchers if g]
+        braces = "{" + " or ".join(groups) + "}" if groups or not node.name else ""
+        return (node.name or "") + braces + (f"[{_duration(node.range_ms)}]" if node.range_ms else "") + _place(node)
+    if isinstance(node, Subquery):
+        inner = _flat(node.expr)
+        return (f"({inner})" if isinstance(node.expr, (Binary, Negate)) else inner) + f"[{_duration(node.range_ms)}:{_duration(node.step) if node.step else ''}]" + _place(node)
+    if isinstance(node, Call):
+        return f"{node.fn}({', '.join(map(_flat, node.args))})"
+    if isinstance(node, Aggregate):
+        args = ([node.param] if node.param is not None else []) + [node.expr]
+        return f"{node.op}{_grouping(node)} ({', '.join(map(_flat, args))})" if node.by is not None else f"{node.op}({', '.join(map(_flat, args))})"
+    if isinstance(node, Negate):
+        return "-" + (f"({_flat(node.expr)})" if isinstance(node.expr, Binary) and PRECEDENCE[node.expr.op] < 6 else _flat(node.expr))
+    one, two = (f"({_flat(x)})" if closed else _flat(x) for x, closed in zip((node.left, node.right), _closed(node), strict=True))
+    return f"{one} {_operator(node)} {two}"
+
+
+def tree_of(node) -> dict:
+    """A parsed query as plain dictionaries."""
+    plain = lambda x: tree_of(x) if hasattr(x, "__dataclass_fields__") else [plain(y) for y in x] if isinstance(x, (list, tuple)) else x
+    return {"type": type(node).__name__.lower()} | {f: plain(getattr(node, f)) for f in node.__dataclass_fields__}
+
+
 @dataclass
 class Scalar:
     """A number by evaluation time: an expression of ``ts``, or a DataFrame (ts, v) with a row for each step that has one."""
@@ -535,6 +633,8 @@ class Compiler:
         if getattr(node, "at", None) is not None:
             t = self.pin(node, grid)
             return self.spread(self.over_time(fn, replace(node, at=None), params, Grid(t, t, 1)), grid)
+        if getattr(node, "extend", None):
+            return self.extended(fn, node, grid)
         df, width = self.windows(node, grid)
         aggs, result, pairs = range_function(fn, width, params)
         if pairs:
@@ -544,6 +644,51 @@ class Compiler:
         name = F.col("name") if fn in KEEPS_NAME else F.lit(None).cast("string")
         return out.select(name.alias("name"), "ls", F.col("s").alias("ts"), result.alias("v")).filter("v is not null")
 
+    def extended(self, fn: str, node: Selector, grid: Grid) -> DataFrame:
+        """Ranges that reach to the sample before them (anchored), or whose ends are interpolated with the samples around them (smoothed).
+
+        A sample knows the one before and the one after it, so that a window needs no others; windows between two
+        samples are made from the earlier of them.
+        """
+        smooth, counter = node.extend == "smoothed", fn in ("rate", "increase")
+        if fn not in (("rate", "increase", "delta") if smooth else ("rate", "increase", "delta", "changes", "resets")):
+            raise QueryError(f"{fn} takes no {node.extend} range")
+        width, around = node.range_ms, self.lookback
+        df = self.scan(node, grid.start - node.offset - width - around, grid.end - node.offset + (around if smooth else 0)).filter("not stale").drop("stale").withColumn("ts", F.col("ts") + node.offset)
+        w = Window.partitionBy("name", "ls").orderBy("ts")
+        df = df.withColumns({"pv": F.lag("v").over(w), "pts": F.lag("ts").over(w), "nv": F.lead("v").over(w), "nts": F.lead("ts").over(w)})
+        c = F.col
+        start = c("s") - width
+        fell = F.when(c("v") < c("pv"), c("pv")).otherwise(lit(0))
+        moved = c("v") < c("pv") if fn == "resets" else ~((c("v") == c("pv")) | (F.isnan("v") & F.isnan("pv")))
+        step = F.when(c("pv").isNotNull() & moved, lit(1)).otherwise(lit(0)) if fn in ("changes", "resets") else fell
+        ends = F.min(F.struct("ts", "v", "pts", "pv", step.alias("r"))).alias("a"), F.max(F.struct("ts", "v", "nts", "nv")).alias("z")
+        got = to_steps(df, grid, width).groupBy("name", "ls", "s").agg(*ends, F.sum(step).alias("r"))
+        anchor = c("a.pts").isNotNull() & (c("a.pts") > start - around)
+        if fn in ("changes", "resets"):
+            value = F.when(anchor, c("r")).otherwise(c("r") - c("a.r"))
+        elif not smooth:
+            left = F.when(anchor, c("a.pv")).otherwise(c("a.v"))
+            value = c("z.v") - left + (F.when(anchor, c("r")).otherwise(c("r") - c("a.r")) if counter else lit(0))
+        else:
+            between = lambda x0, y0, x1, y1, at: (y := F.when(y1 < y0, lit(0)).otherwise(y0) if counter else y0) + (y1 - y) * (at - x0) / (x1 - x0)
+            left = F.when(anchor & (c("a.pts") == start), c("a.pv")).when(anchor, between(c("a.pts"), c("a.pv"), c("a.ts"), c("a.v"), start)).otherwise(c("a.v"))
+            after = c("z.nts").isNotNull() & (c("z.nts") <= c("s") + around) & (c("z.ts") < c("s"))
+            right = F.when(after, between(c("z.ts"), c("z.v"), c("z.nts"), c("z.nv"), c("s"))).otherwise(c("z.v"))
+            last = F.when(after & (c("z.nv") < c("z.v")), c("z.v")).otherwise(lit(0))
+            first = F.when(anchor & (c("a.pts") == start), lit(0)).otherwise(c("a.r"))
+            value = right - left + (c("r") - first + last if counter else lit(0))
+        out = got.select("name", "ls", "s", value.alias("v"))
+        if smooth:
+            first = F.greatest(F.lit(0).cast("long"), -floor_div(F.lit(grid.start) - (c("ts") + width), grid.step))
+            end = F.least(F.lit(grid.n - 1).cast("long"), floor_div(c("nts") - 1 - grid.start, grid.step))
+            gaps = df.filter("nts is not null").withColumns({"k0": first, "k1": end}).filter("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("s", c("k") * grid.step + grid.start)
+            gaps = gaps.filter((c("ts") > start - around) & (c("nts") <= c("s") + around))
+            base = F.when(c("nv") < c("v"), lit(0)).otherwise(c("v")) if counter else c("v")
+            out = out.unionByName(gaps.select("name", "ls", "s", ((c("nv") - base) * width / (c("nts") - c("ts"))).alias("v")))
+        value = c("v") / (width / 1000.0) if fn == "rate" else c("v")
+        return out.select(F.lit(None).cast("string").alias("name"), "ls", c("s").alias("ts"), value.alias("v"))
+
     # --- expressions
     def constant(self, node) -> float:
         if isinstance(node, Num):
