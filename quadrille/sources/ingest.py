@@ -74,6 +74,55 @@ def loki_push(bodies: DataFrame) -> DataFrame:
     return streams.select(F.col("stream").alias("labels"), F.get("v", 0).cast("long").alias("ts_ns"), F.get("v", 1).alias("line"), meta.alias("metadata"))
 
 
+def log_push(bodies: DataFrame) -> DataFrame:
+    """Log rows of binary push requests in a column ``body``."""
+    text = pa.map_(pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                rows = [([*labels.items()], ns, line, [*meta.items()]) for labels, ns, line, meta in wire.log_push(body.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (text, pa.int64(), pa.string(), text), strict=True)], ["labels", "ts_ns", "line", "metadata"])
+
+    return bodies.select("body").mapInArrow(run, "labels map<string,string>, ts_ns long, line string, metadata map<string,string>")
+
+
+JAEGER = (
+    "data array<struct<processes:map<string,struct<serviceName:string,tags:array<struct<key:string,type:string,value:string>>>>,spans:array<struct<traceID:string,spanID:string,operationName:string,"
+    "references:array<struct<refType:string,traceID:string,spanID:string>>,startTime:bigint,duration:bigint,processID:string,tags:array<struct<key:string,type:string,value:string>>,"
+    "logs:array<struct<timestamp:bigint,fields:array<struct<key:string,type:string,value:string>>>>>>>>"
+)
+
+
+def jaeger(bodies: DataFrame) -> DataFrame:
+    """Spans of trace listings in JSON, in a column ``body``; times there are microseconds.
+
+    The parent is the first reference of type CHILD_OF to the same trace; span.kind, error and otel.status_code give kind and status.
+    """
+    t = bodies.select(F.explode(F.from_json("body", JAEGER)["data"]).alias("d")).select("d.processes", F.explode("d.spans").alias("s")).withColumn("p", F.col("processes")[F.col("s.processID")])
+    of = lambda tags, kinds: F.filter(F.coalesce(tags, F.array()), lambda e: e["type"].isin(*kinds))
+    entry = lambda tags, cast: F.map_from_entries(F.transform(_first_of_keys(tags), lambda e: F.struct(e["key"].alias("k"), cast(e["value"]).alias("v"))))
+    tags, text, numbers = F.col("s.tags"), ("string", "binary"), ("int64", "float64")
+    attrs = entry(of(tags, text), lambda v: v)
+    parent = F.get(F.filter("s.references", lambda r: (r["refType"] == "CHILD_OF") & (r["traceID"] == F.col("s.traceID"))), 0)["spanID"]
+    kind = F.array_position(F.array(*[F.lit(k) for k in ("internal", "server", "client", "producer", "consumer")]), F.coalesce(attrs["span.kind"], F.lit("")))
+    bools = entry(of(tags, ("bool",)), lambda v: v.try_cast("boolean"))
+    status = F.when(F.coalesce(bools["error"], F.lit(False)) | (F.upper(F.coalesce(attrs["otel.status_code"], F.lit(""))) == "ERROR"), 2).when(F.upper(F.coalesce(attrs["otel.status_code"], F.lit(""))) == "OK", 1).otherwise(0)
+    named = lambda fields: F.coalesce(F.get(F.filter(fields, lambda f: f["key"] == "event"), 0)["value"], F.lit(""))
+    rest = lambda fields: entry(F.filter(fields, lambda f: f["key"] != "event"), lambda v: v)
+    events = F.transform(F.coalesce("s.logs", F.array()), lambda e: F.struct(named(e["fields"]).alias("name"), ((e["timestamp"] - F.col("s.startTime")) * 1000).alias("time_since_start_ns"), rest(e["fields"]).alias("attrs")))
+    return t.select(
+        F.col("s.traceID").alias("trace_id"), F.col("s.spanID").alias("span_id"), parent.alias("parent_span_id"), F.col("s.operationName").alias("name"), kind.cast("int").alias("kind"), (F.col("s.startTime") * 1000).alias("start_ns"),
+        (F.col("s.duration") * 1000).alias("duration_ns"), status.alias("status"), F.col("p.serviceName").alias("service"), attrs.alias("attrs"), entry(of(tags, numbers), lambda v: v.try_cast("double")).alias("nums"), bools.alias("bools"),
+        entry(F.coalesce("p.tags", F.array()), lambda v: v).alias("resource"), events.alias("events"),
+    )
+
+
+def _first_of_keys(entries: Column) -> Column:
+    return F.filter(entries, lambda e, k: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == k + 1)
+
+
 VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
 ATTRS = f"array<struct<key:string,value:{VALUE}>>"
 OTLP_LOGS = f"resourceLogs array<struct<resource:struct<attributes:{ATTRS}>,scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,severityText:string,body:{VALUE},attributes:{ATTRS},traceId:string,spanId:string>>>>>>"
@@ -179,6 +228,33 @@ def pprof(bodies: DataFrame) -> DataFrame:
     return bodies.select("body").mapInArrow(run, PROFILE)
 
 
+def profile_push(bodies: DataFrame) -> DataFrame:
+    """The same of push requests of profile series; the series' labels join those of the samples, and __name__ stays among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            for body in batch.column(0):
+                rows = [([*labels.items()], profile) for labels, _, profile in wire.profile_push(body.as_py()) if profile]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], text), pa.array([r[1] for r in rows], pa.binary())], ["series", "body"])
+
+    pushed = bodies.select("body").mapInArrow(run, "series map<string,string>, body binary")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.string()), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64()]
+        for batch in batches:
+            for series, body in zip(batch.column(0), batch.column(1), strict=True):
+                p = wire.decode_pprof(body.as_py())
+                period = ":".join(p["period_type"])
+                own = dict(series.as_py())
+                rows = [(stack, values[k], f"{kind}:{unit}:{period}", [*(labels | own).items()], p["time_nanos"] // 1_000_000) for stack, values, labels in p["samples"] for k, (kind, unit) in enumerate(p["sample_types"]) if values[k]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["stack", "value", "profile_type", "labels", "ts_ms"])
+
+    return pushed.mapInArrow(decode, PROFILE)
+
+
 SPEEDSCOPE = "shared struct<frames:array<struct<name:string>>>, profiles array<struct<type:string,name:string,unit:string,samples:array<array<int>>,weights:array<double>>>"
 
 

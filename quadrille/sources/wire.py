@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
@@ -116,6 +117,45 @@ def unsnappy(data: bytes) -> bytes:
     return bytes(out)
 
 
+def labels_of_text(text: str) -> dict[str, str]:
+    """{a="b", c="d"} as a dictionary."""
+    found = re.fullmatch(r'\s*\{\s*((?:[A-Za-z_][\w.:]*\s*=\s*"(?:[^"\\]|\\.)*"\s*,?\s*)*)\}\s*', text, re.S)
+    if not found:
+        raise WireError(f"no labels: {text!r}")
+    plain = lambda v: re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), v)
+    return {k: plain(v) for k, v in re.findall(r'([A-Za-z_][\w.:]*)\s*=\s*"((?:[^"\\]|\\.)*)"', found[1], re.S)}
+
+
+def pairs_of(raw: list[bytes]) -> dict[str, str]:
+    """Messages (name, value) as a dictionary."""
+    out = {}
+    for p in map(message, raw):
+        out[p[1][0].decode() if p[1] else ""] = p[2][0].decode() if p[2] else ""
+    return out
+
+
+def log_push(body: bytes) -> list[tuple[dict[str, str], int, str, dict[str, str]]]:
+    """(labels, ts ns, line, metadata) of a snappy push request of log streams."""
+    out = []
+    for stream in map(message, message(unsnappy(body))[1]):
+        labels = labels_of_text(stream[1][0].decode()) if stream[1] else {}
+        for entry in map(message, stream[2]):
+            at = message(entry[1][0]) if entry[1] else {}
+            ns = sum(signed(at[k][0]) * scale for k, scale in ((1, 1_000_000_000), (2, 1)) if at and at[k])
+            out.append((labels, ns, entry[2][0].decode("utf-8", "replace") if entry[2] else "", pairs_of(entry[3])))
+    return out
+
+
+def profile_push(body: bytes) -> list[tuple[dict[str, str], str, bytes]]:
+    """(labels, id, pprof) of a push request of profile series."""
+    out = []
+    for series in map(message, message(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body)[1]):
+        labels = pairs_of(series[1])
+        for sample in map(message, series[2]):
+            out.append((labels, sample[2][0].decode() if sample[2] else "", sample[1][0] if sample[1] else b""))
+    return out
+
+
 # --- encoding
 def put_varint(value: int) -> bytes:
     value &= (1 << 64) - 1
@@ -152,6 +192,17 @@ def remote_write_v1(body: bytes) -> list[tuple[dict[str, str], int, float]]:
     return out
 
 
+def encode_remote_write(rows: list[tuple[dict[str, str], int, float]]) -> bytes:
+    """A snappy write request of (labels with __name__, ts ms, value); samples of equal labels share a series, labels and times in order."""
+    import pyarrow as pa
+
+    series: dict[tuple, list[tuple[int, float]]] = defaultdict(list)
+    for labels, ts, v in rows:
+        series[tuple(sorted(labels.items()))].append((ts, v))
+    body = b"".join(put(1, b"".join(put(1, put(1, k) + put(2, v)) for k, v in labels) + b"".join(put(2, put(1, float(v)) + put(2, ts)) for ts, v in sorted(points))) for labels, points in series.items())
+    return pa.compress(body, codec="snappy", asbytes=True)
+
+
 def remote_write_v2(body: bytes) -> list[tuple[dict[str, str], int, float]]:
     """The same of the second version, whose strings are in a table."""
     m = message(unsnappy(body))

@@ -172,3 +172,65 @@ def test_relabel(spark):
         {"action": "labeldrop", "regex": "__.*"}, {"action": "lowercase", "source_labels": ["job"], "target_label": "job"}, {"action": "hashmod", "source_labels": ["job"], "modulus": 1, "target_label": "shard"},
     ]
     assert [r.labels for r in ingest.relabel(df, rules).collect()] == [{"job": "web-1", "n": "1", "zone": "eu", "shard": "0"}]
+
+
+def test_binary_log_push(spark):
+    import pyarrow as pa
+
+    from quadrille.sources import wire
+
+    pair = lambda k, v: wire.put(1, k) + wire.put(2, v)
+    entry = lambda s, n, line, meta=(): wire.put(1, wire.put(1, s) + wire.put(2, n)) + wire.put(2, line) + b"".join(wire.put(3, pair(*m)) for m in meta)
+    stream = wire.put(1, '{app="x y", q="a\\"b,c"}') + wire.put(2, entry(5, 7, "one", [("pod", "p1")])) + wire.put(2, entry(6, 0, "two"))
+    body = pa.compress(wire.put(1, stream), codec="snappy", asbytes=True)
+    rows = ingest.log_push(spark.createDataFrame([(bytearray(body),)], "body binary")).collect()
+    labels = {"app": "x y", "q": 'a"b,c'}
+    assert [(r.labels, r.ts_ns, r.line, r.metadata) for r in rows] == [(labels, 5_000_000_007, "one", {"pod": "p1"}), (labels, 6_000_000_000, "two", {})]
+    with pytest.raises(wire.WireError):
+        wire.labels_of_text("{a=b}")
+
+
+def test_profile_push(spark):
+    from quadrille.sources import wire
+
+    pair = lambda k, v: wire.put(1, k) + wire.put(2, v)
+    profile = wire.encode_pprof([(["leaf", "main"], 5), (["main"], 2)], ("cpu", "ns"), 3_000_000)
+    body = wire.put(1, wire.put(1, pair("service", "s")) + wire.put(1, pair("__name__", "process_cpu")) + wire.put(2, wire.put(1, profile) + wire.put(2, "id-1")))
+    rows = ingest.profile_push(spark.createDataFrame([(bytearray(body),)], "body binary")).collect()
+    assert sorted((r.stack, r.value, r.labels["service"], r.labels["__name__"], r.ts_ms) for r in rows) == [(["leaf", "main"], 5, "s", "process_cpu", 3), (["main"], 2, "s", "process_cpu", 3)]
+
+
+def test_jaeger(spark):
+    import json
+
+    tag = lambda k, t, v: {"key": k, "type": t, "value": v}
+    span = {"traceID": "t", "spanID": "b", "operationName": "get", "references": [{"refType": "FOLLOWS_FROM", "traceID": "t", "spanID": "z"}, {"refType": "CHILD_OF", "traceID": "t", "spanID": "a"}], "startTime": 1000, "duration": 25, "processID": "p1", "tags": [tag("span.kind", "string", "client"), tag("error", "bool", True), tag("n", "int64", 7), tag("x", "float64", 1.5), tag("n", "int64", 8)], "logs": [{"timestamp": 1005, "fields": [tag("event", "string", "retry"), tag("why", "string", "slow")]}]}
+    doc = {"data": [{"traceID": "t", "processes": {"p1": {"serviceName": "shop", "tags": [tag("host", "string", "h1")]}}, "spans": [span, {"traceID": "t", "spanID": "a", "operationName": "root", "startTime": 990, "duration": 100, "processID": "p1"}]}]}
+    rows = {r.span_id: r for r in ingest.jaeger(spark.createDataFrame([(json.dumps(doc),)], "body string")).collect()}
+    b = rows["b"]
+    assert (b.trace_id, b.parent_span_id, b.name, b.kind, b.start_ns, b.duration_ns, b.status, b.service) == ("t", "a", "get", 3, 1_000_000, 25_000, 2, "shop")
+    assert b.attrs == {"span.kind": "client"} and b.nums == {"n": 7.0, "x": 1.5} and b.bools == {"error": True} and b.resource == {"host": "h1"}
+    assert [(e.name, e.time_since_start_ns, e.attrs) for e in b.events] == [("retry", 5000, {"why": "slow"})]
+    assert rows["a"].parent_span_id is None and rows["a"].kind == 0 and rows["a"].attrs == {} and rows["a"].events == []
+
+
+def test_write_requests_round_trip(spark, tmp_path):
+    from quadrille.sources import sinks
+
+    rows = [("m", {"k": str(k % 7)}, t, float(t * k)) for k in range(20) for t in range(k, k + 3)]
+    df = spark.createDataFrame(rows, "name string, labels map<string,string>, ts long, v double")
+    bodies = sinks.write_requests(df, batch=9)
+    back = ingest.remote_write(bodies.select("body"))
+    key = lambda d: sorted((r.name, sorted(r.labels.items()), r.ts, r.v) for r in d.collect())
+    assert key(back) == key(df) and max(r.samples for r in bodies.collect()) <= 9
+    folder = str(tmp_path)
+
+    def post(body: bytes) -> None:
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}.bin", "wb") as f:
+            f.write(body)
+
+    sinks.send(bodies, post)
+    sent = spark.read.format("binaryFile").load(f"{folder}/*.bin").selectExpr("content body")
+    assert key(ingest.remote_write(sent)) == key(df)
