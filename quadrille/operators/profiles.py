@@ -61,15 +61,17 @@ def tree(stacks: DataFrame) -> DataFrame:
     return each.groupBy("p.path").agg(F.sum(F.when(F.col("p.leaf"), F.col("value")).otherwise(0)).alias("self"), F.sum("value").alias("total"))
 
 
-def truncated(nodes: DataFrame, max_nodes: int) -> DataFrame:
+def truncated(nodes: DataFrame, max_nodes: int, ties: bool = True) -> DataFrame:
     """The nodes whose totals reach the (max_nodes - 1)-th largest, ties with it; what hangs below a kept node is summed in ``other``.
 
-    Totals fall towards the leaves, so that a kept node's ancestors are kept.
+    Totals fall towards the leaves, so that a kept node's ancestors are kept.  Without ``ties``, of equal totals those nearer to the
+    root stay, then by path, and max_nodes - 1 nodes are kept at most.
     """
-    top = nodes.select("total").orderBy(F.desc("total")).limit(max(0, max_nodes - 1)).agg(F.min("total").alias("least"), F.count(F.lit(1)).alias("n"))
-    least = F.when(F.col("n") < max_nodes - 1, F.lit(-(1 << 62))).otherwise(F.coalesce("least", F.lit(1 << 62)))
-    marked = nodes.join(F.broadcast(top.select(least.alias("least"))))  # one row
-    kept = F.col("total") >= F.col("least")
+    place = F.struct((-F.col("total")).alias("t"), F.when(F.lit(ties), 0).otherwise(F.size("path")).alias("n"), F.when(F.lit(not ties), F.col("path")).alias("p"))
+    ordered = nodes.select(place.alias("place")).orderBy("place").limit(max(0, max_nodes - 1))
+    top = ordered.agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+    marked = nodes.withColumn("place", place).join(F.broadcast(top))  # one row
+    kept = F.coalesce((F.col("n") < max_nodes - 1) | (F.col("place") <= F.col("last")), F.lit(False))
     parent = F.slice("path", 1, F.size("path") - 1)
     dropped = marked.filter(~kept).groupBy(parent.alias("path")).agg(F.sum("total").alias("other"))
     out = marked.filter(kept).select("path", "self", "total").join(dropped, "path", "left").withColumn("other", F.coalesce("other", F.lit(0)))
@@ -77,10 +79,19 @@ def truncated(nodes: DataFrame, max_nodes: int) -> DataFrame:
     return out.unionByName(root)
 
 
+#: With so many times the nodes asked for in ties, ties are cut; and the nodes of a picture without a limit.
+TIES, MOST_NODES = 16, 200_000
+
+
 def flamegraph(samples: DataFrame, max_nodes: int = 1024, group_by: list[str] = ()) -> dict:
-    """names, levels of four numbers a bar (gap to the bar before, total, self, name), total and the largest self."""
+    """names, levels of four numbers a bar (gap to the bar before, total, self, name), total and the largest self.
+
+    The driver gets TIES * max_nodes nodes at most.
+    """
     stacks = merged(samples, group_by)
-    rows = truncated(tree(stacks), max_nodes).collect()
+    rows = truncated(tree(stacks), max_nodes).limit(TIES * max_nodes + 1).collect()
+    if len(rows) > TIES * max_nodes:
+        rows = truncated(tree(stacks), max_nodes, ties=False).collect()
     children: dict[tuple, dict[str, tuple]] = defaultdict(dict)
     rest = {}
     for r in rows:
@@ -125,11 +136,14 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def diff_flamegraph(left: DataFrame, right: DataFrame, max_nodes: int = 1024) -> dict:
     """Seven numbers a bar (gap, total, self of the left, the same of the right, name).  Nodes are kept by rank of
-    both totals, then name, with their ancestors, while they fit; the others are summed as ``other``."""
+    both totals, then name, with their ancestors, while they fit; the others are summed as ``other``.  With max_nodes 0 all are kept,
+    up to MOST_NODES; more are an error."""
     both = diff(left, right)
     # a node's ancestors rank before it or tie with it; twice as many rows as nodes are more than enough to decide
     total = F.col("total_left") + F.col("total_right")
-    rows = both.orderBy(total.desc(), F.element_at("path", -1), F.size("path"), "path").limit(2 * max_nodes).collect() if max_nodes > 0 else both.collect()
+    rows = both.orderBy(total.desc(), F.element_at("path", -1), F.size("path"), "path").limit(2 * max_nodes).collect() if max_nodes > 0 else both.limit(MOST_NODES + 1).collect()
+    if len(rows) > MOST_NODES and max_nodes <= 0:
+        raise ValueError(f"more than {MOST_NODES} nodes; give a limit")
     known = {tuple(r.path): r for r in rows}
     kept: set[tuple] = set()
     for p in known:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .lexing import QueryError, unquote
 
-TOKEN = re.compile(r'\s*(?:(?P<string>"(?:[^"\\]|\\.)*"|`[^`]*`)|(?P<number>-?\d+(?:\.\d+)?)|(?P<field>\.[\w.]*)|(?P<var>\$\w*)|(?P<name>\w+)|(?P<op>:=|=|\||\(|\)))')
+TOKEN = re.compile(r'\s*(?:(?P<string>"(?:[^"\\]|\\.)*"|`[^`]*`)|(?P<number>-?\d+(?:\.\d+)?)|(?P<field>\.[\w.]*)|(?P<var>\$\w*(?:\.\w+)*)|(?P<name>\w+)|(?P<op>:=|=|\||\(|\)))')
 
 
 @dataclass(frozen=True)
@@ -162,6 +162,36 @@ def bytes_of(v: Value) -> Column:
     return F.coalesce(size_bytes(text(v)), F.lit(0.0))
 
 
+def significant(x: Column) -> Column:
+    """Four significant digits, without zeros at the end."""
+    digits = F.greatest(F.lit(0), 3 - F.floor(F.log10(F.when(x == 0, F.lit(1.0)).otherwise(F.abs(x)))).cast("int"))
+    scale = F.pow(F.lit(10.0), digits)
+    rounded = F.floor(F.abs(x) * scale + 0.5) / scale * F.signum(x)
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "+Inf").otherwise("-Inf")).otherwise(text(Value("f", F.when(F.abs(x) < float("inf"), rounded).otherwise(F.lit(0.0)))))
+
+
+def humanized(x: Column, base: int) -> Column:
+    """With a prefix of the metric system, or of powers of 1024: 1.234k."""
+    up, down = (("", "ki", "Mi", "Gi", "Ti", "Pi", "Ei"), ()) if base == 1024 else (("", "k", "M", "G", "T", "P", "E"), ("", "m", "u", "n", "p", "f", "a"))
+    size = F.abs(x)
+    out = F.concat(significant(x), F.lit(""))
+    for k, p in enumerate(up[1:], 1):
+        out = F.when(size >= float(base**k), F.concat(significant(x / float(base**k)), F.lit(p))).otherwise(out)
+    for k, p in enumerate(down[1:], 1):
+        out = F.when((size > 0) & (size < float(base ** (1 - k))) & (size >= (float(base**-k) if k < len(down) - 1 else 0.0)), F.concat(significant(x * float(base**k)), F.lit(p))).otherwise(out)
+    return F.when(F.isnan(x) | (size == float("inf")), significant(x)).otherwise(out)
+
+
+def lasting(x: Column) -> Column:
+    """Seconds as 1d 2h 3m 4s, or with a prefix below one."""
+    whole, sign = F.floor(F.abs(x)).cast("long"), F.when(x < 0, "-").otherwise("")
+    div = lambda n, k: F.call_function("div", n, F.lit(k))
+    d, h, m, sec = div(whole, 86400), div(F.pmod(whole, F.lit(86400)), 3600), div(F.pmod(whole, F.lit(3600)), 60), F.pmod(whole, F.lit(60))
+    part = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    long = F.when(d > 0, F.concat_ws(" ", part(d, "d"), part(h, "h"), part(m, "m"), part(sec, "s"))).when(h > 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(sec, "s"))).when(m > 0, F.concat_ws(" ", part(m, "m"), part(sec, "s")))
+    return F.concat(F.when(F.abs(x) >= 60, sign).otherwise(""), F.coalesce(long, F.concat(F.when(F.abs(x) >= 1, significant(x)).otherwise(humanized(x, 1000)), F.when((x != 0) | (x == 0), "s"))))
+
+
 ARITHMETIC = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": lambda x, y: F.try_divide(x, y), "mod": lambda x, y: F.try_mod(x, y), "max": F.greatest, "min": F.least}
 
 
@@ -196,6 +226,9 @@ def call(name: str, a: list[Value]) -> Value:
         "duration": lambda: f(seconds_of(a[0])), "duration_seconds": lambda: f(seconds_of(a[0])), "bytes": lambda: f(bytes_of(a[0])),
         "unixEpoch": lambda: s(F.floor(number(a[0])).cast("long").cast("string")), "unixEpochMillis": lambda: s(F.floor(number(a[0]) * 1000).cast("long").cast("string")), "unixEpochNanos": lambda: s((F.floor(number(a[0]) * 1_000_000).cast("long") * 1000).cast("string")),
         "unixToTime": lambda: Value("t", F.when(F.length(t[0]) == 5, number(a[0]) * 86400).when(F.length(t[0]) == 10, number(a[0])).when(F.length(t[0]) == 13, number(a[0]) / 1e3).when(F.length(t[0]) == 16, number(a[0]) / 1e6).otherwise(number(a[0]) / 1e9)),
+        "humanize": lambda: s(humanized(number(a[0]), 1000)), "humanize1024": lambda: s(humanized(number(a[0]), 1024)), "humanizePercentage": lambda: s(F.concat(significant(number(a[0]) * 100), F.lit("%"))), "humanizeDuration": lambda: s(lasting(number(a[0]))),
+        "humanizeTimestamp": lambda: s(F.date_format(F.timestamp_seconds(number(a[0])), "yyyy-MM-dd HH:mm:ss 'UTC'")), "toUpper": lambda: s(F.upper(t[0])), "toLower": lambda: s(F.lower(t[0])), "reReplaceAll": lambda: s(F.regexp_replace(t[2], const(0), go_replacement(const(1)))),
+        "match": lambda: b(t[1].rlike(const(0))), "stripPort": lambda: s(F.regexp_replace(t[0], r":\d+$", "")), "parseDuration": lambda: f(seconds_of(a[0])),
         "toDate": lambda: Value("t", F.unix_micros(F.try_to_timestamp(t[1], F.lit(java_layout(const(0))))) / 1e6), "date": lambda: s(F.date_format(F.timestamp_seconds(number(a[1])), java_layout(const(0)))),
     }
     if name not in table:
@@ -209,8 +242,8 @@ def call(name: str, a: list[Value]) -> Value:
 class Template:
     """A parsed template; ``render`` makes the column."""
 
-    def __init__(self, source: str, lab: Column, line: Column, ts: Column | None = None):
-        self.lab, self.line, self.ts = lab, line, ts
+    def __init__(self, source: str, lab: Column, line: Column, ts: Column | None = None, variables: dict[str, Value] | None = None):
+        self.lab, self.line, self.ts, self.variables = lab, line, ts, variables or {}
         self.parts: list[tuple[str, str]] = []
         trim = False
         for piece in re.split(r'(\{\{(?:"(?:[^"\\]|\\.)*"|`[^`]*`|/\*.*?\*/|[^"`}]|\}(?!\}))*\}\})', source, flags=re.S):
@@ -228,7 +261,7 @@ class Template:
         self.at = 0
 
     def render(self) -> Column:
-        out, end = self.block({}, None)
+        out, end = self.block(dict(self.variables), None)
         if end:
             raise QueryError(f"{end!r} without a beginning in a template")
         return out
@@ -321,6 +354,8 @@ class Template:
                 return dot or s(F.to_json(self.lab)), at + 1
             return s(F.coalesce(self.lab[word[1:]], F.lit(""))), at + 1
         if kind == "var":
+            if word.startswith("$labels."):
+                return s(F.coalesce(self.lab[word[8:]], F.lit(""))), at + 1
             if word not in env:
                 raise QueryError(f"no variable {word} in the template")
             return env[word], at + 1
@@ -344,3 +379,8 @@ class Template:
 
 def template(source: str, lab: Column, line: Column, ts: Column | None = None) -> Column:
     return Template(source, lab, line, ts).render()
+
+
+def alert_text(source: str, labels: Column, value: Column) -> Column:
+    """An annotation or label of an alert: ``$labels.name``, ``$value`` and the functions above."""
+    return Template(source, labels, F.lit(""), variables={"$value": Value("f", value)}).render()

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import labels_of
 from ..operators.storage import write_blocks
 from ..plans import logql, promql
+from ..plans.templates import alert_text
 
 
 def _with(labels: Column, more: dict[str, str]) -> Column:
@@ -61,6 +62,20 @@ def alerting_rule(store: promql.Store, alert: str, expr: str, start: int, end: i
     return states.select("ts", F.explode(F.array(one, two)).alias("r")).select("r.name", "r.labels", "ts", "r.v")
 
 
+def alerts(store: promql.Store, alert: str, expr: str, start: int, end: int, step: int, hold: int = 0, keep_firing: int = 0, labels: dict[str, str] | None = None, annotations: dict[str, str] | None = None, lookback: int = promql.LOOKBACK) -> DataFrame:
+    """(labels, annotations, state, since, ts, value) of the alerts of a rule; labels and annotations are templates over the series' labels and value."""
+    df = promql.query_range(store, expr, start, end, step, lookback)
+    own, value = F.col("labels"), F.col("value")
+    made = lambda texts: F.create_map(*[x for k, t in texts.items() for x in (F.lit(k), alert_text(t, own, value))]) if texts else F.create_map().cast("map<string,string>")
+    extra = {"alertname": F.lit(alert)} | {k: alert_text(t, own, value) for k, t in (labels or {}).items()}
+    rest = F.map_filter(own, lambda k, v: ~k.isin("__name__", *extra))
+    full = F.map_filter(F.map_concat(rest, F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), v)])), lambda k, v: v != "")
+    rows = df.select(labels_of(full).alias("ls"), F.col("ts_ms").alias("ts"), value.alias("v"), made(annotations or {}).alias("annotations"))
+    states = alert_states(rows.select("ls", "ts", "v"), step, hold, keep_firing, end)
+    texts = rows.groupBy("ls", "ts").agg(F.first("annotations").alias("annotations"))
+    return states.join(texts, ["ls", "ts"], "left").select(F.map_from_entries("ls").alias("labels"), "annotations", "state", "since", "ts", F.col("v").alias("value"))
+
+
 def tail(logs: DataFrame, text: str, since_ns: int = 0) -> DataFrame:
     """A stream query on a stream of log rows: filters and projections only."""
     node = logql.parse(text)

@@ -113,6 +113,33 @@ def test_templates(spark):
         assert row[k] == want, t
 
 
+ALERTS = {
+    "{{ $labels.instance }} is {{ $value }}": "db:9 is 1234.6", "{{ $value | humanize }} {{ humanize1024 2048.0 }} {{ humanize 0.00123 }} {{ humanize 0.0 }}": "1.235k 2ki 1.23m 0", "{{ humanizePercentage 0.2345 }}": "23.45%",
+    "{{ humanizeDuration 93784.0 }}|{{ humanizeDuration 61.0 }}|{{ humanizeDuration 0.25 }}|{{ humanizeDuration 1.5 }}": "1d 2h 3m 4s|1m 1s|250ms|1.5s", "{{ humanizeTimestamp 1700000000.0 }}": "2023-11-14 22:13:20 UTC",
+    '{{ if match "^db" $labels.instance }}{{ stripPort $labels.instance | toUpper }}{{ end }}': "DB", '{{ reReplaceAll "(.*):(.*)" "$2" $labels.instance }}': "9", "{{ with $labels.none }}x{{ else }}none{{ end }}": "none",
+}
+
+
+def test_alert_texts(spark):
+    from quadrille.plans.templates import alert_text
+
+    labels = F.create_map(F.lit("instance"), F.lit("db:9"))
+    row = spark.range(1).select(*[alert_text(t, labels, F.lit(1234.6)).alias(f"c{k}") for k, t in enumerate(ALERTS)]).first()
+    for k, (t, want) in enumerate(ALERTS.items()):
+        assert row[k] == want, t
+
+
+def test_alerts(spark):
+    from quadrille.plans import promql
+    from quadrille.streaming import rules
+
+    rows = [("m", {"host": h}, t * 1000, v) for h, vs in (("a", (5.0, 6.0, 1.0)), ("b", (1.0, 9.0, 9.0))) for t, v in enumerate(vs)]
+    store = promql.Store(spark.createDataFrame(rows, "name string, labels map<string,string>, ts long, v double"))
+    got = rules.alerts(store, "High", "m > 4", 0, 2000, 1000, hold=1000, labels={"level": "{{ if gt $value 4.0 }}warn{{ end }}"}, annotations={"text": "{{ $labels.host }}: {{ $value }}"}, lookback=1000).collect()
+    assert all(r.labels == {"alertname": "High", "level": "warn", "host": r.annotations["text"][0]} for r in got)
+    assert sorted((r.ts, r.state, r.annotations["text"]) for r in got) == [(0, "pending", "a: 5"), (1000, "firing", "a: 6"), (1000, "pending", "b: 9"), (2000, "firing", "b: 9")]
+
+
 @pytest.mark.parametrize("text", ["{{ nothing 1 }}", "{{ if .a }}x", "{{ end }}", "{{ $x }}", "{{ (.a }}", "{{ range .a }}{{ end }}", "{{ replace }}", "{{ .a .b }}"])
 def test_bad_templates(spark, text):
     with pytest.raises(QueryError):

@@ -62,3 +62,15 @@ def test_heatmap(samples):
 def test_empty(spark, samples):
     none = samples.filter("false")
     assert profiles.tree(profiles.merged(none)).count() == 0 and profiles.flamegraph(none)["levels"] == [[0, 0, 0, 0]]
+
+
+def test_ties_are_bounded(spark):
+    """A tree of equal totals: no more nodes come to the driver than a small multiple of those asked for, and totals still add up."""
+    rows = [(1000, {"env": "a"}, [f"leaf{k}", "main"], 1, "cpu") for k in range(500)]
+    df = spark.createDataFrame(rows, "ts_ms long, labels map<string,string>, stack array<string>, value long, profile_type string")
+    nodes = profiles.tree(profiles.merged(df))
+    strict = profiles.truncated(nodes, 4, ties=False).collect()
+    assert sorted((tuple(r.path), r.total, r.other) for r in strict) == [(("main",), 500, 498), (("main", "leaf0"), 1, 0), (("main", "leaf1"), 1, 0)]
+    cut = profiles.flamegraph(df, 4)
+    assert cut["total"] == 500 and len(cut["names"]) == 5
+    assert len(profiles.flamegraph(df, 100)["names"]) == 502
