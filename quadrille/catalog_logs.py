@@ -119,6 +119,10 @@ on_logs("patterns", lambda d: log_analytics.patterns(d.filter("labels['app'] = '
 on_logs("detected_fields", lambda d: log_analytics.detected_fields(d.filter("labels['app'] = 'logfmt'")), "SELECT unnest(['type', 'user', 'value', 'took', 'size', 'msg']) AS field, unnest(['string', 'int', 'float', 'duration', 'bytes', 'string']) AS type, unnest([(SELECT count(DISTINCT event_type) FROM ev), (SELECT count(DISTINCT user_id) FROM ev), (SELECT count(DISTINCT val) FROM ev), (SELECT count(DISTINCT took) FROM ev), (SELECT count(DISTINCT size) FROM ev), (SELECT count(DISTINCT event_id) FROM ev)])::BIGINT AS cardinality")
 
 
+on_logs("detected_labels", log_analytics.detected_labels, "SELECT 'app' AS label, 2::BIGINT AS cardinality UNION ALL SELECT 'event_type', count(DISTINCT event_type) FROM ev")
+on_logs("detected_values", lambda d: log_analytics.detected_values(d, "type", 3), "SELECT DISTINCT event_type AS value FROM ev ORDER BY value LIMIT 3")
+
+
 def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = signals.logs(spark, sf_dir).filter("labels['app'] = 'logfmt'")
     return log_analytics.without_deleted(d, [('{event_type="click"} |= "user=1 " or "user=2 "', LO, HI)]).select("ts_ns", "line")

@@ -176,6 +176,21 @@ def federation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CASES["promql_federation"] = (federation, BASE + "SELECT CASE WHEN user_id::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END AS tenant, s AS ts_ms, count(*)::DOUBLE AS value FROM gw GROUP BY ALL")
+
+
+def started(name: str, text: str, sql: str) -> None:
+    """On counters that say since when they count: the first ms of the day; every third user's counts grow on over the days, and only that tells their resets."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        grown = F.when(F.col("labels")["user_id"].cast("long") % 3 == 0, F.expr(f"ts div {DAY}") * 1_000_000.0).otherwise(F.lit(0.0))
+        samples = signals.metrics(spark, sf_dir).samples.filter("name = 'event_counter'").withColumn("v", F.col("v") + grown).withColumn("start_ts", F.expr(f"ts div {DAY} * {DAY}"))
+        df = promql.query_range(promql.Store(samples), text, START, END, STEP, lookback=DAY)
+        return df.select(*[F.col("labels")[k].alias(k) for k in BOTH], "ts_ms", F.round("value", 6).alias("value"))
+
+    CASES[f"promql_{name}"] = (run, BASE + sql)
+
+
+started("start_timestamp", "start_timestamp(event_counter)", f"SELECT event_type, user_id, s AS ts_ms, (max(ts) // {DAY} * {DAY // 1000})::DOUBLE AS value FROM counter JOIN grid ON ts > s - {DAY} AND ts <= s GROUP BY ALL")
+started("start_resets", "resets(event_counter[5d])", f"SELECT event_type, user_id, s AS ts_ms, (count(*) FILTER (pv IS NOT NULL AND (ts // {DAY} <> pts // {DAY} AND ts % {DAY} <> 0 OR user_id::BIGINT % 3 <> 0 AND v < pv)))::DOUBLE AS value FROM cw GROUP BY ALL")
 #: What native histograms hold: of each step, the events up to its day (h), those of the five days before it (w), in buckets of powers of two.
 NATIVE = f""", d AS (SELECT event_type, ((epoch_us(ts) // 1000) // {DAY} + 1) * {DAY} AS day, ceil(log2(value))::INT AS i, value FROM events WHERE value > 0),
 days AS (SELECT DISTINCT event_type, day FROM d),

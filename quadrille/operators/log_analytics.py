@@ -76,3 +76,17 @@ def without_deleted(logs: DataFrame, requests: list[tuple[str, int, int]]) -> Da
             test &= ~hit if s.args[0][0] == "!" else hit
         logs = logs.filter(~test)
     return logs
+
+
+def detected_labels(logs: DataFrame) -> DataFrame:
+    """(label, cardinality) of the streams' labels; those that only hold ids, numbers or uuids, are left out."""
+    pairs = logs.select(F.explode("labels").alias("label", "value")).distinct()
+    ident = F.col("value").rlike(r"^\d+$|^[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}$")
+    return pairs.groupBy("label").agg(F.count(F.lit(1)).alias("cardinality"), F.min(ident).alias("ids")).filter("not ids").select("label", "cardinality")
+
+
+def detected_values(logs: DataFrame, field: str, limit: int = 1000) -> DataFrame:
+    """(value) of one parsed field, metadata or label, the first ``limit`` in order."""
+    found = F.coalesce(logql.json_fields(F.col("line")), logql.logfmt_fields(F.col("line")))
+    value = F.coalesce(found[field], F.col("metadata")[field], F.col("labels")[field])
+    return logs.select(value.alias("value")).filter("value is not null").distinct().orderBy("value").limit(limit)

@@ -139,6 +139,11 @@ def audit(listed: DataFrame, found: DataFrame, by: str = "path") -> DataFrame:
     return listed.select(by, F.lit("missing").alias("state")).join(found, by, "left_anti").unionByName(found.select(by, F.lit("unlisted").alias("state")).join(listed, by, "left_anti"))
 
 
+def repaired(listed: DataFrame, found: DataFrame, by: str = "path") -> DataFrame:
+    """The index as it should be: entries whose blocks are there, and entries of blocks that it lacks, with what is known of them."""
+    return listed.join(found.select(by), by, "left_semi").unionByName(found.join(listed.select(by), by, "left_anti"), allowMissingColumns=True)
+
+
 def latest_per_series(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", labels_of(F.col("labels")).alias("ls")).agg(F.max_by("v", "ts").alias("v"), F.max("ts").alias("ts"))
 

@@ -398,6 +398,8 @@ HISTOGRAM = ("schema", "zero_threshold", "zero_count", "count", "sum", "pos", "n
 class Store:
     """Samples (name, labels map, ts ms, v, and is_stale if there), in any layout; blocks and recent data may be united.
 
+    A column ``start_ts`` says since when (ms, 0 or null: unknown) a counter has been counting; a start after the sample before is a reset.
+
     ``ranged`` gives those of low < ts <= high, or more, where a table can leave out what lies outside: by its time column or partitions.
     """
 
@@ -426,6 +428,14 @@ def to_steps(df: DataFrame, grid: Grid, width: int) -> DataFrame:
     return inside.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("s", F.col("k") * grid.step + grid.start).drop("k", "k0", "k1")
 
 
+def restarted(df: DataFrame) -> Column:
+    """Whether a sample's start lies after the sample before, or on it where that one had begun earlier."""
+    if "st" not in df.columns:
+        return F.lit(False)
+    c = F.col
+    return (c("st") != 0) & (c("st") < c("ts")) & ((c("st") > c("pts")) | ((c("st") == c("pts")) & (c("pst") != 0) & (c("pst") < c("pts"))))
+
+
 #: Windows of so many units or more are put together from dyadic blocks.
 DYADIC = 8
 #: How partial results of parts of a window are merged, by name; t0 and t1 are the times of the first and the last sample.
@@ -464,7 +474,7 @@ def over_windows(df: DataFrame, grid: Grid, width: int, keys: list[str], aggs: d
 # what each function of a range needs of a window: aggregates of v, ts, s and of a sample against its predecessor (pv, pts)
 def _extrapolated(kind: str, width: int) -> tuple[dict, Column]:
     counter = kind != "delta"
-    reset = F.when(F.col("v") < F.col("pv"), F.col("pv")).otherwise(lit(0)) if counter else lit(0)
+    reset = F.when(F.col("fell"), F.col("pv")).otherwise(lit(0)) if counter else lit(0)
     aggs = {"n": F.count(F.lit(1)), "t0": F.min("ts"), "t1": F.max("ts"), "v0": F.min_by("v", "ts"), "v1": F.max_by("v", "ts"), "rr": F.sum(reset), "r0": F.min_by(reset, F.col("ts"))}
     delta = F.col("v1") - F.col("v0") + (F.col("rr") - F.col("r0"))
     sampled = (F.col("t1") - F.col("t0")) / 1000.0
@@ -488,10 +498,10 @@ def range_function(fn: str, width: int, params: list[float]) -> tuple[dict, Colu
         inside = c("p.pts").isNotNull() & (c("p.pts") > c("s") - width)
         d = c("v1") - c("p.pv")
         if fn == "irate":
-            d = F.when(d < 0, c("v1")).otherwise(d) / ((c("p.ts") - c("p.pts")) / 1000.0)
-        return {"p": F.max(F.struct("ts", "pts", "pv")), "t1": F.max("ts"), "v1": F.max_by("v", "ts")}, F.when(inside, d), True
+            d = F.when(c("p.fell"), c("v1")).otherwise(d) / ((c("p.ts") - c("p.pts")) / 1000.0)
+        return {"p": F.max(F.struct("ts", "pts", "pv", "fell")), "t1": F.max("ts"), "v1": F.max_by("v", "ts")}, F.when(inside, d), True
     if fn in ("changes", "resets"):
-        moved = (c("v") < c("pv")) if fn == "resets" else ~((c("v") == c("pv")) | (F.isnan("v") & F.isnan("pv")))
+        moved = c("fell") if fn == "resets" else ~((c("v") == c("pv")) | (F.isnan("v") & F.isnan("pv")))
         flag = F.when(c("pv").isNotNull() & moved, lit(1)).otherwise(lit(0))
         return {"rr": F.sum(flag), "r0": F.min_by(flag, "ts"), "t0": F.min("ts")}, c("rr") - c("r0"), True
     if fn in ("deriv", "predict_linear"):
@@ -596,7 +606,8 @@ class Compiler:
                     one &= matches(value(k), op, v)
                 test = one if test is None else test | one
             where &= test
-        return df.filter(where).select("name", labels_of(F.col("labels")).alias("ls"), "ts", *(HISTOGRAM if histograms else ["v"]), stale.alias("stale"))
+        started = [F.coalesce("start_ts", F.lit(0)).cast("long").alias("st")] if not histograms and "start_ts" in df.columns else []
+        return df.filter(where).select("name", labels_of(F.col("labels")).alias("ls"), "ts", *(HISTOGRAM if histograms else ["v"]), *started, stale.alias("stale"))
 
     def pin(self, node, grid: Grid) -> int | None:
         at = node.at
@@ -627,6 +638,8 @@ class Compiler:
             df = self.vector(node.expr, inner)
         else:
             raise QueryError("a range is expected")
+        if "st" in df.columns:
+            df = df.withColumn("st", F.when(F.col("st") != 0, F.col("st") + node.offset).otherwise(0))
         return df.withColumn("ts", F.col("ts") + node.offset), node.range_ms
 
     def over_time(self, fn: str, node, params: list[float], grid: Grid) -> DataFrame:
@@ -639,7 +652,8 @@ class Compiler:
         aggs, result, pairs = range_function(fn, width, params)
         if pairs:
             w = Window.partitionBy("name", "ls").orderBy("ts")
-            df = df.withColumns({"pv": F.lag("v").over(w), "pts": F.lag("ts").over(w)})
+            df = df.withColumns({"pv": F.lag("v").over(w), "pts": F.lag("ts").over(w)} | ({"pst": F.lag("st").over(w)} if "st" in df.columns else {}))
+            df = df.withColumn("fell", F.coalesce((F.col("v") < F.col("pv")) | restarted(df), F.lit(False)))
         out = over_windows(df, grid, width, ["name", "ls"], aggs)
         name = F.col("name") if fn in KEEPS_NAME else F.lit(None).cast("string")
         return out.select(name.alias("name"), "ls", F.col("s").alias("ts"), result.alias("v")).filter("v is not null")
@@ -872,6 +886,14 @@ class Compiler:
             df = self.scan(sel, grid.start - sel.offset - self.lookback, grid.end - sel.offset)
             df = to_steps(df.withColumn("ts", F.col("ts") + sel.offset), grid, self.lookback).groupBy("name", "ls", "s").agg(F.max("ts").alias("t"))
             return df.select(none.alias("name"), "ls", F.col("s").alias("ts"), ((F.col("t") - sel.offset) / 1000.0).alias("v"))
+        if fn == "start_timestamp":
+            sel, nothing = args[0], self.steps(grid).filter("false").select(none.alias("name"), F.array().cast(LABELS).alias("ls"), "ts", lit(0).alias("v"))
+            if not isinstance(sel, Selector):  # starts belong to samples only
+                return nothing
+            df = self.scan(sel, grid.start - sel.offset - self.lookback, grid.end - sel.offset)
+            start = F.col("st") if "st" in df.columns else F.lit(0).cast("long")
+            df = to_steps(df.withColumn("ts", F.col("ts") + sel.offset), grid, self.lookback).groupBy("name", "ls", "s").agg(F.max_by(F.struct(start.alias("st"), "stale"), "ts").alias("x"))
+            return df.filter("not x.stale").select(none.alias("name"), "ls", F.col("s").alias("ts"), (F.col("x.st") / 1000.0).alias("v"))
         df = self.vector(vectors[0] if vectors else args[0], grid)
         v = F.col("v")
         if fn in MATH:

@@ -240,3 +240,20 @@ def test_shards_and_tenants(spark):
     assert storage.federated({"t1": df}, "t1").collect() == df.collect()
     with pytest.raises(ValueError, match="t9"):
         storage.federated({"t1": df}, "t1|t9")
+
+
+def test_start_timestamps(spark):
+    """A start after the sample before, or on it where that one had begun earlier, is a reset though the value has not fallen."""
+    rows = [("m", {}, 1000, 10.0, 500), ("m", {}, 2000, 12.0, 500), ("m", {}, 3000, 15.0, 2500), ("m", {}, 4000, 20.0, 3000), ("m", {}, 5000, 21.0, 0), ("m", {}, 6000, 22.0, 7000)]
+    df = spark.createDataFrame(rows, "name string, labels map<string,string>, ts long, v double, start_ts long")
+    at = lambda text, t=6000: [r.value for r in promql.query(promql.Store(df), text, t).collect()]
+    assert at("resets(m[6s])") == [2.0] and at("changes(m[6s])") == [5.0] and at("delta(m[6s])") == [pytest.approx(12 * 6 / 5)]
+    plain = [r.value for r in promql.query(promql.Store(df.drop("start_ts")), "increase(m[6s])", 6000).collect()][0]
+    assert at("increase(m[6s])")[0] > plain and at("irate(m[2s])", 4000) == [20.0] and at("irate(m[2s])", 5000) == [1.0]
+    assert at("start_timestamp(m)", 3500) == [2.5] and at("start_timestamp(m)", 5500) == [0.0] and at("start_timestamp(m + 1)") == []
+
+
+def test_repair(spark):
+    listed = spark.createDataFrame([("a", 1), ("b", 2)], "path string, rows int")
+    found = spark.createDataFrame([("b",), ("c",)], "path string")
+    assert sorted((r.path, r.rows or 0) for r in storage.repaired(listed, found).collect()) == [("b", 2), ("c", 0)]
