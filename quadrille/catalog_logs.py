@@ -116,6 +116,7 @@ on_logs("series", lambda d: log_analytics.series(d).select(F.col("labels")["app"
 on_logs("index_stats", log_analytics.index_stats, "SELECT (SELECT count(DISTINCT event_type) * 2 FROM ev)::BIGINT AS streams, (SELECT count(*) * 2 FROM ev)::BIGINT AS entries, ((SELECT sum(strlen(line)) FROM a) + (SELECT sum(strlen(line)) FROM j))::BIGINT AS bytes")
 on_logs("volume", lambda d: log_analytics.volume(d, ["event_type"], DAY), f"SELECT event_type, (ts_ns // 1000000 // {DAY} * {DAY})::BIGINT AS bucket_ms, sum(strlen(line))::BIGINT AS bytes FROM (SELECT * FROM a UNION ALL SELECT * FROM j) GROUP BY ALL")
 on_logs("patterns", lambda d: log_analytics.patterns(d.filter("labels['app'] = 'logfmt'"), DAY), f"SELECT format('type={{}} user=<_> value=<_> took=<_> size=<_> msg=\"event <_> done\"', event_type) AS pattern, (ts_ns // 1000000 // {DAY} * {DAY})::BIGINT AS bucket_ms, count(*) AS n FROM a GROUP BY ALL")
+on_logs("patterns_json", lambda d: log_analytics.patterns(d.filter("labels['app'] = 'json'"), DAY), f"SELECT format('{{{{\"type\":\"{{}}\",\"user\":\"<_>\",\"value\":\"<_>\",\"nested\":{{{{\"k\":\"<_>\"}}}}}}}}', event_type) AS pattern, (ts_ns // 1000000 // {DAY} * {DAY})::BIGINT AS bucket_ms, count(*) AS n FROM j GROUP BY ALL")
 on_logs("detected_fields", lambda d: log_analytics.detected_fields(d.filter("labels['app'] = 'logfmt'")), "SELECT unnest(['type', 'user', 'value', 'took', 'size', 'msg']) AS field, unnest(['string', 'int', 'float', 'duration', 'bytes', 'string']) AS type, unnest([(SELECT count(DISTINCT event_type) FROM ev), (SELECT count(DISTINCT user_id) FROM ev), (SELECT count(DISTINCT val) FROM ev), (SELECT count(DISTINCT took) FROM ev), (SELECT count(DISTINCT size) FROM ev), (SELECT count(DISTINCT event_id) FROM ev)])::BIGINT AS cardinality")
 
 

@@ -32,17 +32,36 @@ def volume(logs: DataFrame, names: list[str], step_ms: int) -> DataFrame:
     return logs.groupBy(*keys, bucket(step_ms).alias("bucket_ms")).agg(F.sum(F.octet_length("line")).cast("long").alias("bytes"))
 
 
+def varies(token: Column) -> Column:
+    """Whether a token is data: it begins with a digit, is a number, a uuid, 16 or more hexadecimal digits, or 16 or more letters and digits with some of both."""
+    bare = F.regexp_replace(token, r'^"+|"+$', "")
+    shapes = (
+        r"^\d", r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$", r"^(?i)[+-]?(?:inf|infinity|nan)$", r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^[0-9a-fA-F]{16,}$",
+        r"^(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9]{16,}$",
+    )
+    return bare.rlike("|".join(f"(?:{x})" for x in shapes))
+
+
 def token_pattern(token: Column) -> Column:
-    """A token, or <_> in place of what varies: numbers, units, ids in hexadecimal, uuids; key=value keeps its key."""
-    varies = r'^"?[+-]?\d.*$|^"?[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}"?$|^"?(?=.*\d)[0-9a-fA-F]{8,}"?$'
-    key = F.regexp_extract(token, r"^([A-Za-z_][\w.-]*=)", 1)
-    value = F.regexp_replace(token, r"^[A-Za-z_][\w.-]*=", "")
-    return F.when((key != "") & value.rlike(varies), F.concat(key, F.lit("<_>"))).when(token.rlike(varies), F.lit("<_>")).otherwise(token)
+    """A token, or <_> in place of data; key=value keeps its key."""
+    key, value = F.regexp_extract(token, r"(?s)^([^=]+=)(.+)$", 1), F.regexp_extract(token, r"(?s)^([^=]+=)(.+)$", 2)
+    return F.when(F.instr(token, "=") > 0, F.when((key != "") & varies(value), F.concat(key, F.lit("<_>"))).otherwise(token)).when(varies(token), F.lit("<_>")).otherwise(token)
+
+
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|[\[\]{},]'
+
+
+def json_pattern(line: Column) -> Column:
+    """A JSON object with its keys, <_> for numbers and for the words of texts that are data; without white space between its parts."""
+    words = lambda t: F.array_join(F.transform(F.filter(F.split(F.regexp_replace(t, r'^"|"$', ""), r"\s+"), lambda w: w != ""), lambda w: F.when(varies(w), F.lit("<_>")).otherwise(w)), " ")
+    part = lambda t: F.when(t.rlike(r":$"), F.regexp_replace(t, r"\s+:$", ":")).when(t.startswith('"'), F.concat(F.lit('"'), words(t), F.lit('"'))).when(t.rlike(r"^[-\d]"), F.lit('"<_>"')).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(JSON_TOKEN), 0), part), "")
 
 
 def patterns(logs: DataFrame, step_ms: int) -> DataFrame:
     """(pattern, bucket_ms, n)."""
-    text = F.array_join(F.transform(F.split("line", r"\s+"), token_pattern), " ")
+    words = F.array_join(F.transform(F.filter(F.split("line", r"\s+"), lambda w: w != ""), token_pattern), " ")
+    text = F.when(F.col("line").rlike(r"^\s*\{") & F.from_json("line", logql.JSON_MAP).isNotNull(), json_pattern(F.col("line"))).otherwise(words)
     return logs.groupBy(text.alias("pattern"), bucket(step_ms).alias("bucket_ms")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -154,3 +154,16 @@ def test_deletion_takes_all_alternatives(spark):
     assert sorted(r.line for r in left.collect()) == ["one a", "two b"]
     left = log_analytics.without_deleted(logs, [('{app="x"} |= "a"', 2 * SECOND, 10**18)])
     assert left.count() == 4
+
+
+PATTERNS = {
+    "took 12ms user=7 id=abc done": "took <_> user=<_> id=abc done", "req 0123456789abcdef0123 deadbeef Abcdefgh12345678 abcdefghijklmnopqrst": "req <_> deadbeef <_> abcdefghijklmnopqrst",
+    "6ba7b810-9dad-11d1-80b4-00c04fd430c8 x=6ba7b810-9dad-11d1-80b4-00c04fd430c8 -5 +1.5e3 -5a inf =3 k=": "<_> x=<_> <_> <_> -5a <_> =3 k=", 'a  "17"  b="9x" c=d=5': '<_>'.join(["a ", ' b=', " c=d=5"]),
+    '{"a": 1, "msg" : "got 15 of x", "ok":true, "n":null, "list":[1, "two", {"z":-2.5e3}]}': '{"a":"<_>","msg":"got <_> of x","ok":true,"n":null,"list":["<_>","two",{"z":"<_>"}]}', "{broken 5": "{broken <_>",
+}
+
+
+def test_patterns(spark):
+    logs = table(spark, [*PATTERNS])
+    got = {r.pattern for r in log_analytics.patterns(logs, 1000).collect()}
+    assert got == set(PATTERNS.values())
