@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, quoted, save, unused
+from .common import discard, mix64, quoted, save, unused
 from .components import components
 
 K, THRESHOLD = 5, 0.8
@@ -291,7 +291,9 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = save(_texts(docs, reps, near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct()))
     one, two = (texts.select(F.col("uid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = near.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return save(both.mapInArrow(_verify, "a long, b long"))
+    links = save(both.mapInArrow(_verify, "a long, b long"))
+    discard(near, texts)
+    return links
 
 
 def band() -> Column:
@@ -299,8 +301,8 @@ def band() -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / float(-1.001 * np.log(THRESHOLD))).cast("int")
 
 
-def _blocks(rows: DataFrame, weight, most: int, columns: list[str]) -> DataFrame:
-    """(same, key, block_a, block_b): pairs of blocks of a bucket's rows (key, uid, component, n, …), about ``most`` of ``weight`` each.
+def _blocks(rows: DataFrame, weight, most: int, columns: list[str], compare: Callable, schema: str, distinct: bool = False) -> DataFrame:
+    """What ``compare`` makes, written, of (same, key, block_a, block_b): pairs of blocks of a bucket's rows (key, uid, component, n, …), about ``most`` of ``weight`` each.
 
     A block holds rows of one band of sizes and, where a component fills a block or more, of that component alone (``only``; -1
     for the others).  Pairs of blocks of one such component, and of bands that are not adjacent, are left out.
@@ -319,7 +321,11 @@ def _blocks(rows: DataFrame, weight, most: int, columns: list[str]) -> DataFrame
     met = one.join(heads.select("key", "band", F.col("only").alias("only_b"), F.col("id").alias("b")), ["key", "band"])
     met = met.filter(((F.col("band") > F.col("band_a")) | (F.col("a") <= F.col("b"))) & ((F.col("only_a") < 0) | (F.col("only_a") != F.col("only_b"))))
     two = blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
-    return met.select("key", "a", "b").join(two, "b").join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").select((F.col("a") == F.col("b")).alias("same"), "key", "block_a", "block_b")
+    pairs = met.select("key", "a", "b").join(two, "b").join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").select((F.col("a") == F.col("b")).alias("same"), "key", "block_a", "block_b")
+    found = pairs.mapInArrow(compare, schema)
+    made = save(found.distinct() if distinct else found)
+    discard(sums, blocks)
+    return made
 
 
 def _sides(batch: pa.RecordBatch, row: int) -> tuple:
@@ -400,10 +406,12 @@ def _settled(docs: DataFrame, reps: DataFrame, open_: DataFrame) -> DataFrame:
     """Links between the components of buckets (key, uid, component) that hold several."""
     facts = open_.join(reps.select("uid", "n", "bits"), "uid")
     weight = 1 + F.floor(F.octet_length("bits") / UNIT)
-    some = save(_blocks(facts, weight, BLOCK, ["uid", "component", "n", "bits"]).mapInArrow(_partners, "key long, uid long").distinct())
+    some = _blocks(facts, weight, BLOCK, ["uid", "component", "n", "bits"], _partners, "key long, uid long", distinct=True)
     arrays = save(_texts(docs, reps, some.select("uid").distinct()).mapInArrow(_shingle_rows, "uid long, x binary"))
     rows = open_.join(some, ["key", "uid"]).join(arrays, "uid").withColumn("n", (F.octet_length("x") / 8).cast("int"))
-    return save(_blocks(rows, F.col("n"), BLOCK_SHINGLES, ["uid", "component", "x"]).mapInArrow(_block_links, "a long, b long"))
+    links = _blocks(rows, F.col("n"), BLOCK_SHINGLES, ["uid", "component", "x"], _block_links, "a long, b long")
+    discard(some, arrays)
+    return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -418,29 +426,37 @@ def classes(docs: DataFrame) -> DataFrame:
     best = F.min(F.struct("doc_id", "text_hash", "n", "bits", "keys")).alias("r")
     reps = save(worded.groupBy("c1", "c2").agg(best).selectExpr("monotonically_increasing_id() uid", "c1", "c2", "r.doc_id rep", "r.text_hash text_hash", "r.n n", "r.bits bits", "r.keys keys"))
     rows = save(worded.select("doc_id", "text_hash", "c1", "c2").join(reps.select("c1", "c2", "uid"), ["c1", "c2"]).select("doc_id", "text_hash", "uid"))
+    wordless = save(sketched.filter("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(None).cast("boolean").alias("first")))
+    discard(sketched)
     members = reps.select("uid", F.explode("keys").alias("key")).distinct()
     buckets = save(members.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     held = save(members.join(buckets, "key").select("key", "uid", "leader", "size"))
+    discard(buckets)
     links = _links(docs, reps, held.filter("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")))
     # ids that hold several texts hold them together
     several = save(rows.groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("z")).filter("a < z").select("doc_id", "a"))
     if not several.isEmpty():
-        links = save(links.unionByName(rows.join(several, "doc_id").filter("uid <> a").select("a", F.col("uid").alias("b")).distinct()))
+        verified, links = links, save(links.unionByName(rows.join(several, "doc_id").filter("uid <> a").select("a", F.col("uid").alias("b")).distinct()))
+        discard(verified)
     # buckets of two are settled; of larger ones those that hold several components are not
     label = save(components(links))
     placed = held.filter("size > 2").join(label.withColumnRenamed("id", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     open_ = save(placed.join(mixed, "key"))
     if not open_.isEmpty():  # what is known already goes on as a star of each component
-        label = save(components(label.toDF("a", "b").unionByName(_settled(docs, reps, open_))))
+        settled, star = _settled(docs, reps, open_), label
+        label = save(components(star.toDF("a", "b").unionByName(settled)))
+        discard(settled, star)
     # the smallest id of each class and, of its texts, the one with the smallest hash
     linked = reps.select("uid", "rep", "text_hash").join(label.withColumnRenamed("id", "uid"), "uid")
     heads = linked.groupBy("component").agg(F.min(F.struct("rep", "text_hash")).alias("head"))
     known = save(label.join(heads, "component").select(F.col("id").alias("uid"), "head"))
     final = reps.select("uid", F.struct("rep", "text_hash").alias("own")).join(known, "uid", "left").select("uid", F.coalesce("head", "own").alias("head"))
     own = F.struct(F.col("doc_id").alias("rep"), "text_hash")
-    found = rows.join(save(final), "uid").select("doc_id", "text_hash", F.col("head.rep").alias("class_id"), (own == F.col("head")).alias("first"))
-    return found.unionByName(sketched.filter("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(None).cast("boolean").alias("first")))
+    final = save(final)
+    discard(reps, held, links, label, several, open_, known)
+    found = rows.join(final, "uid").select("doc_id", "text_hash", F.col("head.rep").alias("class_id"), (own == F.col("head")).alias("first"))
+    return found.unionByName(wordless)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
