@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, save, unused
+from .common import discard, quoted, save, unused
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK, MOST_SOURCES = 1024, 1_000_000
@@ -164,6 +164,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             break
         level, most_blocks = level + 1, -(-2 * most_blocks // block)
         left = flown.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("blocks", F.ceil(F.col("blocks") * 2 / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("tie", F.lit(level)), "blocks").cast("int"))
+    discard(sized)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
