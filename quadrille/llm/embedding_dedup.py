@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen_by, sample_threshold, save
+from .common import chosen_by, discard, sample_threshold, save
 from .components import components, local_labels
 
 THRESHOLD = 0.9
@@ -270,6 +270,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     passing = tiles.withColumns({"group": F.explode("groups"), "chunk": per(layout.chunk), "passing": F.lit(True)}).select(columns)
     met = held.unionByName(passing).repartition("group", "chunk").sortWithinPartitions("group", "chunk", "passing", "tile")
     links = save(met.mapInArrow(lambda it: _compare(it, axes, kind, threshold), "rep long, links long, root long"))
+    discard(placed, tiles)
     sums = links.groupBy("rep").agg(F.sum("links").alias("links"))
     own = reps.select("rep", "first")
     classes = save(components(links.select("rep", "root")).withColumnRenamed("id", "rep").join(own, "rep"))
@@ -279,12 +280,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         shared = valid.join(several, "vec_id").join(reps.select("x", "rep"), "x").select("vec_id", "rep").distinct()
         tied = shared.join(shared.groupBy("vec_id").agg(F.min("rep").alias("root")), "vec_id").select("rep", "root")
         edges = save(links.select("rep", "root").unionByName(tied))
-        classes = save(components(edges).withColumnRenamed("id", "rep").join(own, "rep"))
+        first, classes = classes, save(components(edges).withColumnRenamed("id", "rep").join(own, "rep"))
+        discard(edges, first)
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     known = save(
         reps.join(sums, "rep", "left").join(classes.join(least, "component").select("rep", "component_id"), "rep", "left")
         .select("x", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     )
+    discard(reps, links, classes, several)
     often = known.filter(F.col("n") > rows_in_all / HOT)  # HOT vectors at most
     out = ["vec_id", "n_links", "component_id"]
     if often.isEmpty():

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, quoted, save, unused
+from .common import discard, numbered, quoted, save, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 WHITE = b" \t\n\x0b\x0c\r"
@@ -101,6 +101,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     keys = save(texts.mapInArrow(lambda it: _line_hashes(it, min_chars), KEYS))  # the ranges are sampled from it, then it is read
     spread = keys.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
     streamed = save(spread.mapInArrow(lambda it: _stream(it, min_docs), STREAM))
+    discard(keys)
     decided = streamed.filter(F.col("kind") == DROP).select("doc_id", "text_hash", "positions")
     whole = (
         streamed.filter(F.col("kind") == STATS).groupBy("h1", "h2")
