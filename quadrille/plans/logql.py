@@ -330,11 +330,14 @@ def json_fields(line: Column) -> Column:
 LOGFMT = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
 
 
-def logfmt_fields(line: Column, keep_empty: bool = False) -> Column:
-    """Fields by cleaned names, of which the first of equal ones stays."""
+def logfmt_fields(line: Column, keep_empty: bool = False, only: set[str] | None = None) -> Column:
+    """Fields by cleaned names, of which the first of equal ones stays; those named in ``only`` if it is given."""
     value = lambda t: let(F.regexp_extract(t, r"(?s)^[^=]+=(.*)$", 1), lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r'\\(.)', "$1")).otherwise(v))
     pair = lambda t: F.struct(clean(F.regexp_extract(t, r"^([^=]+)=", 1)).alias("key"), value(t).alias("value"))
-    pairs = F.transform(F.regexp_extract_all(line, F.lit(LOGFMT), 0), pair)
+    found = F.regexp_extract_all(line, F.lit(LOGFMT), 0)
+    if only is not None:
+        found = F.filter(found, lambda t: clean(F.regexp_extract(t, r"^([^=]+)=", 1)).isin(*only))
+    pairs = F.transform(found, pair)
     return as_map(pairs if keep_empty else F.filter(pairs, lambda p: p["value"] != ""))
 
 
@@ -389,17 +392,25 @@ class LogCompiler(promql.Compiler):
         self.logs = logs if isinstance(logs, LogTable) else LogTable(logs)
         self.spark, self.top, self.info_by = self.logs.rows.sparkSession, grid, promql.INFO_BY
 
-    def rows(self, node: Logs, low: int, high: int) -> DataFrame:
-        """Log rows with low < ts_ns <= high that pass the pipeline."""
+    def rows(self, node: Logs, low: int, high: int, only: set[str] | None = None) -> DataFrame:
+        """Log rows with low < ts_ns <= high that pass the pipeline.  ``only``: the labels that are wanted of what the last parser finds."""
         test = (F.col("ts_ns") > low) & (F.col("ts_ns") <= high)
         for k, op, v in node.matchers:
             test &= matches(F.col("labels")[k], op, v, absent_is_empty=False)
         df = self.logs.between(low, high).filter(test).select("ts_ns", "labels", "line", F.map_concat("labels", F.map_filter("metadata", lambda k, v: ~F.map_contains_key("labels", k))).alias("lab"), F.lit("").alias("err"))
-        for s in filters_first(node.stages):
-            df = self.apply(df, s)
+        stages = filters_first(node.stages)
+        last = max((k for k, s in enumerate(stages) if s.kind not in ("filter", "unwrap", "line")), default=-1)
+        named = lambda e: named(e[1]) | named(e[2]) if e[0] in ("and", "or") else {e[1]}
+        for k, s in enumerate(stages):
+            if k == last and only is not None:
+                for later in stages[k:]:
+                    only = only | (named(later.args[0]) if later.kind == "filter" else {later.args[0]} if later.kind == "unwrap" else set())
+                df = self.apply(df, s, only | {n.removesuffix("_extracted") for n in only})
+            else:
+                df = self.apply(df, s)
         return df
 
-    def apply(self, df: DataFrame, s: Stage) -> DataFrame:
+    def apply(self, df: DataFrame, s: Stage, only: set[str] | None = None) -> DataFrame:
         line, lab, err = F.col("line"), F.col("lab"), F.col("err")
         fail = lambda bad, name: F.when((err == "") & bad, F.lit(name)).otherwise(err)
         if s.kind == "line":
@@ -414,10 +425,12 @@ class LogCompiler(promql.Compiler):
                 path = lambda p: "$." + re.sub(r'\["([^"]+)"\]', r".\1", p)
                 got = F.create_map(*[x for name, _, p, _ in wanted for x in (F.lit(name), F.coalesce(F.get_json_object(line, path(p or name)), F.lit("")))])
                 return df.withColumn("lab", once(merged(lab, got)))
-            return df.withColumn("_f", once(json_fields(line))).select("ts_ns", "labels", "line", once(F.when(F.col("_f").isNull(), lab).otherwise(merged(lab, F.col("_f")))).alias("lab"), fail(F.col("_f").isNull(), "JSONParserErr").alias("err"))
+            found = json_fields(line)
+            found = found if only is None else F.map_filter(found, lambda k, v: k.isin(*only))
+            return df.withColumn("_f", once(found)).select("ts_ns", "labels", "line", once(F.when(F.col("_f").isNull(), lab).otherwise(merged(lab, F.col("_f")))).alias("lab"), fail(F.col("_f").isNull(), "JSONParserErr").alias("err"))
         if s.kind == "logfmt":
             wanted, flags = s.args
-            df = df.withColumn("_f", once(logfmt_fields(line, "keep-empty" in flags)))
+            df = df.withColumn("_f", once(logfmt_fields(line, "keep-empty" in flags, None if wanted else only)))
             if "strict" in flags:
                 df = df.withColumn("err", fail(logfmt_broken(line), "LogfmtParserErr"))
             if wanted:
@@ -499,7 +512,8 @@ class LogCompiler(promql.Compiler):
     def range(self, node: Range, grid: Grid) -> DataFrame:
         fn, width, none = node.fn, node.range_ms, F.lit(None).cast("string")
         offset = node.offset * NS
-        rows = self.rows(node.logs, (grid.start - width) * NS - offset, grid.end * NS - offset)
+        only = set(node.labels) if node.by else None
+        rows = self.rows(node.logs, (grid.start - width) * NS - offset, grid.end * NS - offset, only)
         if fn == "absent_over_time":
             bad = F.when(F.col("err") != "", F.raise_error(F.concat(F.lit("pipeline error: "), F.col("err"))).cast("long")).otherwise(F.col("ts_ns") + offset)
             have = to_steps(rows.withColumn("ts", bad), Grid(grid.start * NS, grid.end * NS, grid.step * NS), width * NS).select((F.col("s") / NS).cast("long").alias("ts")).distinct()

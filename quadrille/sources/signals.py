@@ -51,8 +51,9 @@ DAY_MS = 86_400_000
 def metrics(spark: SparkSession, sf_dir: str) -> Store:
     """Gauge ``event_value``, daily resetting counter ``event_counter``, classic histogram ``quantity_bucket`` and ``user_info``."""
     line = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
-    les = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.lit(n).alias("text")) for b, n in ((10.0, "10"), (20.0, "20"), (30.0, "30"), (40.0, "40"), (50.0, "50"), (float("inf"), "+Inf"))]))
-    counts = line.withColumn("b", les).groupBy("l_returnflag", "b.text").agg(F.sum((F.col("l_quantity") <= F.col("b.le")).cast("double")).alias("v"))
+    bounds = {"10": 10.0, "20": 20.0, "30": 30.0, "40": 40.0, "50": 50.0, "+Inf": float("inf")}
+    sums = line.groupBy("l_returnflag").agg(*[F.sum((F.col("l_quantity") <= x).cast("double")).alias(text) for text, x in bounds.items()])
+    counts = sums.select("l_returnflag", F.explode(F.array(*[F.struct(F.lit(t).alias("text"), F.col(t).alias("v")) for t in bounds])).alias("b")).select("l_returnflag", "b.text", "b.v")
     buckets = counts.select(F.lit("quantity_bucket").alias("name"), text_map(flag="l_returnflag", le="text").alias("labels"), F.lit(1705276800000).cast("long").alias("ts"), "v")
     users = event_samples(spark, sf_dir).select("user_id").distinct()
     info = users.select(F.lit("user_info").alias("name"), F.create_map(F.lit("user_id"), F.col("user_id"), F.lit("tier"), F.when(F.col("user_id").cast("long") % 2 == 0, "even").otherwise("odd")).alias("labels"), F.lit(1705276800000).cast("long").alias("ts"), F.lit(1.0).alias("v"))
