@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,32 +67,77 @@ def number_trace(ids: list, parents: list) -> tuple[list[int], list[int], list[i
     return left, right, above
 
 
+def number_rows(trace: np.ndarray, ids: np.ndarray, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``number_trace`` for many whole traces at once: rows of trace numbers, which rise, span numbers and parents' numbers (-1: none)."""
+    n, wide = len(ids), int(max(ids.max(initial=0), parents.max(initial=0))) + 1
+    key = trace.astype(np.int64) * wide + ids
+    order = np.argsort(key, kind="stable")
+    wanted = trace.astype(np.int64) * wide + parents
+    at = np.searchsorted(key[order], wanted, "right") - 1  # of equal ids the last row
+    found = (parents >= 0) & (at >= 0) & (key[order][at] == wanted)
+    up = np.where(found, order[at], -1)
+    up[up == np.arange(n)] = -1
+    group = np.where(up >= 0, up, n + trace)  # siblings, and the roots of a trace, in row order
+    siblings = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[siblings], np.arange(n))
+    ends = np.searchsorted(group[siblings], np.arange(n), "right")
+    level, levels, reached = np.flatnonzero(up < 0), [], np.zeros(n, bool)
+    while len(level):
+        reached[level] = True
+        levels.append(level)
+        sizes = ends[level] - starts[level]
+        level = siblings[np.repeat(starts[level] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    size = np.ones(n, np.int64)
+    for level in reversed(levels[1:]):
+        np.add.at(size, up[level], size[level])
+    before = np.cumsum(size[siblings]) - size[siblings]
+    first = np.searchsorted(group[siblings], group[siblings])
+    prior = np.empty(n, np.int64)
+    prior[siblings] = before - before[first]
+    left = 1 + 2 * prior
+    for level in levels[1:]:
+        left[level] += left[up[level]]
+    right, above = left + 2 * size - 1, np.where(up >= 0, left[up], -1)
+    for t in np.unique(trace[~reached]):  # traces with a cycle of parents
+        rows = np.flatnonzero(trace == t)
+        left[rows], right[rows], above[rows] = number_trace(ids[rows].tolist(), [p if p >= 0 else None for p in parents[rows].tolist()])
+    return left, right, above
+
+
+#: Rows that are numbered at once, or as many as a trace has.
+ROWS = 50_000
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (trace_id, span_id, parent_span_id) sorted by trace; whole traces are numbered as they end."""
-    trace, ids, parents = None, [], []
 
-    def flush() -> pa.RecordBatch:
-        left, right, above = number_trace(ids, parents)
-        return pa.RecordBatch.from_arrays([pa.array([trace] * len(ids), kinds[0]), pa.array(ids, kinds[1]), *(pa.array(x, pa.int32()) for x in (left, right, above))], ["trace_id", "span_id", "ns_left", "ns_right", "ns_parent"])
+    def numbered(t: pa.Table, trace: np.ndarray) -> pa.RecordBatch:
+        both = pa.chunked_array([*t["span_id"].chunks, *t["parent_span_id"].chunks], t.schema.field("span_id").type).combine_chunks().dictionary_encode().indices
+        codes = both.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        cols = number_rows(trace, codes[: len(t)], codes[len(t) :])
+        return pa.RecordBatch.from_arrays([t["trace_id"].combine_chunks(), t["span_id"].combine_chunks(), *(pa.array(c.astype(np.int32)) for c in cols)], ["trace_id", "span_id", "ns_left", "ns_right", "ns_parent"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def traces(t: pa.Table) -> np.ndarray:
+        return t["trace_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
-    out, rows = [], 0
     for batch in batches:
-        kinds = batch.schema.types
-        for t, s, p in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if t != trace and ids:
-                out.append(flush())
-                rows += len(ids)
-                ids, parents = [], []
-                if rows > 20_000:
-                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                    out, rows = [], 0
-            trace = t
-            ids.append(s)
-            parents.append(p)
-    if ids:
-        out.append(flush())
-    if out:
-        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            t = pa.Table.from_batches(held)
+            trace = traces(t)
+            whole = int(np.flatnonzero(trace != trace[-1])[-1]) + 1 if (trace != trace[-1]).any() else 0
+            if whole:
+                yield numbered(t.slice(0, whole), trace[:whole] - trace[:whole].min())
+            held = t.slice(whole).to_batches()
+            rows = t.num_rows - whole
+    if rows:
+        t = pa.Table.from_batches(held)
+        trace = traces(t)
+        yield numbered(t, trace - trace.min())
 
 
 def of_traces(spans: DataFrame, touched: DataFrame | None) -> DataFrame:
