@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LABELS, NAN, compare, fdiv, flog, fmod, keep, label, labels_of, lit, matches, quantile, real, skip_nan, with_label, without
+from ..functions.tasks import TASK_BYTES, dealt, tasks_for
 from ..operators import native_histograms as nh
 from .lexing import QueryError, Tokens, duration_ms, number, unquote
 
@@ -438,6 +439,8 @@ def restarted(df: DataFrame) -> Column:
 
 #: Windows of so many units or more are put together from dyadic blocks.
 DYADIC = 8
+#: A series of so many units or fewer may be one task's work.
+SERIES_UNITS = 100_000
 #: How partial results of parts of a window are merged, by name; t0 and t1 are the times of the first and the last sample.
 MERGES = {
     "n": F.sum, "x_sum": F.sum, "rr": F.sum, "t0": F.min, "t1": F.max, "x_min": lambda c: skip_nan(F.min, F.col(c)), "x_max": lambda c: skip_nan(F.max, F.col(c)), "one": F.max, "p": F.max,
@@ -445,12 +448,13 @@ MERGES = {
 }
 
 
-def over_windows(df: DataFrame, grid: Grid, width: int, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+def over_windows(df: DataFrame, grid: Grid, width: int, keys: list[str], aggs: dict[str, Column], tasks: int = 0) -> DataFrame:
     """(keys, s, aggregates) of the windows (s - width, s] of the grid that hold rows of ``df`` (keys, ts, …).
 
     Rows of short windows are copied to the steps whose windows hold them.  For long ones, rows are summed into units, the greatest
     common divisor of step and width, and these into blocks of 1, 2, 4, … units; each window is the disjoint union of a few
-    blocks, so that a unit makes 2 log2(width / unit) rows instead of width / unit.
+    blocks, so that a unit makes 2 log2(width / unit) rows instead of width / unit.  Given ``tasks``, units are dealt
+    out to so many by keys, where a series has a bounded number of them; blocks and windows then need no further exchange.
     """
     unit = math.gcd(width, grid.step)
     m, q = width // unit, grid.step // unit
@@ -460,6 +464,8 @@ def over_windows(df: DataFrame, grid: Grid, width: int, keys: list[str], aggs: d
     base, top = grid.start - width, m.bit_length() - 1
     inside = df.filter((F.col("ts") > base) & (F.col("ts") <= grid.end))
     units = inside.withColumn("u", floor_div(F.col("ts") - (base + 1), unit)).groupBy(*keys, "u").agg(*[a.alias(k) for k, a in aggs.items()])
+    if m + (grid.n - 1) * q <= SERIES_UNITS:
+        units = dealt(units, tasks, *keys)
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("l"), F.lit(1 << k).cast("long").alias("w")) for k in range(top + 1)]))
     blocks = units.withColumn("_b", levels).withColumns({"l": F.col("_b.l"), "w": F.col("_b.w")}).withColumn("b", F.call_function("div", "u", "w")).groupBy(*keys, "l", "w", "b").agg(*merge)
     # a window that starts at unit a takes a block if it holds it and does not hold the block of twice the size around it
@@ -650,11 +656,13 @@ class Compiler:
             return self.extended(fn, node, grid)
         df, width = self.windows(node, grid)
         aggs, result, pairs = range_function(fn, width, params)
+        tasks = tasks_for(df, TASK_BYTES // 2)  # a sample makes several rows of blocks and windows
         if pairs:
+            df = dealt(df, tasks, "name", "ls")
             w = Window.partitionBy("name", "ls").orderBy("ts")
             df = df.withColumns({"pv": F.lag("v").over(w), "pts": F.lag("ts").over(w)} | ({"pst": F.lag("st").over(w)} if "st" in df.columns else {}))
             df = df.withColumn("fell", F.coalesce((F.col("v") < F.col("pv")) | restarted(df), F.lit(False)))
-        out = over_windows(df, grid, width, ["name", "ls"], aggs)
+        out = over_windows(df, grid, width, ["name", "ls"], aggs, 0 if pairs else tasks)
         name = F.col("name") if fn in KEEPS_NAME else F.lit(None).cast("string")
         return out.select(name.alias("name"), "ls", F.col("s").alias("ts"), result.alias("v")).filter("v is not null")
 

@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.operators import storage
 from quadrille.plans import promql
@@ -59,6 +60,21 @@ def test_long_windows_equal_direct_ones(store, monkeypatch, fn):
         assert long.keys() == short.keys() and all(long[k] == pytest.approx(short[k], nan_ok=True, abs=1e-9) for k in long), (fn, width)
 
 
+@pytest.mark.parametrize("fn", ["resets", "increase", "avg_over_time", "first_over_time", "last_over_time"])
+def test_long_windows_are_shared_by_size(spark, tmp_path, monkeypatch, fn):
+    """The tasks of a long window's blocks grow with the bytes of the input, with the same results."""
+    rows = [("c", {"k": str(k)}, t * 700 + k, float((t * (k + 3)) % 11)) for k in range(200) for t in range(60)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "c"))
+    files = promql.Store(spark.read.parquet(str(tmp_path / "c")))
+    want = got(files, f"{fn}(c[20s])")
+    assert len(want) == 200
+    monkeypatch.setattr(promql, "TASK_BYTES", sum(f.stat().st_size for f in (tmp_path / "c").glob("*.parquet")) // 20)
+    df = promql.query_range(files, f"{fn}(c[20s])", 10_000, 60_000, 1000, LOOKBACK)
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() >= 30
+    many = got(files, f"{fn}(c[20s])")
+    assert want.keys() == many.keys() and all(want[k] == pytest.approx(many[k], abs=1e-9) for k in want)
+
+
 def test_long_sums(spark):
     """A window of 1024 units over 4096 steps."""
     aggs = promql.range_function("sum_over_time", 0, [])[0]
