@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LABELS, fdiv, fmod, lit, with_label
+from ..functions.tasks import dealt, tasks_for
 from ..operators.spans import KINDS, STATUS, code_name, duration_text, laid_out, with_child_counts, with_nested_sets, with_parents, with_trace_facts
 from .lexing import QueryError, duration_ms, unquote
 
@@ -534,7 +535,7 @@ TRACE_WIDE = {"child_count", "root_name", "root_service", "trace_duration_ns", "
 def matched(spans: DataFrame, query: Query, start_ns: int, end_ns: int) -> tuple[DataFrame, list[Step]]:
     """The spans that pass the root spanset and the stages before a metric, and the rest of the stages."""
     df = prepared(spans, query, start_ns, end_ns)
-    columns = df.columns
+    columns, tasks = df.columns, tasks_for(spans)
     some = F.lit(False)
     for e in selectors(query.root):  # a span that no selector wants changes nothing: pushed into the scan
         some = some | test(e)
@@ -564,7 +565,7 @@ def matched(spans: DataFrame, query: Query, start_ns: int, end_ns: int) -> tuple
             w = Window.partitionBy(*group)
             fn, *args = s.args
             agg = F.count(F.lit(1)).over(w).cast("double") if fn == "count" else {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[fn](number_of(args[0])).over(w)
-            df = df.withColumn("_agg", agg)
+            df = dealt(df, tasks, *group).withColumn("_agg", agg)
         elif s.kind == "filter":
             df = df.filter(F.coalesce(compare(s.args[0], F.col("_agg"), lit(s.args[1])), F.lit(False)))
         elif s.kind in ("topk", "bottomk"):
