@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt, tasks_for
+
 OPTIONAL = {
     "kind": "int", "status": "int", "status_message": "string", "service": "string", "instrumentation_name": "string", "instrumentation_version": "string",
     "attrs": "map<string,string>", "nums": "map<string,double>", "bools": "map<string,boolean>", "lists": "map<string,array<string>>", "resource": "map<string,string>",
@@ -140,23 +142,34 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield numbered(t, trace - trace.min())
 
 
+def _numbered_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_numbered``, of equal ids in a trace the first row only."""
+    for batch in _numbered(batches):
+        trace, span = (c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:2])
+        once = np.unique(trace * (batch.num_rows + 1) + span, return_index=True)[1]
+        yield batch if len(once) == batch.num_rows else batch.take(pa.array(np.sort(once)))
+
+
 def of_traces(spans: DataFrame, touched: DataFrame | None) -> DataFrame:
     """The spans of the traces in ``touched`` (trace_id, each once), or all."""
     return spans if touched is None else spans.join(touched, "trace_id")
 
 
 def with_nested_sets(spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
-    """The spans, of ``touched`` traces only if given, with ns_left, ns_right and ns_parent.
+    """The spans, of ``touched`` traces only if given, with ns_left, ns_right and ns_parent; those of large tables dealt out by trace.
 
     Only ids go through Python; a trace is numbered as a whole.  Blocks may be written with these columns, which are then kept.
     """
     if {"ns_left", "ns_right", "ns_parent"} <= set(spans.columns):
         return spans
     t, s = spans.schema["trace_id"].dataType.simpleString(), spans.schema["span_id"].dataType.simpleString()
-    ids = of_traces(spans.select("trace_id", "span_id", F.col("parent_span_id").cast(s).alias("parent_span_id"), "start_ns"), touched)
-    ids = ids.repartition("trace_id").sortWithinPartitions("trace_id", "start_ns", "span_id")
-    numbered = ids.select("trace_id", "span_id", "parent_span_id").mapInArrow(_numbered, f"trace_id {t}, span_id {s}, ns_left int, ns_right int, ns_parent int")
-    return spans.join(numbered.dropDuplicates(["trace_id", "span_id"]), ["trace_id", "span_id"])
+    tasks = tasks_for(spans)
+    ids = spans.select("trace_id", "span_id", F.col("parent_span_id").cast(s).alias("parent_span_id"), "start_ns")
+    ids = of_traces(dealt(ids, tasks, "trace_id"), touched if touched is None else dealt(touched, tasks, "trace_id"))
+    ids = (ids if tasks else ids.repartition("trace_id")).sortWithinPartitions("trace_id", "start_ns", "span_id")
+    numbered = ids.select("trace_id", "span_id", "parent_span_id").mapInArrow(_numbered_once, f"trace_id {t}, span_id {s}, ns_left int, ns_right int, ns_parent int")
+    both = ["trace_id", "span_id"]
+    return dealt(dealt(spans, tasks, *both).join(dealt(numbered, tasks, *both), both), tasks, "trace_id")
 
 
 def with_child_counts(spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
