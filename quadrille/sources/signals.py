@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt, tasks_for
 from ..plans.logql import LogTable
 from ..plans.promql import Store
 
@@ -105,8 +106,12 @@ def log_table(spark: SparkSession, sf_dir: str) -> LogTable:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace for each order: the order is the root, its lines are spans; a line with an even number is the child of the line before."""
+    """A trace for each order: the order is the root, its lines are spans; a line with an even number is the child of the line before.
+
+    Large tables are dealt out by trace before lines are grouped and joined, so that neither a scan nor a join holds a share that grows.
+    """
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    tasks = tasks_for(li)
     start = micros("o_orderdate") * 1000
     root = o.select(
         F.col("o_orderkey").alias("trace_id"), F.lit(0).cast("long").alias("span_id"), F.lit(None).cast("long").alias("parent_span_id"), F.lit("order").alias("name"),
@@ -114,7 +119,9 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus")).alias("attrs"), F.create_map(F.lit("total"), F.col("o_totalprice")).alias("nums"),
     )
     cols = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
-    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*cols)).alias("r")).select("l_orderkey", "l_linenumber", "r.*").join(o.select(F.col("o_orderkey").alias("l_orderkey"), start.alias("t0")), "l_orderkey")
+    li = dealt(li.select("l_orderkey", "l_linenumber", *cols), tasks, "l_orderkey")
+    of = dealt(o.select(F.col("o_orderkey").alias("l_orderkey"), start.alias("t0")), tasks, "l_orderkey")
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*cols)).alias("r")).select("l_orderkey", "l_linenumber", "r.*").join(of, "l_orderkey")
     child = li.select(
         F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("long").alias("span_id"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") - 1).otherwise(0).cast("long").alias("parent_span_id"), F.concat(F.lit("line-"), F.col("l_returnflag")).alias("name"),
