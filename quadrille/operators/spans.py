@@ -165,7 +165,7 @@ def with_nested_sets(spans: DataFrame, touched: DataFrame | None = None) -> Data
     t, s = spans.schema["trace_id"].dataType.simpleString(), spans.schema["span_id"].dataType.simpleString()
     tasks = tasks_for(spans)
     ids = spans.select("trace_id", "span_id", F.col("parent_span_id").cast(s).alias("parent_span_id"), "start_ns")
-    ids = of_traces(dealt(ids, tasks, "trace_id"), touched if touched is None else dealt(touched, tasks, "trace_id"))
+    ids = of_traces(dealt(ids, tasks, "trace_id"), touched)
     ids = (ids if tasks else ids.repartition("trace_id")).sortWithinPartitions("trace_id", "start_ns", "span_id")
     numbered = ids.select("trace_id", "span_id", "parent_span_id").mapInArrow(_numbered_once, f"trace_id {t}, span_id {s}, ns_left int, ns_right int, ns_parent int")
     both = ["trace_id", "span_id"]

@@ -516,7 +516,7 @@ def prepared(spans: DataFrame, query: Query, start_ns: int, end_ns: int) -> Data
         for e in plain:
             wanted = wanted | test(e)
         scanned = df.filter(inside & wanted) if len(plain) == len(selectors(query.root)) else df.filter(inside)
-        touched = scanned.select("trace_id").distinct()
+        touched = dealt(scanned.select("trace_id"), tasks_for(spans), "trace_id").distinct()
         if children:
             df = with_child_counts(df, touched)
         if facts:
