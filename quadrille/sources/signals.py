@@ -108,7 +108,7 @@ def log_table(spark: SparkSession, sf_dir: str) -> LogTable:
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace for each order: the order is the root, its lines are spans; a line with an even number is the child of the line before.
 
-    Large tables are dealt out by trace before lines are grouped and joined, so that neither a scan nor a join holds a share that grows.
+    Large tables are dealt out by trace before lines are grouped and joined: tasks of these steps hold shares that don't grow, and a scan only what its shuffle writer holds of a file split.
     """
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     tasks = tasks_for(li)
