@@ -21,9 +21,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +46,29 @@ TOLERANCE, SWEEPS, ROUNDS = 1e-3, 8, 10
 RELEASED = (0.0, 1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)
 
 
-#: Pieces of texts, and the same for texts in which Python's own classes of characters agree with Unicode's categories.
+#: Pieces of texts, the same for ASCII, and for texts in which Python's own classes of characters agree with Unicode's categories.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_SPLIT = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
 PLAIN_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 NOT_PLAIN = re.compile("[^\0-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Pieces(dict):
-    """Ids of pieces as bytes, encoded when first asked for."""
+    """Ids of pieces as bytes, encoded when first asked for; ASCII ones by ``single``, which is not asked to split them again."""
 
-    def __init__(self, encode):
+    def __init__(self, encode: Callable[[str], list[int]], single: Callable[[bytes], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.single = encode, single
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        ids = self[piece] = little_endian(self.single(piece.encode()) if piece.isascii() else self.encode(piece))
         return ids
 
 
@@ -73,9 +84,8 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -91,8 +101,15 @@ class WordTokenizer:
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
             ranks = {bytes(letter[c] for c in token): n for token, n in vocab.items() if token not in self.special}
-            self.ranked = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.kept = Pieces(self.ranked)
+            encoding = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.kept = Pieces(encoding.encode_ordinary, encoding._core_bpe.encode_single_piece)
+
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, read when the first text goes to it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -100,7 +117,7 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(t in text for t in self.special):
             return self._encode(text)
-        words = self.split(text) if NOT_PLAIN(text) else PLAIN_SPLIT(text)
+        words = ASCII_SPLIT(text) if text.isascii() else self.split(text) if NOT_PLAIN(text) else PLAIN_SPLIT(text)
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
         return b"".join(map(self.kept.__getitem__, words))

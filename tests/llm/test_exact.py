@@ -200,6 +200,23 @@ def test_tokens_of_odd_texts(tokenizer):
         assert tokenizer.encode(text) == tokenizer._encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c'stmdrevl_aZ09.-"), st.characters(max_codepoint=127)), max_size=60))
+def test_tokens_of_ascii(tokenizer, text):
+    assert packing.ASCII_SPLIT(text) == tokenizer.split(text) and tokenizer.encode(text) == tokenizer._encode(text)
+
+
+def test_ascii_pieces_are_not_split_again():
+    """What takes op7's time: each new ASCII piece is encoded as it is, and the tokenizer's file is read by its own library only when a text needs it."""
+    fresh = packing.WordTokenizer(entry.tokenizer_path())
+    asked = []
+    encode = fresh.kept.encode
+    fresh.kept.encode = lambda piece: asked.append(piece) or encode(piece)
+    got = fresh.encode("It's a naïve plan, it's 20 %")
+    assert asked == [" naïve"] and "whole" not in vars(fresh)
+    assert got == fresh._encode("It's a naïve plan, it's 20 %")
+
+
 def test_pack(spark, tokenizer):
     rng = random.Random(7)
     texts = [None, "", "a", *(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([5, 50, 700, 1500, 5000]))) for _ in range(60))]
